@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeprofile.llm.common import keyed_text, materialise, small_batches
+from lakeprofile.llm.common import keyed_text, materialise, prepare
 
 #: Shingle hashes whose bits are counted at once.
 _CHUNK = 1 << 15
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [fingerprint_of(x or b"", shingle) for x in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     kept = keyed_text(docs, id_col, text_col)
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fp long")
 
@@ -159,7 +159,7 @@ def forest(points: np.ndarray, homes: np.ndarray, visitors: np.ndarray, rank: np
     order = np.argsort(rank, kind="stable")
     place = np.empty(len(points), dtype=np.int64)
     place[order] = np.arange(len(points))
-    label = place.copy()
+    label = np.arange(len(points))
     for a, b in (x for pairs in (near_pairs(points, homes, None, radius), near_pairs(points, homes, visitors, radius)) for x in pairs):
         while True:
             la, lb = label[place[a]], label[place[b]]
