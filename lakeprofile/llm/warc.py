@@ -94,7 +94,7 @@ def write(records: DataFrame, folder: str | None = None) -> DataFrame:
                 if out is None:
                     system, path = _open(archive)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
-                    out = system.open_output_stream(path)
+                    out = system.open_output_stream(path, compression=None)  # records are compressed one by one
                 rows = []
                 for page_id, url, payload, to, to_url in zip(*(c.to_pylist() for c in (b.column(0), b.column(1), b.column(2).cast(pa.binary()), b.column(3), b.column(4)))):
                     record, kind, digest = _record(page_id, url, payload, to, to_url)
