@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeprofile.llm import chat, fertility, langid, packing, quality_zstd, secrets, simhash, warc
+from lakeprofile.llm import chat, chroma, fertility, langid, lattice, packing, quality_zstd, secrets, simhash, warc
 from lakeprofile.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings, played as melodies: the tables hold no sound of their own."""
+    return chroma.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", chroma.melody)
+
+
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", f"'{said}' AS text")
@@ -37,6 +42,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.round_trip(table(spark, sf_dir, "conversations"), public_tokenizers.path("piece_bpe_32k.model"), ["conv_id", "turn"])
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
@@ -49,9 +58,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_quality": op1_compression_quality,
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_chroma_alignment": op4_chroma_alignment,
     "op5_chat_windows": op5_chat_windows,
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_language_id": op7_language_id,
+    "op8_sentencepiece_lattice": op8_sentencepiece_lattice,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
