@@ -40,6 +40,8 @@ PATTERNS: dict[str, str] = {
     "prose": r"^[^ ]+( [^ ]+){4,}[\s\S]*$",
 }
 BINARY = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "gif": "47494638", "pdf": "25504446", "gzip": "1F8B", "zip": "504B0304"}
+#: What else a text of a shape must have: a number is no hex string.
+ALSO = {"hex": "[a-fA-F]"}
 #: Where each shape with a checksum stands among the patterns: before the named one.
 CHECKED_BEFORE = {"isbn": "bic", "ean": "bic", "imei": "bic", "card_number": "bic", "iban": "bic", "vin": "base64"}
 
@@ -106,14 +108,16 @@ ORDER = _order()
 
 def shape(c: Column, checked: bool = True) -> Column:
     """The first shape in ``ORDER`` that a text has, null if none."""
-    tests = [F.when(c.rlike(PATTERNS[n]), n) if n in PATTERNS else F.when(F.coalesce(CHECKED[n](c), F.lit(False)), n) for n in ORDER if checked or n in PATTERNS]
+    fits = lambda n: c.rlike(PATTERNS[n]) & c.rlike(ALSO[n]) if n in ALSO else c.rlike(PATTERNS[n])
+    tests = [F.when(fits(n), n) if n in PATTERNS else F.when(F.coalesce(CHECKED[n](c), F.lit(False)), n) for n in ORDER if checked or n in PATTERNS]
     return F.coalesce(*tests)
 
 
 def shape_sql(c: str) -> str:
     """The pattern shapes of ``shape`` as a DuckDB expression."""
     quoted = lambda p: p.replace("'", "''")
-    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '{quoted(p)}') THEN '{n}'" for n, p in PATTERNS.items()) + " END"
+    more = lambda n: f" AND regexp_matches({c}, '{ALSO[n]}')" if n in ALSO else ""
+    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '{quoted(p)}'){more(n)} THEN '{n}'" for n, p in PATTERNS.items()) + " END"
 
 
 def binary_kind(c: Column) -> Column:

@@ -1,0 +1,194 @@
+"""Operators on small inputs: nulls, ties, empty tables, and the pure functions."""
+
+import math
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lakeprofile.functions import expressions as X
+from lakeprofile.functions import shapes
+from lakeprofile.functions.sensitivity import is_person, is_ssn, is_street, sensitivity, snake
+from lakeprofile.operators import assertions, context, drift, edges, nested, quantiles, redact, resolve, scalar, sketch, tablewide, values
+from lakeprofile.sources import tables
+from lakeprofile.streaming import timeline
+
+VECTORS = {"42": 15584161582054922406, "-7": 5585573698858288085, "4.00": 10071140874863616590, "hello": 13362634815750784402, "true": 317521853213362953, "2026-03-09T14:27:36Z": 9552359349123505343}
+
+
+def test_hash_vectors(spark):
+    df = spark.createDataFrame([(k,) for k in VECTORS], "v string").select("v", X.low64(F.col("v")).alias("h"))
+    assert {r["v"]: int(r["h"]) for r in df.collect()} == VECTORS
+
+
+def test_phase_a_of_an_empty_table_and_of_nulls(spark):
+    empty = scalar.phase_a(spark.createDataFrame([], "a int, b string"), "t").collect()
+    assert {(r["row_count"], r["null_rate"], r["cardinality"], r["candidate_key"]) for r in empty} == {(0, 0.0, 0, False)}
+    rows = {r["column_name"]: r for r in scalar.phase_a(spark.createDataFrame([(None, "x"), (None, "x"), (None, "")], "a int, b string"), "t").collect()}
+    assert rows["a"]["null_rate"] == 1.0 and rows["a"]["cardinality"] == 0 and not rows["a"]["candidate_key"]
+    assert rows["b"]["empty_count"] == 1 and rows["b"]["cardinality"] == 2
+
+
+def test_rates_are_zero_or_one_only_exactly(spark):
+    df = spark.createDataFrame([(0, 10**9), (1, 10**9), (10**9 - 1, 10**9), (10**9, 10**9), (0, 0)], "p long, w long").select(X.rate(F.col("p"), F.col("w")))
+    assert [r[0] for r in df.collect()] == [0.0, 1e-6, 0.999999, 1.0, 0.0]
+
+
+def test_class_of_few_values_precedes_type(spark):
+    df = spark.range(60).select((F.col("id") % 50).cast("double").alias("few"), F.col("id").cast("double").alias("many"), F.array("id").alias("list"))
+    assert {r["column_name"]: r["classification"] for r in scalar.phase_a(df, "t").collect()} == {"few": "categorical", "many": "numeric", "list": "unsupported"}
+
+
+def test_quantiles_equal_sorted_ranks(spark):
+    df = spark.range(1000).select(F.when(F.col("id") % 10 > 0, (F.col("id") * 7919 % 1000).cast("double")).alias("v"))
+    held = sorted(r[0] for r in df.collect() if r[0] is not None)
+    for p, v in quantiles.nearest(df, F.col("v"), [0.01, 0.5, 0.95, 1.0]).items():
+        assert v == held[max(math.ceil(p * len(held)) - 1, 0)]
+    got = quantiles.interpolated(df, F.col("v"), [0.25])[0.25]
+    x = 0.25 * (len(held) - 1)
+    assert got == pytest.approx(held[int(x)] + (held[int(x) + 1] - held[int(x)]) * (x - int(x)))
+    assert quantiles.nearest(spark.createDataFrame([], "v double"), F.col("v"), [0.5]) == {}
+
+
+def test_value_list_orders_ties_by_text(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("a",), ("b",), (None,), ("c",)], "v string")
+    assert [(r["value"], r["n"], r["rank"]) for r in values.value_list(values.frequencies(df, ["v"])).orderBy("rank").collect()] == [("a", 2, 1), ("b", 2, 2), ("c", 1, 3)]
+
+
+def test_distribution_names(spark):
+    def of(counts):
+        df = spark.createDataFrame([("v", str(i), n) for i, n in enumerate(counts)], "column_name string, value string, n long")
+        return values.distribution(df).first()["distribution"]
+
+    assert [of([98, 2]), of([5, 1]), of([5, 4]), of([1] * 200)] == ["dominant_value", "imbalanced", "uniform", "long_tail"]
+
+
+def test_null_patterns_and_windows(spark):
+    df = spark.createDataFrame([(1, None), (1, None), (None, "x")], "a int, b string")
+    assert [(r["pattern"], r["n"], r["coverage"]) for r in tablewide.null_patterns(df).collect()] == [("01", 2, 1.0), ("10", 1, 1.0)]
+
+
+def test_grain_candidates_and_anchor():
+    assert tablewide.grain_candidates({"a": 10, "b": 10, "c": 2}, {}, 100) == [("a", "b")]
+    assert tablewide.grain_candidates({"a": 10, "b": 10}, {"a": 1}, 100) == []
+    assert tablewide.timeline_anchor([("b", 0.0, 5), ("a", 0.0, 5), ("c", 0.5, 9)]) == "a"
+    assert [tablewide.timeline_unit(d) for d in (90, 91, 731)] == ["day", "week", "month"]
+
+
+def test_nested_parts(spark):
+    df = spark.sql("SELECT array(1, NULL) AS a, named_struct('x', 1, 'y', array('p')) AS s UNION ALL SELECT NULL, NULL")
+    assert nested.plan_parts(df.schema) == ["a[*]", "s.x", "s.y", "s.y[*]"]
+    assert nested.array_elements(df, "a").count() == 2
+    shape = nested.array_shape(df, "a").first()
+    assert (shape["rows"], shape["size_min"], shape["empties"]) == (1, 2, 0)
+    docs = spark.createDataFrame([('{"a": 1}',), ("nope",), (None,), ("[1]",)], "d string")
+    assert {r["type"]: r["n"] for r in nested.document_types(docs, "d").collect()} == {"OBJECT": 1, "INVALID": 1, "ARRAY": 1}
+
+
+def test_shapes(spark):
+    given_ = {"6f9619ff-8b86-d011-b42d-00c04fc964ff": "uuid", "a@b.co": "email", "https://x.org/a": "url", "10.0.0.1": "ip", "00:1b:44:11:3a:b7": "mac_address", "DE": "country_code", "EUR": "currency_code", "2026-01-31": "iso8601_date", "1.2.3": "semver", "12.5": "numeric_string", "/usr/bin": "path", "a.txt": "filename", "P1Y2M": "iso8601_duration", "Europe/Paris": "timezone", "the cat sat on the mat today": "prose", "4111111111111111": "card_number", "4111111111111112": "numeric_string"}
+    df = spark.createDataFrame([(k,) for k in given_], "v string").select("v", shapes.shape(F.col("v")).alias("s"))
+    assert {r["v"]: r["s"] for r in df.collect()} == given_
+    assert shapes.verdict({"isbn": 3}, 3, 3) == {} and shapes.verdict({"email": 96}, 100, 90)["looks_like"] == "email"
+    assert shapes.verdict({"email": 60}, 100, 90) == {"candidate": "email", "share": 0.6}
+
+
+def test_sensitivity():
+    assert [snake(n) for n in ("contactEmail", "IPAddress", "a-b  c")] == ["contact_email", "ip_address", "a_b_c"]
+    assert sensitivity("name", ["Ada Lovelace", "Alan Turing"]) == "personal_name" and sensitivity("name", ["Acme Inc"]) is None
+    assert sensitivity("x", shapes={"email": 0.9}) == "contact" and sensitivity("email", boolean=True) is None
+    assert is_person("Grace Hopper") and is_street("12 Main St") and is_ssn("123-45-6789") and not is_ssn("000-45-6789")
+
+
+def test_edges():
+    t = [edges.Table("customer", {"id": "int"}, ("id",)), edges.Table("order", {"customer_id": "bigint", "buyer_id": "int"})]
+    assert edges.by_name(t) == [("order", "customer_id", "customer", "id")]
+    child = {"name": "c", "kind": "integer", "cardinality": 60, "hashes": list(range(60)), "exhaustive": True, "dense": False}
+    parent = {"name": "p", "kind": "integer", "cardinality": 80, "hashes": list(range(80)), "exhaustive": True, "dense": False}
+    assert edges.by_value([child], [parent]) == [("c", "p")] and edges.by_value([child], [parent | {"dense": True}]) == []
+
+
+def test_observed_with_null_keys(spark):
+    child = spark.createDataFrame([(1,), (1,), (2,), (None,)], "fk int")
+    r = edges.observed(child, "fk", spark.createDataFrame([(1,), (3,)], "k int"), "k").first()
+    assert (r["rows"], r["nulls"], r["fanout_avg"], r["fanout_max"], r["contained"]) == (4, 1, 1.5, 2, 1)
+
+
+def test_sketch_refuses_floats(spark):
+    with pytest.raises(TypeError):
+        sketch.key_sketch(spark.createDataFrame([(1.0,)], "v double"), "v")
+
+
+def test_drift_of_nan_and_absence(spark):
+    schema = "table_name string, column_name string, stat string, value string"
+    a = spark.createDataFrame([("t", "c", "mean", "NaN"), ("t", "c", "n", "0"), ("gone", "c", "n", "1")], schema)
+    b = spark.createDataFrame([("t", "c", "mean", "NaN"), ("t", "c", "n", "2"), ("new", "c", "n", "1")], schema)
+    got = {(r["kind"], r["table_name"], r["delta"], r["delta_pct"]) for r in drift.events(a, b).collect()}
+    assert got == {("statistic_changed", "t", 2.0, None), ("table_added", "new", None, None), ("table_removed", "gone", None, None)}
+
+
+def test_predicates():
+    assert assertions.holds(True, 1) is None and assertions.holds(5, {"min": 1, "max": 5}) and not assertions.holds(6, {"max": 5})
+    assert assertions.holds("2026-01-02", {"min": "2026-01-01T00:00:00"}) and assertions.holds(1, {"min": float("nan")}) is None
+    codes = [i.code for i in assertions.check({"null_count": 1, "accepted_values": ["a"], "exhaustive": False}, {"null_count": 0, "bogus": 1, "cardinality": 3, "accepted_values": ["a"]})]
+    assert codes == ["assertion_failed", "unknown_statistic", "inapplicable", "incomplete_values"]
+    assert assertions.exit_code([assertions.Issue("x", "y", "z", 1)]) == 1
+
+
+def test_sql_errors_are_issues(spark):
+    assert assertions.sql_zero(spark, "SELECT FROM")[0].code == "query_error"
+    assert assertions.sql_zero(spark, "SELECT NULL")[0].code == "assertion_failed"
+
+
+def test_redaction_rules(spark):
+    assert redact.rule_for("db.T.Email", [("*", "mask"), ("*.email", "hash")]) == "hash"
+    with pytest.raises(ValueError):
+        redact.digest(F.lit("x"), "")
+
+
+def test_resolve_prefers_stored_spelling(spark):
+    df = spark.createDataFrame([("Paris", 3), ("paris", 1), ("Parish", 1)], "value string, n long")
+    assert [r["match"] for r in resolve.resolve_value(df, "Paris").collect()] == ["stored"]
+    assert {r["match"] for r in resolve.resolve_value(df, "PARIS").collect()} == {"folded"}
+
+
+def test_validate_finds_broken_rows(spark):
+    good = scalar.phase_a(spark.createDataFrame([(1, "a"), (2, None)], "a int, b string"), "t")
+    assert context.validate(good).count() == 0
+    assert {r["code"] for r in context.validate(good.withColumn("null_count", F.lit(9).cast("long"))).collect()} >= {"null_count_range"}
+
+
+def test_scope(spark):
+    df = spark.range(10_000).toDF("v")
+    assert 800 < tables.scoped(df, "t", sample=0.1).count() < 1200
+    with pytest.raises(ValueError):
+        tables.scoped(df, "t", sample=0.1, condition="v > 1")
+    assert tables.fraction(None, 5) is None and tables.fraction(5, 5) is None and 0.09 < tables.fraction(1000, 100) <= 0.1
+
+
+def test_formats_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, v string")
+    for kind in tables.FORMATS:
+        tables.write(df, f"file://{tmp_path}", "t", kind)
+        assert sorted(map(tuple, tables.read(spark, f"file://{tmp_path}", "t", kind).select("k", "v").collect())) == [("a", "1"), ("b", "2")]
+        assert tables.list_tables(spark, f"file://{tmp_path}", kind=kind) == ["t"]
+
+
+def test_streamed_timeline_equals_batch(spark, tmp_path):
+    rows = spark.range(100).select(F.timestamp_seconds(F.col("id") * 7200).cast("timestamp_ntz").alias("ts"))
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = timeline.daily(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "ts")
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("daily").option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, tablewide.timeline(rows, "ts", "day").collect()))
+
+
+@given(st.lists(st.tuples(st.text("ab", min_size=1, max_size=4), st.integers(0, 200), st.booleans()), max_size=8, unique_by=lambda x: x[0]), st.integers(1, 200))
+def test_budget_is_kept(items, budget):
+    sections = [context.Section(n, "x" * size, i, pinned) for i, (n, size, pinned) in enumerate(items)]
+    kept, dropped = context.select(sections, budget)
+    assert {s.name for s in kept} | set(dropped) == {s.name for s in sections}
+    spent = sum(context.tokens_of(s.text) for s in kept if not s.pinned)
+    assert spent <= budget and all(s in kept for s in sections if s.pinned)
