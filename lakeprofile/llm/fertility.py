@@ -10,7 +10,7 @@ language of a script stays well inside them.
 
 Defined cases: a null or empty text has no words and fails the base rule; texts
 of fewer tokens than ``JUDGED`` are judged by the base rule alone; characters of
-no script count as ``Other``, whose band admits most; repeated rows and rows
+no script count as ``Other``, whose band admits most, but not bare numbers; repeated rows and rows
 without an id are judged like others; an empty table gives an empty result;
 other columns are ignored by ``measure`` and kept by ``well_formed``.
 """
@@ -31,6 +31,8 @@ from lakeprofile.llm.common import keyed_text, prepare
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Tokens from which on a text's fertility is judged.
 JUDGED = 50
+#: Characters per token that a text without letters has at least, unless it is in a script the pieces do not know.
+LEAST_PLAIN = 1.0
 _SYMBOLS = b"#*$%&|<>"
 _DELETE = bytes(c for c in range(256) if c not in _SYMBOLS)
 #: Words that a worker remembers before it starts afresh.
@@ -188,6 +190,8 @@ def verdict(m: tuple, bands: dict[str, tuple] = BANDS) -> tuple[bool, bool]:
     if failed or n < JUDGED:
         return failed, not failed
     low, high, low_b, high_b, most_bytes, least_entropy = bands.get(script, BANDS["Other"])
+    if script == "Other" and fallback < 0.5:  # not an unknown script but digits or marks
+        low = max(low, LEAST_PLAIN)
     return False, low <= by_piece <= high and low_b <= by_byte <= high_b and fallback <= most_bytes and entropy >= least_entropy
 
 
