@@ -28,6 +28,8 @@ from lakeprofile.llm.common import held_out, keyed_text, prepare
 
 #: Rows of each language that the model is fitted on, about; twice as many at most.
 PER_LANG = 1000
+#: Texts of more bytes are not learned from, so that the sample is bounded in bytes too; they are scored whole.
+LONGEST_LEARNED = 100_000
 BITS = 16
 ORDERS = (1, 2, 3)
 _SCALE = 32.0
@@ -150,7 +152,7 @@ def sample(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         return [], []
     share = docs.sparkSession.createDataFrame([(k, min(1.0, per_lang / n)) for k, n in counts.items()], "lang string, share double")
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 24)) / (1 << 24)
-    drawn = labelled.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text", "id")
+    drawn = labelled.join(F.broadcast(share), "lang").where((draw < F.col("share")) & (F.octet_length("text") <= LONGEST_LEARNED)).select("lang", "text", "id")
     rows = drawn.limit(2 * per_lang * len(counts)).collect()
     once = {r["text"]: r["lang"] for r in sorted(rows, key=lambda r: (str(r["id"]), r["text"] or "")) if r["text"] and _LETTER.search(r["text"])}
     return list(once), list(once.values())

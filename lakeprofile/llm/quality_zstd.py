@@ -29,6 +29,8 @@ from lakeprofile.llm.common import held_out, keyed_text, prepare
 
 #: Labelled rows of each class for the dictionaries, and again for the curve, about; twice as many at most.
 PER_CLASS = 1200
+#: Texts of more bytes are not learned from, so that the sample is bounded in bytes too; they are scored whole.
+LONGEST_LEARNED = 100_000
 DICTIONARY_BYTES = 112_640
 #: Texts are compressed in blocks of so many bytes, so that the dictionary, not the text itself, is the context.
 BLOCK = 2048
@@ -113,7 +115,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, part: Column, id_c
     share = F.coalesce(*[F.when((F.col("label") == y) & (F.col("part") == p), F.lit(min(1.0, per_class / n))) for (y, p), n in counts.items()])
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) / (1 << 24) < share).limit(8 * per_class)
     # ``drawn`` is bounded by its limit, so it may be broadcast.
-    rows = keyed_text(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id").limit(8 * per_class).collect()
+    rows = keyed_text(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST_LEARNED).limit(8 * per_class).collect()
     rows.sort(key=lambda r: (str(r["doc_id"]), r["text"] or ""))
     return {p: [((r["text"] or "").encode(), r["label"]) for r in rows if r["part"] == p] for p in (True, False)}
 

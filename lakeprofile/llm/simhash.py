@@ -4,9 +4,12 @@ Fingerprints of equal value collapse first, so a group of exact copies is one
 point however large it is.  A vantage-point tree over a bounded sample of the
 distinct fingerprints deals all of them into shards: each fingerprint has one
 home shard, and it visits the further shards that the triangle inequality
-cannot exclude.  A shard searches itself with a local vantage-point recursion
-and reports a spanning forest, not its pairs; stars of that forest are merged
-into components by alternating large-star and small-star steps.
+cannot exclude.  A shard that is still too large gets a tree of its own and is
+dealt anew, so the size of a shard does not grow with the corpus.  A shard
+searches itself with a local vantage-point recursion, against its visitors in
+parts of bounded size, and reports a spanning forest, not its pairs; stars of
+that forest are merged into components by alternating large-star and small-star
+steps.
 
 Defined cases: a null text is an empty one; a text without words has
 fingerprint zero and links like any other; repeated rows keep one row each; a
@@ -17,7 +20,9 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -32,9 +37,14 @@ from lakeprofile.llm.common import keyed_text, materialise, prepare
 _CHUNK = 1 << 15
 #: Fingerprints of the sample that the shard tree is built from.
 TREE_SAMPLE = 8192
-#: Distinct fingerprints aimed at in a shard, and the most shards.
+#: Distinct fingerprints aimed at in a shard, and the most shards that one tree makes.
 SHARD_ROWS = 16384
 MAX_SHARDS = 512
+#: Shards at home to more are dealt anew, so many times at most; after that they are searched as they are.
+SPLIT_ROWS = 4 * SHARD_ROWS
+DEALS = 12
+#: Rows in one task when a shard is dealt anew, and visitors in one task when it is searched.
+TASK_ROWS = 1 << 20
 #: Pairs compared in one block of the local search.
 _BLOCK = 1 << 20
 
@@ -103,10 +113,11 @@ def build_tree(sample: np.ndarray, shards: int):
     return grow(sample, shards)
 
 
-def route(tree, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def route(tree, points: np.ndarray, radius: int, home: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(shard, homes, visitors): indexes of the points whose home the shard is, and of those that may have neighbours in it.
 
     A pair parted at a node is met once: the inner point visits the outer side.
+    ``home`` tells which of ``points`` are at home in the tree already, by default all.
     """
 
     def walk(node, home, visit):
@@ -120,7 +131,8 @@ def route(tree, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarr
         yield from walk(inner, home[dh <= mu], visit[dv <= mu + radius])
         yield from walk(outer, home[dh > mu], np.concatenate([visit[dv > mu - radius], home[(dh <= mu) & (dh > mu - radius)]]))
 
-    yield from walk(tree, np.arange(len(points)), np.arange(0))
+    home = np.ones(len(points), dtype=bool) if home is None else home
+    yield from walk(tree, np.flatnonzero(home), np.flatnonzero(~home))
 
 
 def near_pairs(points: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -154,13 +166,13 @@ def near_pairs(points: np.ndarray, left: np.ndarray, right: np.ndarray | None, r
             yield a[at + i], other[j]
 
 
-def forest(points: np.ndarray, homes: np.ndarray, visitors: np.ndarray, rank: np.ndarray, radius: int) -> np.ndarray:
-    """For each point the linked point of least ``rank`` found here."""
+def forest(points: np.ndarray, homes: np.ndarray, visitors: np.ndarray, rank: np.ndarray, radius: int, within: bool = True) -> np.ndarray:
+    """For each point the linked point of least ``rank`` found here; pairs of ``homes`` are looked for only if ``within``."""
     order = np.argsort(rank, kind="stable")
     place = np.empty(len(points), dtype=np.int64)
     place[order] = np.arange(len(points))
     label = np.arange(len(points))
-    for a, b in (x for pairs in (near_pairs(points, homes, None, radius), near_pairs(points, homes, visitors, radius)) for x in pairs):
+    for a, b in (x for pairs in (near_pairs(points, homes if within else homes[:0], None, radius), near_pairs(points, homes, visitors, radius)) for x in pairs):
         while True:
             la, lb = label[place[a]], label[place[b]]
             differ = la != lb
@@ -209,6 +221,42 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return now
 
 
+def _placed(tree, prefix: str, fps: pa.Array, reps: pa.Array, radius: int, home: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(shard, fp, rep, home) rows of the points that ``tree`` deals, below the shard ``prefix``."""
+    for leaf, homes, visitors in route(tree, fps.to_numpy(zero_copy_only=False).view(np.uint64), radius, home):
+        for rows, at_home in ((homes, True), (visitors, False)):
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array([f"{prefix}{leaf}"] * len(rows), pa.string()), fps.take(pa.array(rows)), reps.take(pa.array(rows)), pa.array(np.full(len(rows), at_home))], names=["shard", "fp", "rep", "home"])
+
+
+def _deal_anew(large: DataFrame, radius: int) -> DataFrame:
+    """``large`` (shard, fp, rep, home, homes, rows), each shard dealt by a tree over a sample of its own homes.
+
+    A shard's rows go to as many tasks as its size asks for, and each gets the shard's tree.
+    """
+    kinds = large.schema
+    draw = F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 30)) / (1 << 30)
+    parts = F.ceil(F.col("rows") / TASK_ROWS).cast("int")
+
+    def grow(t: pa.Table) -> pa.Table:
+        leaves = max(2, min(MAX_SHARDS, -(-t.column("homes")[0].as_py() // SHARD_ROWS)))
+        tree = build_tree(np.sort(t.column("fp").to_numpy().view(np.uint64)), leaves)
+        return pa.table({"shard": [t.column("shard")[0].as_py()], "rows": [t.column("rows")[0].as_py()], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    def deal(t: pa.Table, trees: pa.Table) -> pa.Table:
+        if not trees.num_rows or not t.num_rows:  # a sample without rows: the shard stays
+            return t.select(["shard", "fp", "rep", "home"])
+        t = t.combine_chunks()
+        fps, reps, home = (t.column(c).chunk(0) for c in ("fp", "rep", "home"))
+        return pa.Table.from_batches(list(_placed(pickle.loads(trees.column("tree")[0].as_py()), f"{t.column('shard')[0].as_py()}.", fps, reps, radius, home.to_numpy(zero_copy_only=False))))
+
+    drawn = large.where(F.col("home") & (draw < TREE_SAMPLE / F.col("homes"))).select("shard", "fp", "homes", "rows")
+    trees = drawn.groupBy("shard").applyInArrow(grow, "shard string, rows long, tree binary")
+    trees = trees.select("shard", "tree", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rows = large.select("shard", "fp", "rep", "home", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"))
+    return rows.groupBy("shard", "part").cogroup(trees.groupBy("shard", "part")).applyInArrow(deal, f"shard string, fp long, rep {kinds['rep'].dataType.simpleString()}, home boolean")
+
+
 def link(found: DataFrame, radius: int = 2) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of ``found`` (doc_id, fp)."""
     spark = found.sparkSession
@@ -222,22 +270,31 @@ def link(found: DataFrame, radius: int = 2) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for shard, home, visit in route(tree.value, fps, radius):
-                for rows, at_home in ((home, True), (visit, False)):
-                    if len(rows):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), shard, dtype=np.int32)), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(np.full(len(rows), at_home))], names=["shard", "fp", "rep", "home"])
+            yield from _placed(tree.value, "", b.column(0), b.column(1), radius)
 
-    def search(t: pa.Table) -> pa.Table:
+    def search(key: tuple, t: pa.Table) -> pa.Table:
         fps = t.column("fp").to_numpy().view(np.uint64)
         rep = t.column("rep").to_numpy()
         home = t.column("home").to_numpy()
-        root = forest(fps, np.flatnonzero(home), np.flatnonzero(~home), rep, radius)
+        root = forest(fps, np.flatnonzero(home), np.flatnonzero(~home), rep, radius, within=key[1].as_py() == 0)
         u, v = rep, rep[root]
         return pa.table({"u": u[u != v], "v": v[u != v]})
 
-    dealt = points.select("fp", "rep").mapInArrow(deal, f"shard int, fp long, rep {id_type}, home boolean")
-    edges = dealt.groupBy("shard").applyInArrow(search, f"u {id_type}, v {id_type}")
+    dealt = materialise(points.select("fp", "rep").mapInArrow(deal, f"shard string, fp long, rep {id_type}, home boolean"))
+    ready = []
+    for at in range(DEALS + 1):
+        # One row for each shard: joined, not broadcast, for their number grows with the corpus.
+        sizes = materialise(dealt.groupBy("shard").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("rows")))
+        large = F.col("homes") > SPLIT_ROWS
+        more = at < DEALS and bool(sizes.where(large).head(1))
+        ready.append(dealt.join(sizes.where(~large) if more else sizes, "shard"))
+        if not more:
+            break
+        dealt = materialise(_deal_anew(dealt.join(sizes.where(large), "shard"), radius))
+    parts = F.greatest(F.ceil((F.col("rows") - F.col("homes")) / TASK_ROWS), F.lit(1)).cast("int")
+    part = F.when(F.col("home"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), parts).cast("int")))
+    placed = reduce(DataFrame.unionByName, ready).select("shard", "fp", "rep", "home", F.explode(part).alias("part"))
+    edges = placed.groupBy("shard", "part").applyInArrow(search, f"u {id_type}, v {id_type}")
     stars = components(edges)
     return distinct.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("least")), "rep", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
 

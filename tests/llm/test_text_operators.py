@@ -101,8 +101,13 @@ def test_near_pairs_split(monkeypatch):
 
 
 @needs_tables
-def test_near_duplicates_against_brute_force(spark, docs, monkeypatch):
+@pytest.mark.parametrize("anew", [False, True])
+def test_near_duplicates_against_brute_force(spark, docs, monkeypatch, anew):
     monkeypatch.setattr(simhash, "SHARD_ROWS", 100)  # so that pairs cross shards
+    if anew:  # so that shards are dealt anew, in parts
+        monkeypatch.setattr(simhash, "MAX_SHARDS", 3)
+        monkeypatch.setattr(simhash, "SPLIT_ROWS", 60)
+        monkeypatch.setattr(simhash, "TASK_ROWS", 50)
     rows = simhash.near_duplicates(docs).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     ids = sorted(texts)
