@@ -7,7 +7,7 @@ whole column sorted, and no aggregate holds a whole column's distinct values.
 
 from __future__ import annotations
 
-from math import ceil, floor
+from math import ceil, floor, ulp
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +49,12 @@ def interpolated(df: DataFrame, value: Column, levels: list[float]) -> dict[floa
     return {p: found[f"{p}a"] + (found[f"{p}b"] - found[f"{p}a"]) * (x - floor(x)) for p, x in at.items()} if n else {}
 
 
+def coherent(value: float, low: float, high: float, steps: int = 4) -> float:
+    """A percentile within its column's bounds: outside them by few floating-point steps, beyond 2^53, it is clamped; else it stays and is wrong."""
+    bound = min(max(value, low), high)
+    return bound if abs(value) > 2**53 and abs(value - bound) <= steps * ulp(bound) else value
+
+
 def nearest(df: DataFrame, value: Column, levels: list[float]) -> dict[float, object]:
     """Percentiles that the column holds: the value at rank ceil(p n)."""
     n = df.select(F.count(value)).first()[0]

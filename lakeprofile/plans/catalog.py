@@ -11,6 +11,7 @@ from lakeprofile.functions import expressions as X
 from lakeprofile.functions import shapes
 from lakeprofile.functions.sensitivity import sensitivity
 from lakeprofile.operators import assertions, context, drift, edges, nested, quantiles, redact, resolve, scalar, sketch, tablewide, values
+from lakeprofile.plans import settings
 from lakeprofile.plans.profile import profile
 from lakeprofile.sources import tables
 
@@ -565,6 +566,15 @@ query("column_catalog", " UNION ALL ".join(f"SELECT 'customer' AS table_name, {i
 query("filter_scope", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'O' GROUP BY 1")(lambda spark, sf: tables.scoped(load(spark, sf, "orders"), "orders", condition="o_totalprice > 100000 AND o_orderstatus = 'O'").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")))
 
 
+_RULES = [settings.Rule(("*",), {"top_n_values": 10}), settings.Rule(("line*",), {"mode": "sample", "sample": 0.1}, min_rows=1000), settings.Rule(("orders",), {"max_age_days": 1})]
+
+
+@query("settings_explain", " UNION ALL ".join(f"SELECT '{k}' AS setting, '{v}' AS value, '{o}' AS origin" for k, v, o in (("mode", "sample", "line*"), ("sample", "0.1", "line*"), ("condition", "None", "default"), ("max_rows", "None", "default"), ("enumeration_threshold", "50", "default"), ("top_n_values", "10", "*"), ("top_n_null_patterns", "20", "default"), ("looks_like_sample_size", "1000", "default"), ("percentiles", "(1, 25, 50, 75, 99)", "default"), ("max_parts", "20", "default"), ("max_part_depth", "3", "default"), ("max_age_days", "7", "default"))))
+def _explain(spark, sf):
+    found = settings.explain("lineitem", _RULES, load(spark, sf, "lineitem").count())
+    return spark.createDataFrame([(k, str(v), o) for k, v, o in found], "setting string, value string, origin string")
+
+
 @query("sample_scope_coherent")
 def _sample(spark, sf):
     df = load(spark, sf, "orders")

@@ -9,6 +9,8 @@ from fnmatch import fnmatchcase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeprofile.operators import edges
+
 FORMATS = ("parquet", "orc", "json", "csv")
 
 
@@ -59,8 +61,29 @@ def physical_layout(spark: SparkSession, table: str) -> list[str]:
 
 
 def view_dependencies(df: DataFrame) -> list[str]:
-    """Names of the relations that a DataFrame's plan reads."""
-    return sorted(set(df.inputFiles()))
+    """Names of the catalogue tables that a DataFrame's plan reads, through views too; without any, the files that it reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    named = set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.catalogTable().isDefined():
+            named.add(leaf.catalogTable().get().identifier().unquotedString())
+    return sorted(named or set(df.inputFiles()))
+
+
+def comments(df: DataFrame) -> dict[str, str]:
+    """The comments of columns that have one."""
+    return {f.name: f.metadata["comment"] for f in df.schema.fields if f.metadata.get("comment")}
+
+
+def declared(df: DataFrame, name: str, constraints: DataFrame) -> edges.Table:
+    """What is declared of a table: its column types, and its one-column keys from ``constraints`` (table_name, key_columns, is_primary), the primary one first.
+
+    Spark enforces no keys, so the caller supplies them.
+    """
+    rows = constraints.where(F.col("table_name") == name).select("key_columns", "is_primary").collect()  # a few for each table
+    keys = [r["key_columns"][0] for r in sorted(rows, key=lambda r: (not r["is_primary"], r["key_columns"])) if len(r["key_columns"]) == 1]
+    return edges.Table(name, {f.name: f.dataType.simpleString() for f in df.schema.fields}, tuple(keys))
 
 
 def execute(spark: SparkSession, sql: str) -> DataFrame:

@@ -11,7 +11,8 @@ from lakeprofile.functions import expressions as X
 from lakeprofile.functions import shapes
 from lakeprofile.functions.sensitivity import is_person, is_ssn, is_street, sensitivity, snake
 from lakeprofile.operators import assertions, context, drift, edges, nested, quantiles, redact, resolve, scalar, sketch, tablewide, values
-from lakeprofile.sources import tables
+from lakeprofile.plans import settings
+from lakeprofile.sources import store, tables
 from lakeprofile.streaming import timeline
 
 VECTORS = {"42": 15584161582054922406, "-7": 5585573698858288085, "4.00": 10071140874863616590, "hello": 13362634815750784402, "true": 317521853213362953, "2026-03-09T14:27:36Z": 9552359349123505343}
@@ -167,6 +168,44 @@ def test_scope(spark):
     assert tables.fraction(None, 5) is None and tables.fraction(5, 5) is None and 0.09 < tables.fraction(1000, 100) <= 0.1
 
 
+def test_settings_merge_the_rules_that_fit():
+    rules = [settings.Rule(("*",), {"top_n_values": 5}), settings.Rule(("big*",), {"mode": "sample", "sample": 0.1}, min_rows=100), settings.Rule(("bigger",), {"top_n_values": 7})]
+    assert settings.resolve("Bigger", rules, 100) == settings.Settings(mode="sample", sample=0.1, top_n_values=7)
+    assert settings.resolve("bigger", rules).mode == "full" and settings.resolve("bigger", rules, 99).top_n_values == 7
+    assert dict((k, o) for k, _, o in settings.explain("bigger", rules, 100))["sample"] == "big*"
+    with pytest.raises(ValueError):
+        settings.Settings(sample=0.1, condition="x")
+    now = settings.Settings()
+    assert [settings.must_profile(*a, now) for a in ((None, now), (1, None), (7, now), (1, settings.Settings(max_parts=1)), (6.9, now))] == [True, True, True, True, False]
+
+
+def test_published_versions(spark, tmp_path):
+    folder = f"file://{tmp_path}/profiles"
+    with pytest.raises(FileNotFoundError):
+        store.load(spark, folder)
+    assert [store.publish(spark.range(n), folder) for n in (2, 3)] == [1, 2]
+    (tmp_path / "profiles/v00000003.parquet").mkdir()  # a writer that failed
+    assert store.versions(spark, folder) == [1, 2]
+    assert store.load(spark, folder).count() == 3 and store.load(spark, folder, 1).count() == 2
+    assert store.publish(spark.range(4), folder) == 4
+
+
+def test_declared_keys_and_dependencies(spark):
+    df = spark.createDataFrame([(1, "a")], "customer_id int, name string")
+    known = spark.createDataFrame([("t", ["name"], False), ("t", ["customer_id"], True), ("t", ["a", "b"], False)], "table_name string, key_columns array<string>, is_primary boolean")
+    assert tables.declared(df, "t", known).keys == ("customer_id", "name") and tables.comments(df) == {}
+    df.write.mode("overwrite").saveAsTable("depended_on")
+    spark.sql("CREATE OR REPLACE TEMP VIEW depends AS SELECT name FROM depended_on")
+    assert [n.rpartition(".")[2] for n in tables.view_dependencies(spark.table("depends"))] == ["depended_on"]
+    spark.sql("DROP TABLE depended_on")
+
+
+def test_percentiles_stay_within_bounds():
+    high = 2.0**60
+    assert quantiles.coherent(math.nextafter(high, math.inf), 0.0, high) == high
+    assert quantiles.coherent(11.0, 0.0, 10.0) == 11.0 and quantiles.coherent(2 * high, 0.0, high) == 2 * high
+
+
 def test_formats_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, v string")
     for kind in tables.FORMATS:
