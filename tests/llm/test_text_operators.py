@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakeprofile.llm import fertility, langid, quality_zstd, queries, secrets, simhash
+from lakeprofile.llm import fertility, jaccard, langid, quality_zstd, queries, secrets, simhash
 
 SF = "/root/testdata/sf0.01"
 PIECES, RANKS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -128,6 +128,49 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert sorted(r["doc_id"] for r in simhash.one_of_each_group(odd).where("doc_id IS NOT NULL").collect()) == [1, 4, 6, 7]
 
 
+def brute_groups(texts):
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    ids = sorted(sets)
+    least, near = {i: i for i in ids}, collections.defaultdict(set)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            a, b = sorted((len(sets[i]), len(sets[j])))
+            if 10 * a >= 8 * b and (c := len(sets[i] & sets[j])) * 10 >= 8 * (a + b - c):
+                near[i].add(j)
+                near[j].add(i)
+    for i in ids:  # ascending, so each group is walked from its least id
+        todo = [i] if least[i] == i else []
+        while todo:
+            for k in near[todo.pop()]:
+                if least[k] == k and k > i:
+                    least[k] = i
+                    todo.append(k)
+    return {i for i in ids if least[i] == i}
+
+
+@needs_tables
+def test_near_dedup_stage_against_brute_force_jaccard(spark, docs):
+    r, planted = np.random.default_rng(5), []
+    for n in range(120):  # copies of one text and of many, at similarities on both sides of 0.8
+        words = [f"w{x}" for x in np.random.default_rng(n // 2 if n < 60 else 999).integers(0, 10**6, 150)]
+        for at in r.integers(0, 150, 1 + n % 5):
+            words[at] = f"x{r.integers(0, 10**6)}"
+        planted.append((10**6 + n, " ".join(words)))
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    want = brute_groups({x["doc_id"]: x["text"] for x in rows.collect()})
+    got = [x["doc_id"] for x in corpus_pipeline.near_dedup(spark, rows, SF).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert len(want) < simhash.one_of_each_group(rows).count()  # two bits of op10's contract leave near copies
+
+
+def test_near_dedup_stage_of_odd_rows(odd, none):
+    assert sorted(x["doc_id"] for x in jaccard.one_of_each_group(odd).where("doc_id IS NOT NULL").collect()) == [1, 4, 6, 7]
+    assert jaccard.one_of_each_group(none).count() == 0
+
+
 # --- secrets ----------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
