@@ -5,9 +5,10 @@ a sequence are cut.  The histogram of piece lengths, at most ``CAPACITY``
 numbers whatever the corpus, goes to the driver.  There a configuration linear
 program (least number of sequences whose patterns cover the histogram) is
 solved by multiplicative weights: the weights price the lengths, a knapsack
-dynamic program over them finds the pattern of most worth, and the patterns so
-found, scaled and rounded down, are the plan; what rounding leaves is packed
-best fit.  The plan is a table of rank intervals per length, bounded by the
+dynamic program over them finds a pattern of much worth, until every length is
+covered.  The copies so found, rounded down, to one at least, as far as pieces
+are left, are the plan; what rounding leaves is solved anew, and the last
+hundredth, or what no longer fills a sequence, is packed best fit.  The plan is a table of rank intervals per length, bounded by the
 number of patterns and not by the corpus.  A piece finds its place by its rank
 among the pieces of its length; ranks are dealt in hash buckets of each length,
 so a length that a third of all rows share is no hot spot.
@@ -37,6 +38,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Hash buckets that the ranks of one length are dealt in.
 BUCKETS = 64
+#: Lengths that one pattern is priced over, the share of pieces that is left to best fit, and the least fill of a pattern.
+_PRICED, REST, FULL = 160, 0.01, 0.999
 #: Words and parts of words whose ids a worker remembers, before it starts afresh.
 _REMEMBERED = 400_000
 
@@ -161,49 +164,69 @@ def _best_pattern(lengths: np.ndarray, worth: np.ndarray, most: np.ndarray, capa
     return dict(pattern)
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 120, step: float = 0.35) -> list[tuple[dict[int, int], int]]:
-    """(pattern, copies): patterns that hold every piece of ``histogram`` (length: count) exactly once.
+def _cover(left: dict[int, int], capacity: int, step: float, rounds: int) -> dict[tuple, float]:
+    """{pattern: copies}, fractional: patterns that together cover every count of ``left``.
+
+    A round adds the pattern of most worth, with as many copies as cover the
+    scarcest of its lengths by one ``1 / rounds``-th, and lowers the prices of
+    its lengths; covered lengths leave the program, which ends when none is left.
+    """
+    lengths = np.array(sorted(left, reverse=True))
+    count = np.array([left[int(n)] for n in lengths], dtype=float)
+    place = {int(n): i for i, n in enumerate(lengths)}
+    covered = np.zeros(len(lengths))
+    found: dict[tuple, float] = defaultdict(float)
+    while (open_ := np.flatnonzero(covered < 1 - 1e-9)).size:
+        price = lengths[open_] ** 1.02 * np.exp(-step * covered[open_])
+        # the densest lengths, and short ones that fill what they leave
+        some = np.unique(np.concatenate([np.argsort(-price / lengths[open_], kind="stable")[:_PRICED], np.arange(max(0, len(open_) - _PRICED // 4), len(open_))]))
+        pattern = _best_pattern(lengths[open_[some]], price[some], count[open_[some]], capacity)
+        at = np.array([place[n] for n in pattern])
+        used = np.array(list(pattern.values()), dtype=float)
+        share = float(max((count[at] / used).min() / rounds, min(1.0, (count[at] / used).min())))
+        found[tuple(sorted(pattern.items()))] += share
+        covered[at] += used * share / count[at]
+    return found
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 1, step: float = 0.35) -> list[tuple[dict[int, int], int]]:
+    """(pattern, copies): patterns that hold every piece of ``histogram`` (length: count) exactly once."""
+    return _solve(histogram, capacity, rounds, step)[0]
+
+
+def _solve(histogram: dict[int, int], capacity: int, rounds: int, step: float) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """The plan, and the number of pieces that best fit placed in it.
 
     The covering program min sum x_p, sum_p p_l x_p >= count_l is solved by
-    multiplicative weights over the lengths; best fit packs what rounding leaves.
+    multiplicative weights over the lengths until it covers all, and its copies
+    are rounded down, to one at least, as far as pieces are left.  The rest is
+    solved anew until it is too small for a pattern to repay; best fit packs that.
     """
     left = {n: c for n, c in histogram.items() if c > 0}
+    total = sum(left.values())
     plan: Counter = Counter()
     for n in [n for n in left if 2 * n > capacity and n + min(left) > capacity]:
         plan[((n, 1),)] += left.pop(n)  # nothing fits beside these
-    # The rounding of a large histogram leaves little; what is left is solved anew, then best fit ends it.
-    for _ in range(3):
-        if sum(left.values()) < 2000:
-            break
-        lengths = np.array(sorted(left))
-        count = np.array([left[int(n)] for n in lengths], dtype=float)
-        weight = np.zeros(len(lengths))
-        found: Counter = Counter()
-        for _ in range(rounds):
-            price = np.exp(weight - weight.max()) * lengths / count
-            pattern = _best_pattern(lengths, price, count, capacity)
-            if not pattern:
-                break
-            # as many copies as the scarcest length in it allows of a share, so that no length is covered far ahead of others
-            used = np.array([pattern.get(int(n), 0) for n in lengths], dtype=float)
-            share = (count[used > 0] / used[used > 0]).min() / rounds * 4
-            found[tuple(sorted(pattern.items()))] += share
-            weight -= step * used * share / count * rounds / 4
-        if not found:
-            break
-        before = sum(left.values())
-        for pattern, copies in found.most_common():
-            n = min(int(copies), *(left.get(size, 0) // k for size, k in pattern))
+    while left and sum(left.values()) > REST * total:
+        found = _cover(left, capacity, step, rounds)
+        full = lambda p: sum(size * k for size, k in p)
+        placed = 0
+        for pattern in sorted(found, key=lambda p: (-full(p), -found[p], p)):
+            if full(pattern) < FULL * capacity:
+                break  # what wastes room is left to later rounds and to best fit
+            n = min(max(1, int(found[pattern])), *(left[size] // k for size, k in pattern))
             if n > 0:
                 plan[pattern] += n
                 for size, k in pattern:
                     left[size] -= n * k
+                    placed += n * k
         left = {n: c for n, c in left.items() if c > 0}
-        if sum(left.values()) > 0.7 * before:
+        if not placed:
             break
+    rest = sum(left.values())
     for pattern, copies in _best_fit(left, capacity).items():
         plan[pattern] += copies
-    return [(dict(p), n) for p, n in plan.items()]
+    return [(dict(p), n) for p, n in plan.items()], rest
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> Counter:

@@ -44,6 +44,17 @@ def test_plan_is_near_the_bound():
     assert sum(n for _, n in plan) <= 1.002 * -(-lengths.sum() // 4096)
 
 
+def test_the_program_places_nearly_all_pieces(monkeypatch):
+    rest, best_fit = [], packing._best_fit
+    monkeypatch.setattr(packing, "_best_fit", lambda left, capacity: rest.append(sum(left.values())) or best_fit(left, capacity))
+    lengths = np.clip(np.random.default_rng(4).lognormal(5.0, 1.1, 5_000).astype(int), 1, 1024)  # counts of few each, as of real tables
+    for many in (1, 30):
+        histogram = {int(k): int(v) * many for k, v in zip(*np.unique(lengths, return_counts=True))}
+        plan = packing.solve(histogram, 1024)
+        assert contents(plan) == histogram and sum(n for _, n in plan) <= 1.002 * -(-lengths.sum() * many // 1024) + 1
+        assert rest.pop() <= 0.05 * sum(histogram.values())
+
+
 def test_knapsack_is_exact():
     r = np.random.default_rng(2)
     for _ in range(20):
