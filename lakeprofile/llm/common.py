@@ -21,20 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset (as
-    in local tests) a temporary folder takes its place.
+    It is the cluster's ``spark.checkpoint.dir``.  Where that is unset a
+    temporary folder takes its place on a local master, as in tests; a cluster
+    without it is refused, for its executors share no local folder.
     """
-    found = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    found = context.getCheckpointDir()
     if not found:
-        own = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lakeprofile-')}"
-        spark.sparkContext.setCheckpointDir(own)
-        found = spark.sparkContext.getCheckpointDir()
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(own or f"file://{tempfile.mkdtemp(prefix='lakeprofile-')}")
+        found = context.getCheckpointDir()
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/lakeprofile-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, which is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/lakeprofile-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -46,7 +53,16 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._lakeprofile_scratch = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``df``, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._lakeprofile_scratch)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
