@@ -10,8 +10,8 @@ covered.  The copies so found, rounded down, to one at least, as far as pieces
 are left, are the plan; what rounding leaves is solved anew, and the last
 hundredth, or what no longer fills a sequence, is packed best fit.  The plan is a table of rank intervals per length, bounded by the
 number of patterns and not by the corpus.  A piece finds its place by its rank
-among the pieces of its length; ranks are dealt in hash buckets of each length,
-so a length that a third of all rows share is no hot spot.
+among the pieces of its length; ranks are dealt in hash buckets, as many as a
+length's count asks for, so a length that a third of all rows share is no hot spot.
 
 Defined cases: a null or empty text is one piece that holds only the end mark;
 repeated rows are packed each; rows without an id are packed too; an empty table
@@ -36,8 +36,8 @@ from lakeprofile.llm.common import keyed_text, materialise, prepare
 
 CAPACITY = 4096
 END_ID = 1
-#: Hash buckets that the ranks of one length are dealt in.
-BUCKETS = 64
+#: Pieces of one length that are ranked in one hash bucket, about.
+BUCKET_ROWS = 1 << 20
 #: Lengths that one pattern is priced over, the share of pieces that is left to best fit, and the least fill of a pattern.
 _PRICED, REST, FULL = 160, 0.01, 0.999
 #: Words and parts of words whose ids a worker remembers, before it starts afresh.
@@ -68,7 +68,7 @@ class WordIds:
 
         class Parts(dict):
             def __missing__(self, part: str) -> bytes:
-                letters = part if part.isascii() else part.encode().decode("latin-1").translate(outer.as_letters)
+                letters = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(outer.as_letters)
                 self[part] = found = array("I", [t.id for t in outer.model.tokenize(letters)]).tobytes()
                 return found
 
@@ -294,15 +294,16 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of ``docs``."""
     spark = docs.sparkSession
     cut = materialise(pieces(docs, tokenizer, id_col, text_col, capacity, end_id))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
-    counts = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))  # at most capacity x BUCKETS rows
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
+    # These two tables are bounded by the capacity, so they are broadcast.
+    dealers = spark.createDataFrame([(n, -(-c // BUCKET_ROWS)) for n, c in histogram.items()], "length long, parts long")
+    places = spark.createDataFrame(intervals(solve(histogram, capacity)), "length long, low long, high long, slots long, first long, base long")
+    dealt = cut.join(F.broadcast(dealers), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))).drop("parts")
+    # A row for a bucket: the pieces are shuffled by length and bucket for their ranks, so this join moves them no further.
+    counts = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    rows = intervals(solve(histogram, capacity))
-    # Both tables are bounded by the capacity, so they are broadcast: the pieces are shuffled once, for their ranks.
-    places = spark.createDataFrame(rows, "length long, low long, high long, slots long, first long, base long")
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     on = (ranked["length"] == places["length"]) & (ranked["rank"] >= places["low"]) & (ranked["rank"] < places["high"])
     nth = F.col("rank") - F.col("low")
     return ranked.join(F.broadcast(places), on).select(
