@@ -38,11 +38,15 @@ CLASSES = (
     ("hex", r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 3.0),
     ("base36", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$|^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", 3.5),
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+$", 3.8),
+    ("letters", r"^(?=.*[a-z].*[A-Z])[A-Za-z+/_-]+$", 3.85),
+    ("joined", r"^(?=.*[0-9])(?=.*[A-Za-z])[a-z0-9+/_-]+$|^(?=.*[0-9])(?=.*[A-Za-z])[A-Z0-9+/_-]+$", 3.85),
 )
+#: What every candidate that fits a class has.
+_ANY_CLASS = r"[0-9]|[a-z].*[A-Z]"
 #: Candidates that are no secrets: UUIDs, placeholders, one piece over and over, the alphabet in order.
 ALLOWED = r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|(?i:example|sample|dummy|placeholder|changeme|redacted|xxxxx|lorem)|^(.{1,8})\2+$|(?i:abcdefghij|0123456789)"
-#: Public digests and revisions say so before the value.
-ALLOWED_BEFORE = r"""(?i:sha-?\d{1,3}|md5|checksum|digest|integrity|etag|commit|revision|uuid|guid)["']?[\s:=-]*["']?$"""
+#: Public digests and revisions say so before the value; the run between is possessive, so a long one costs its length once.
+ALLOWED_BEFORE = r"""(?i:sha-?\d{1,3}|md5|checksum|digest|integrity|etag|commit|revision|uuid|guid)["']?[\s:=-]*+["']?$"""
 
 
 def _let(value: Column, body) -> Column:
@@ -136,12 +140,12 @@ def _entropy(text: Column) -> Column:
         threshold = lambda c: F.coalesce(*[F.when(c.rlike(p), F.lit(t)) for _, p, t in CLASSES])
         found = _let(
             F.struct(_starts(pieces, m).alias("starts"), pieces.alias("pieces")),
-            lambda s: F.transform(m, lambda c, i: F.struct(s["starts"][i].alias("at"), c.alias("run"), F.right(s["pieces"][i], F.lit(32)).alias("before"), threshold(c).alias("bits"))),
+            lambda s: F.transform(m, lambda c, i: F.struct(s["starts"][i].alias("at"), c.alias("run"), s["pieces"][i].alias("before"), threshold(c).alias("bits"))),
         )
         found = F.filter(found, lambda x: x["bits"].isNotNull() & ~x["run"].rlike(ALLOWED) & ~x["before"].rlike(ALLOWED_BEFORE))
         return F.flatten(F.transform(found, lambda x: F.transform(windows(x["run"], x["bits"]), lambda w: F.struct((x["at"] + w["a"]).alias("start"), F.lit(3).alias("kind"), (x["at"] + w["b"]).alias("stop"))))).cast(_SPANS)
 
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.exists(m, lambda c: c.rlike("[0-9]")), spans(m)).otherwise(none))
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.exists(m, lambda c: c.rlike(_ANY_CLASS)), spans(m)).otherwise(none))
 
 
 def spans_of(text: Column) -> Column:
