@@ -4,12 +4,11 @@ Two public vocabularies measure a text's words: characters per token of each,
 the share of byte-fallback tokens, and the entropy of the token distribution
 against what a text of that many tokens can have.  Each script has a band for
 each measure; a text outside one is rejected.  The bands are parameters, not
-statistics of the corpus: a row is judged alike in any corpus, and no shuffle is
-needed.  They are wide, for they tell text from what is no text: prose in any
-language of a script stays well inside them.
+statistics of the corpus: a row is judged alike in any corpus and at any length,
+and no shuffle is needed.  Their lower ends lie between what prose measures and
+what random letters do, so that gibberish falls outside.
 
-Defined cases: a null or empty text has no words and fails the base rule; texts
-of fewer tokens than ``JUDGED`` are judged by the base rule alone; characters of
+Defined cases: a null or empty text has no words and fails the base rule; characters of
 no script count as ``Other``, whose band admits most, but not bare numbers; repeated rows and rows
 without an id are judged like others; an empty table gives an empty result;
 other columns are ignored by ``measure`` and kept by ``well_formed``.
@@ -29,8 +28,6 @@ from pyspark.sql import DataFrame
 from lakeprofile.llm.common import keyed_text, prepare
 
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: Tokens from which on a text's fertility is judged.
-JUDGED = 50
 #: Characters per token that a text without letters has at least, unless it is in a script the pieces do not know.
 LEAST_PLAIN = 1.0
 _SYMBOLS = b"#*$%&|<>"
@@ -43,7 +40,7 @@ _SCRIPT = {s: regex.compile(rf"\p{{{s}}}") for s in _SCRIPTS}
 #: script: (least and most characters per token by the piece vocabulary, the same by the byte vocabulary,
 #: most share of byte-fallback tokens, least entropy as a share of the most possible)
 BANDS: dict[str, tuple[float, float, float, float, float, float]] = {
-    "Latin": (1.4, 8.0, 1.4, 8.0, 0.10, 0.35),
+    "Latin": (1.69, 8.0, 1.2, 8.0, 0.10, 0.35),
     "Cyrillic": (1.2, 8.0, 0.6, 8.0, 0.10, 0.45),
     "Greek": (0.6, 6.0, 0.5, 6.0, 0.30, 0.40),
     "Arabic": (0.5, 6.0, 0.4, 6.0, 0.50, 0.35),
@@ -187,8 +184,8 @@ def verdict(m: tuple, bands: dict[str, tuple] = BANDS) -> tuple[bool, bool]:
     """(base_failed, kept) of ``measures_of``."""
     n_words, _, _, _, repeats, script, n, by_piece, by_byte, fallback, entropy = m
     failed = n_words < LEAST_WORDS or 100 * repeats > REPEAT_PERCENT * n_words
-    if failed or n < JUDGED:
-        return failed, not failed
+    if failed:
+        return True, False
     low, high, low_b, high_b, most_bytes, least_entropy = bands.get(script, BANDS["Other"])
     if script == "Other" and fallback < 0.5:  # not an unknown script but digits or marks
         low = max(low, LEAST_PLAIN)
