@@ -4,14 +4,16 @@ Records are written by tasks, one archive per task, straight through pyarrow's
 file systems into the shared folder; a record's offset, length, URL and digest
 are the task's output rows.  That index, written as a table, is the commit: an
 archive that a failed attempt left is in no index row and so does not exist.
-To read, selected index rows are grouped by archive and sorted by offset, ranges
-that touch or nearly touch are coalesced up to a bound, and each is read at once.
+To read, selected index rows are dealt to tasks by archive and stretch of
+``READ_BYTES`` in it, as many tasks as their bytes ask for, and sorted by offset;
+ranges that touch or nearly touch are coalesced up to a bound, and each is read at once.
 
 Of records with equal payloads of at least ``REVISIT_BYTES``, that with the
 largest page id is the response; the others are revisit records that refer to
-it and hold no payload.
+it and hold no payload.  A record's id names its archive and place and so is
+unique; the page ids stand, percent-encoded, in fields of their own.
 
-Defined cases: a null payload is an empty one; a null URL is written as
+Defined cases: a page id may be of any type that casts to a string and back; a null payload is an empty one; a null URL is written as
 ``urn:page:`` and the id; repeated rows are records of their own, and those that
 equal the response are responses too; rows without an id are responses; an
 empty table gives an empty index; other columns are ignored.
@@ -24,6 +26,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -33,10 +36,11 @@ from pyspark.sql import functions as F
 from lakeprofile.llm.common import materialise, prepare, scratch
 
 REVISIT_BYTES = 1000
-#: Ranges at most so far apart are read as one, up to so many bytes.
-GAP, READ_BYTES = 64 << 10, 4 << 20
+#: Ranges at most so far apart are read as one, up to so many bytes; a task reads about so many.
+GAP, READ_BYTES, TASK_BYTES = 64 << 10, 4 << 20, 64 << 20
 _LEVEL = 1
 _EPOCH = "2020-01-01T00:00:00Z"
+_PAGE, _PAGE_REFERRED = "X-Page-ID", "X-Refers-To-Page-ID"
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -55,24 +59,26 @@ def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payl
     return plain.join(others, on, "left").select("page_id", "url", "payload", "refers_to", "refers_url")
 
 
-def _record(page_id, url: str | None, payload: bytes, refers_to, refers_url: str | None) -> tuple[bytes, str, str]:
+def _record(name: str, page_id: str | None, url: str | None, payload: bytes, refers_to: str | None, refers_url: str | None) -> tuple[bytes, str, str]:
     digest = hashlib.sha1(payload).hexdigest()
-    uri = url if url else f"urn:page:{page_id}"
+    uri = url if url else f"urn:page:{quote(page_id or '', safe='')}"
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>",
         f"WARC-Date: {_EPOCH}",
         "WARC-Target-URI: " + uri.replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
+    if page_id is not None:
+        head.append(f"{_PAGE}: {quote(page_id, safe='')}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"{_PAGE_REFERRED}: {quote(refers_to, safe='')}"]
         if refers_url:
             head.append("WARC-Refers-To-Target-URI: " + refers_url.replace("\r", "%0D").replace("\n", "%0A"))
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", kind, digest
@@ -96,8 +102,8 @@ def write(records: DataFrame, folder: str | None = None) -> DataFrame:
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(path, compression=None)  # records are compressed one by one
                 rows = []
-                for page_id, url, payload, to, to_url in zip(*(c.to_pylist() for c in (b.column(0), b.column(1), b.column(2).cast(pa.binary()), b.column(3), b.column(4)))):
-                    record, kind, digest = _record(page_id, url, payload, to, to_url)
+                for page_id, url, payload, to, to_url in zip(*(c.to_pylist() for c in (b.column(5), b.column(1), b.column(2).cast(pa.binary()), b.column(3), b.column(4)))):
+                    record, kind, digest = _record(f"{archive}#{at}", page_id, url, payload, to, to_url)
                     packed = gzip.compress(record, _LEVEL, mtime=0)
                     out.write(packed)
                     rows.append((digest, kind, at, len(packed)))
@@ -109,7 +115,8 @@ def write(records: DataFrame, folder: str | None = None) -> DataFrame:
                 out.close()
 
     prepare(spark)
-    index = records.select("page_id", "url", "payload", "refers_to", "refers_url").mapInArrow(run, f"page_id {id_type}, url string, digest string, record_type string, archive string, offset long, length long")
+    spelled = F.col("page_id").cast("string").alias("spelled")
+    index = records.select("page_id", "url", "payload", F.col("refers_to").cast("string"), "refers_url", spelled).mapInArrow(run, f"page_id {id_type}, url string, digest string, record_type string, archive string, offset long, length long")
     return materialise(index)
 
 
@@ -133,14 +140,14 @@ def parse(record: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     length = int(dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"])
     revisit = fields["WARC-Type"] == "revisit"
-    ident = lambda name: int(fields[name][len("<urn:page:") : -1]) if name in fields and fields[name] != "<urn:page:None>" else None
+    ident = lambda name: unquote(fields[name]) if name in fields else None
     return {
-        "page_id": ident("WARC-Record-ID"),
+        "page_id": ident(_PAGE),
         "url": fields["WARC-Target-URI"],
         "payload_bytes": length if revisit else len(payload),
         "payload_digest": fields["WARC-Payload-Digest"][5:] if revisit else hashlib.sha1(payload).hexdigest(),
         "record_type": fields["WARC-Type"],
-        "refers_to": ident("WARC-Refers-To"),
+        "refers_to": ident(_PAGE_REFERRED),
         "payload": None if revisit else payload,
     }
 
@@ -148,7 +155,7 @@ def parse(record: bytes) -> dict:
 def read(index: DataFrame, payload: bool = True) -> DataFrame:
     """The records of the selected ``index`` rows: page_id, url, payload_bytes, payload_digest, record_type, refers_to and the payload."""
     fields = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payload
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payload)
+    schema = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())] + [("payload", pa.binary())] * payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:  # rows come sorted by archive and offset
@@ -167,10 +174,15 @@ def read(index: DataFrame, payload: bool = True) -> DataFrame:
                         yield pa.RecordBatch.from_pylist([{k: x[k] for k in fields} for x in found], schema=schema)
                 at = end
 
-    prepare(index.sparkSession)
-    # An archive is as large as a task's share, so its rows may go to any one task.
-    placed = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
-    return placed.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload)
+    spark = index.sparkSession
+    prepare(spark)
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(-(-total // READ_BYTES), max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))))
+    stretch = F.floor(F.col("offset") / READ_BYTES)
+    placed = index.select("archive", "offset", "length").repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "offset")
+    found = placed.mapInArrow(run, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * payload)
+    kind = index.schema["page_id"].dataType
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
