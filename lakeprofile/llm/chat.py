@@ -1,9 +1,10 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-Prefix sums of turn tokens choose the windows: with a step that leaves room for
-the longest turn, the window of a turn is its prefix over the step, so windows
-are turn-aligned and keep within the budget whenever each turn does.  Every
-window begins with the conversation's leading system turn, then repeats a
+Prefix sums of turn tokens choose the windows.  A turn that takes over half of a
+window's room has one to itself; between such turns the window of a turn is its
+prefix over a step that leaves room for the longest of the others, so windows
+are turn-aligned, half full at least, and keep within the budget whenever each
+turn does.  Every window begins with the conversation's leading system turn, then repeats a
 limited history, then has its own turns.  Only the assistant texts among its own
 turns are under the loss mask, so each target is trained on once.
 
@@ -20,6 +21,8 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +43,11 @@ def unescape(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """An estimate that needs no vocabulary: a token for every four bytes."""
+    """The default measure of a text's tokens, an estimate that needs no vocabulary: a token for every four bytes."""
     return F.ceil(F.octet_length(text) / 4).cast("long")
 
 
-def turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tokens: Callable[[Column], Column] = tokens) -> DataFrame:
     """(conv_id, n, role, text, tokens, system, window, repeats): the turns by number, each with its own window and those that repeat it.
 
     ``window`` is null for a leading system turn: all windows have it.
@@ -59,23 +62,30 @@ def turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     by = by.withColumn("system", (F.col("n") == 1) & (F.col("role") == "system"))
     spent = F.when(F.col("system"), 0).otherwise(F.col("tokens"))
     by = by.withColumn("before", F.sum(spent).over(running) - spent)
-    longest, prefix = F.max(spent).over(whole), F.max(F.when(F.col("system"), F.col("tokens")).otherwise(0)).over(whole)
-    by = by.withColumn("step", F.greatest(F.lit(BUDGET - HISTORY + 1) - prefix - longest, F.lit(1)))
-    by = by.withColumn("window", F.when(~F.col("system"), F.floor(F.col("before") / F.col("step")).cast("long")))
+    prefix = F.max(F.when(F.col("system"), F.col("tokens")).otherwise(0)).over(whole)
+    by = by.withColumn("room", F.greatest(F.lit(BUDGET - HISTORY) - prefix, F.lit(1)))
+    by = by.withColumn("alone", 2 * spent > F.col("room"))
+    longest = F.max(F.when(F.col("alone"), 0).otherwise(spent)).over(whole)
+    by = by.withColumn("step", F.col("room") - longest + 1)
+    # A stretch begins with a turn that is alone, and after one; prefixes do not decrease, so the last beginning is the largest.
+    by = by.withColumn("breaks", F.col("alone") | F.coalesce(F.lag("alone").over(order), F.lit(True)))
+    by = by.withColumn("part", F.floor((F.col("before") - F.max(F.when(F.col("breaks"), F.col("before"))).over(running)) / F.col("step")))
+    opens = F.when(F.col("system"), 0).when(F.col("breaks") | F.lag("system").over(order) | (F.col("part") > F.lag("part").over(order)), 1).otherwise(0)
+    by = by.withColumn("window", F.when(~F.col("system"), F.sum(opens).over(running) - 1))
     later = [F.struct(F.lead("window", r).over(order).alias("window"), F.lead("before", r).over(order).alias("before"), F.lead("window", r - 1).over(order).alias("previous")) for r in range(1, HISTORY_TURNS + 1)]
     by = by.withColumn("later", F.array(*later))
     begins = F.filter("later", lambda x: x["window"].isNotNull() & x["previous"].isNotNull() & (x["window"] > x["previous"]) & (x["before"] - F.col("before") <= HISTORY))
     return by.select("conv_id", "n", "role", "text", "tokens", "system", "window", F.when(F.col("system"), F.array().cast("array<bigint>")).otherwise(F.transform(begins, lambda x: x["window"])).alias("repeats"))
 
 
-def windows(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def windows(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tokens: Callable[[Column], Column] = tokens) -> DataFrame:
     """(conv_id, window, formatted, loss, repeated): one row per window.
 
     ``loss`` lists the spans (start, stop in code points) of ``formatted`` that
     are trained on; the first ``repeated`` turns are copies of turns that
     another window has as its own.
     """
-    parts = turns(conversations, conv_col, turn_col, role_col, text_col)
+    parts = turns(conversations, conv_col, turn_col, role_col, text_col, tokens)
     # A leading system turn belongs to the first window and is repeated in every other.
     opens = Window.partitionBy("conv_id", "window")
     by_n = Window.partitionBy("conv_id").orderBy("n")
@@ -149,13 +159,21 @@ WITH plain AS (
   SELECT *, CASE WHEN system THEN 0 ELSE tokens END AS spent,
     length(regexp_replace(replace(role, '\', '\\'), '<(\||/?s>|</?SYS>>)|\[(/?INST\])', '<\\\1\2', 'g')) + length(regexp_replace(replace(text, '\', '\\'), '<(\||/?s>|</?SYS>>)|\[(/?INST\])', '<\\\1\2', 'g')) + {len(START + SEP + END)} AS chars
   FROM numbered
-), stepped AS (
+), roomy AS (
   SELECT *, sum(spent) OVER (PARTITION BY conv_id ORDER BY n) - spent AS before,
-    greatest({BUDGET - HISTORY + 1} - max(CASE WHEN system THEN tokens ELSE 0 END) OVER c - max(spent) OVER c, 1) AS step,
+    greatest({BUDGET - HISTORY} - max(CASE WHEN system THEN tokens ELSE 0 END) OVER c, 1) AS room,
     max(CASE WHEN system THEN chars ELSE 0 END) OVER c AS lead_chars
   FROM summed WINDOW c AS (PARTITION BY conv_id)
+), stepped AS (
+  SELECT *, 2 * spent > room AS alone, room + 1 - max(CASE WHEN 2 * spent > room THEN 0 ELSE spent END) OVER (PARTITION BY conv_id) AS step FROM roomy
+), broken AS (
+  SELECT *, alone OR coalesce(lag(alone) OVER (PARTITION BY conv_id ORDER BY n), true) AS breaks FROM stepped
+), parted AS (
+  SELECT *, CAST(floor((before - max(CASE WHEN breaks THEN before END) OVER (PARTITION BY conv_id ORDER BY n)) / step) AS BIGINT) AS part FROM broken
+), opened AS (
+  SELECT *, CASE WHEN system THEN 0 WHEN breaks OR lag(system) OVER o OR part > lag(part) OVER o THEN 1 ELSE 0 END AS opens FROM parted WINDOW o AS (PARTITION BY conv_id ORDER BY n)
 ), windowed AS (
-  SELECT *, CASE WHEN NOT system THEN CAST(floor(before / step) AS BIGINT) END AS win FROM stepped
+  SELECT *, CASE WHEN NOT system THEN CAST(sum(opens) OVER (PARTITION BY conv_id ORDER BY n) - 1 AS BIGINT) END AS win FROM opened
 ), repeated AS (
   SELECT *, {" + ".join(f"CASE WHEN NOT system AND lead(win, {r}) OVER o > lead(win, {r - 1}) OVER o AND lead(before, {r}) OVER o - before <= {HISTORY} THEN 1 ELSE 0 END" for r in range(1, HISTORY_TURNS + 1))} AS again
   FROM windowed WINDOW o AS (PARTITION BY conv_id ORDER BY n)
