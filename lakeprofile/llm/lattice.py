@@ -1,39 +1,54 @@
 """SentencePiece encoding and decoding as relations.
 
-Texts are cut into units no piece crosses.  For the distinct units a lattice is
-made: bounded-length substrings are exploded and equi-joined to the piece table,
-the edges found are grouped by unit, and a fold with Spark's ``aggregate`` picks
-the path.  The public vocabulary is a byte-pair one, for which the best sum of
-scores is not what its encoder returns; so the fold does not add scores up but
-takes, step by step, the edge of best score that joins two neighbouring nodes of
-the path.  ``viterbi`` is the fold for unigram vocabularies, over the same edges.
-Decoding looks pieces up by id, row by row.
+Texts are cut into units no piece crosses: a word with the spaces before it, or
+a line's end.  For the distinct units of the corpus a lattice is made:
+bounded-length substrings are exploded and equi-joined to the piece table, the
+edges found are grouped by unit, and a fold with Spark's ``aggregate`` takes the
+path of the greatest sum of scores (Viterbi).  The fold walks the edges in order
+of their ends and keeps the scores of as many nodes as the longest piece has
+characters, so units of any length go the same way.
+
+A text's ids are those of its units.  The units that most texts have, at most
+``FREQUENT``, are broadcast; the others reach their texts by joins on the unit
+and on the text's hash, so nothing that grows with the corpus is broadcast.
+
+``merged`` is another fold over the same lattice: neighbours join in order of
+score, as the encoder of a byte-pair vocabulary does; its ids equal the
+library's, those of the greatest sum need not.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; a
-character without a piece becomes its bytes' pieces; units longer than
-``LATTICE_CHARS`` are encoded by a heap over the same piece table, for a fold's
-state would be copied once a step; repeated rows are encoded each; an empty
-table gives an empty result; other columns are ignored.
+character without a piece becomes its bytes' pieces; of equal sums the path whose
+last piece is longest is taken; repeated rows are encoded each; an empty table
+gives an empty result; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import chain
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lakeprofile.llm.common import materialise, prepare
 
 SPACE = "▁"
-LATTICE_CHARS = 48
-_UNITS = f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n"
+#: Units that are broadcast, at most; about 50 bytes each.
+FREQUENT = 1 << 18
+#: The score of a character that has no piece.
+UNKNOWN = -1e6
+_UNITS = re.compile(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n")
 
 
-def vocabulary(model_file: str) -> tuple[list[tuple[str, int, float]], list[str], int]:
-    """(piece, id, score) of the ordinary pieces, the hex bytes of every id in order, and the id of byte zero."""
+def vocabulary(model_file: str) -> tuple[list[tuple[str, int, float]], list[bytes], int]:
+    """(piece, id, score) of the ordinary pieces, the bytes of every id in order, and the id of byte zero."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -41,8 +56,12 @@ def vocabulary(model_file: str) -> tuple[list[tuple[str, int, float]], list[str]
     byte = [i for i in range(size) if sp.is_byte(i)]
     special = {i for i in range(size) if sp.is_control(i) or sp.is_unknown(i)}
     plain = [(sp.id_to_piece(i), i, sp.get_score(i)) for i in range(size) if i not in special and not sp.is_byte(i)]
-    hexed = ["" if i in special else sp.id_to_piece(i)[3:5] if sp.is_byte(i) else sp.id_to_piece(i).replace(SPACE, " ").encode().hex().upper() for i in range(size)]
-    return plain, hexed, byte[0]
+    said = [b"" if i in special else bytes([i - byte[0]]) if sp.is_byte(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(size)]
+    return plain, said, byte[0]
+
+
+def units_of(text: str) -> list[str]:
+    return _UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def bytes_of(ch: Column, first: int) -> Column:
@@ -51,113 +70,151 @@ def bytes_of(ch: Column, first: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.conv(h.substr(i, F.lit(2)), 16, 10).cast("int") + first)
 
 
-def merged(edges: Column, size: Column) -> Column:
-    """array<int>: the nodes on the byte-pair path from 0 to ``size`` through ``edges`` (start, stop, id, score)."""
+_STEP = "struct<id:int,len:int>"
 
-    def step(nodes: Column, _: Column) -> Column:
-        joins = F.filter(edges, lambda e: F.array_contains(nodes, e["start"]) & F.array_contains(nodes, e["stop"]) & (F.size(F.filter(nodes, lambda n: (n > e["start"]) & (n < e["stop"]))) == 1))
-        best = F.array_max(F.transform(joins, lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("first"), e["stop"].alias("stop"))))
-        return F.transform(F.array(best), lambda b: F.when(b.isNull(), nodes).otherwise(F.filter(nodes, lambda n: (n <= -b["first"]) | (n >= b["stop"]))))[0]
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), F.sequence(F.lit(0), size), step)
+def viterbi(edges: Column, size: Column, longest: int) -> Column:
+    """array<struct<id,stop>>: the path of the greatest sum of scores through ``edges`` (stop, len, id, score), sorted.
 
+    Every node from 1 to ``size`` must have an edge of length one that ends there.
+    """
+    state = F.struct(F.lit(1).alias("next"), F.array(F.lit(0.0)).alias("scores"), F.array().cast(f"array<{_STEP}>").alias("back"))
 
-def viterbi(edges: Column, size: Column, unknown: float = -1e4) -> Column:
-    """array<int>: the nodes on the path of the greatest sum of scores; a character without a piece costs ``unknown``."""
-    state = F.array(F.struct(F.lit(0.0).alias("score"), F.array(F.lit(0)).alias("path")))
+    def step(acc: Column, stop: Column) -> Column:
+        into = F.filter(F.slice(edges, acc["next"], longest), lambda e: e["stop"] == stop)
+        sums = F.array_max(F.transform(into, lambda e: F.struct((F.element_at(acc["scores"], -e["len"]) + e["score"]).alias("sum"), e["len"].alias("len"), e["id"].alias("id"))))
+        # computed once: the best edge, and how many edges end here
+        return F.transform(
+            F.array(F.struct(sums.alias("best"), F.size(into).alias("n"))),
+            lambda x: F.struct(
+                (acc["next"] + x["n"]).alias("next"),
+                F.array_append(F.when(F.size(acc["scores"]) < longest, acc["scores"]).otherwise(F.slice(acc["scores"], 2, longest - 1)), x["best"]["sum"]).alias("scores"),
+                F.array_append(acc["back"], F.struct(x["best"]["id"].alias("id"), x["best"]["len"].alias("len"))).cast(f"array<{_STEP}>").alias("back"),
+            ),
+        )[0]
 
-    def step(best: Column, stop: Column) -> Column:
-        into = F.filter(edges, lambda e: e["stop"] == stop)
-        paths = F.transform(into, lambda e: F.struct((F.element_at(best, e["start"] + 1)["score"] + e["score"]).alias("score"), F.array_append(F.element_at(best, e["start"] + 1)["path"], stop).alias("path")))
-        last = F.element_at(best, -1)
-        bare = F.struct((last["score"] + unknown).alias("score"), F.array_append(last["path"], stop).alias("path"))
-        return F.array_append(best, F.array_max(F.array_append(paths, bare)))
+    back = F.aggregate(F.sequence(F.lit(1), size), state, step, lambda a: a["back"])
+    pair = "struct<id:int,stop:int>"
 
-    return F.aggregate(F.sequence(F.lit(1), size), state, step, lambda a: F.element_at(a, -1)["path"])
+    def walk(found: Column) -> Column:
+        start = F.struct(size.alias("at"), F.array().cast(f"array<{pair}>").alias("path"))
+        taken = lambda acc, i: F.struct((i - found[i - 1]["len"]).alias("at"), F.array_append(acc["path"], F.struct(found[i - 1]["id"].alias("id"), i.alias("stop"))).cast(f"array<{pair}>").alias("path"))
+        return F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), start, lambda acc, i: F.when(acc["at"] == i, taken(acc, i)).otherwise(acc), lambda a: F.reverse(a["path"]))
 
+    return F.transform(F.array(back), walk)[0]
 
-def heap_ids(unit: str, pieces: dict[str, tuple[int, float]], first: int) -> list[int]:
-    """The ids of one unit by merging its best neighbours, in n log n."""
-    part: list[str | None] = list(unit)
-    prev, after = list(range(-1, len(part) - 1)), list(range(1, len(part) + 1))
-    todo: list[tuple[float, int, int, str]] = []
 
-    def offer(a: int, b: int) -> None:
-        if a >= 0 and b < len(part) and (found := pieces.get(part[a] + part[b])):
-            heapq.heappush(todo, (-found[1], a, b, part[a] + part[b]))
+def merged(edges: Column, size: Column, longest: int) -> Column:
+    """array<struct<id,stop>>: the path that joining neighbours by best score leaves; it costs the cube of a unit's length."""
+    pairs = F.filter(edges, lambda e: e["len"] > 1)
+
+    def step(nodes: Column, _: Column) -> Column:
+        joins = F.filter(pairs, lambda e: F.array_contains(nodes, e["stop"] - e["len"]) & F.array_contains(nodes, e["stop"]) & (F.size(F.filter(nodes, lambda n: (n > e["stop"] - e["len"]) & (n < e["stop"]))) == 1))
+        best = F.array_max(F.transform(joins, lambda e: F.struct(e["score"].alias("score"), (e["len"] - e["stop"]).alias("first"), e["stop"].alias("stop"))))
+        return F.transform(F.array(best), lambda b: F.when(b.isNull(), nodes).otherwise(F.filter(nodes, lambda n: (n <= -b["first"]) | (n >= b["stop"]))))[0]
 
-    for i in range(len(part) - 1):
-        offer(i, i + 1)
-    while todo:
-        _, a, b, both = heapq.heappop(todo)
-        if part[a] is None or part[b] is None or after[a] != b or part[a] + part[b] != both:
-            continue
-        part[a], part[b] = both, None
-        after[a] = after[b]
-        if after[b] < len(part):
-            prev[after[b]] = a
-        offer(prev[a], a)
-        offer(a, after[a])
-    return [i for p in part if p is not None for i in ([pieces[p][0]] if p in pieces else [first + x for x in p.encode()])]
+    path = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), F.sequence(F.lit(0), size), step)
+    hit = lambda start, stop: F.filter(edges, lambda e: (e["stop"] == stop) & (e["len"] == stop - start))[0]["id"]
+    return F.transform(F.array(path), lambda p: F.transform(F.slice(p, 2, F.size(p)), lambda stop, i: F.struct(hit(p[i], stop).alias("id"), stop.alias("stop"))))[0]
 
 
-def encode_units(units: DataFrame, model_file: str, fold=merged) -> DataFrame:
-    """(unit, ids) for the distinct ``unit`` values given."""
+def encode_units(units: DataFrame, model_file: str, fold=viterbi) -> DataFrame:
+    """``units``, whose column ``unit`` is distinct and not empty, with its ``ids``."""
     spark = units.sparkSession
     plain, _, first = vocabulary(model_file)
     longest = max(len(p) for p, _, _ in plain)
-    table = spark.createDataFrame(plain, "piece string, id int, score float")
-    short = units.where(F.length("unit") <= LATTICE_CHARS)
-    size = F.length("unit")
-    starts = short.select("unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start")))).alias("len"))
-    edges = spans.select("unit", "start", (F.col("start") + F.col("len")).alias("stop"), F.substring("unit", F.col("start") + 1, F.col("len")).alias("piece"))
-    # The piece table is a vocabulary: its size does not depend on the data.
-    found = edges.join(F.broadcast(table), "piece").groupBy("unit").agg(F.collect_list(F.struct("start", "stop", "id", "score")).alias("edges"))
-    lattice = short.join(found, "unit", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<start:int,stop:int,id:int,score:float>>")))
-    pairs = F.filter("edges", lambda e: e["stop"] - e["start"] > 1) if fold is merged else F.col("edges")
-    path = lattice.withColumn("path", fold(pairs, size))
-
-    def ids(start: Column, stop: Column) -> Column:
-        hit = F.filter("edges", lambda e: (e["start"] == start) & (e["stop"] == stop))
-        return F.when(F.size(hit) > 0, F.transform(hit, lambda e: e["id"])).otherwise(bytes_of(F.col("unit").substr(start + 1, stop - start), first))
-
-    ends = F.slice("path", 2, F.size("path"))
-    short = path.select("unit", F.flatten(F.transform(ends, lambda stop, i: ids(F.col("path")[i], stop))).alias("ids"))
+    # The piece table is a vocabulary: its size does not depend on the data.  Pieces meet as 64-bit hashes first.
+    table = spark.createDataFrame(plain, "piece string, id int, score float").select(F.xxhash64("piece").alias("key"), "piece", "id", "score")
+    stops = units.select("*", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("stop"))
+    spans = stops.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("stop")))).alias("len"))
+    cut = spans.withColumn("cut", F.substring("unit", F.col("stop") - F.col("len") + 1, F.col("len")))
+    on = (F.xxhash64(cut["cut"]) == table["key"]) & (cut["cut"] == table["piece"])
+    edges = cut.join(F.broadcast(table), on, "left").where("id IS NOT NULL OR len = 1")
+    edge = F.struct("stop", "len", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(UNKNOWN)).cast("double").alias("score"))
+    # Units that come partitioned by ``unit`` stay so: the edges are not shuffled.
+    lattice = edges.groupBy(*units.columns).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    path = lattice.select(*units.columns, fold(F.col("edges"), F.length("unit"), longest).alias("path"))
+    spelled = F.flatten(F.transform("path", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(bytes_of(F.col("unit").substr(p["stop"], F.lit(1)), first))))
+    return path.select(*units.columns, F.when(F.exists("path", lambda p: p["id"] < 0), spelled).otherwise(F.transform("path", lambda p: p["id"])).alias("ids"))
+
+
+def _encoded(rows: DataFrame, model_file: str, text_col: str, fold, kinds: str, finish: Callable[[str, bytes], tuple]) -> DataFrame:
+    """The columns of ``rows`` and those of ``kinds``: ``finish`` of each text and the bytes of its ids."""
+    spark = rows.sparkSession
+    prepare(spark)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = Counter(chain.from_iterable(set(units_of(t)) for t in b.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
+
+    counted = rows.select(text.alias("text")).mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    known = materialise(encode_units(counted, model_file, fold))
+    top = known.where("n > 1").orderBy(F.desc("n"), "unit").limit(FREQUENT).select("unit", "ids").collect()
+    frequent = spark.sparkContext.broadcast({r["unit"]: np.array(r["ids"], dtype="<i4").tobytes() for r in top})
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = frequent.value
+        for b in batches:
+            once = dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            for h, t in once.items():
+                rare = [u for u in set(units_of(t)) if u not in common]
+                if rare:
+                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(rare), pa.int64()), pa.array(rare, pa.string())], names=["h", "unit"])
+
+    # Texts of one hash share their rare units; should two unlike texts do so, each finds its own among them.
+    rare = rows.select(F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(others, "h long, unit string").join(known.select("unit", "ids"), "unit")
+    per_text = rare.groupBy("h").agg(F.collect_list(F.struct("unit", "ids")).alias("rare"))
+    whole = rows.select(F.struct("*").alias("row"), text.alias("text"), F.xxhash64(text).alias("h")).join(per_text, "h", "left").select("row", "text", "rare")
+    added = StructType.fromDDL(kinds)
+    into = to_arrow_schema(added)
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = frequent.value
+        for b in batches:
+            done = []
+            for t, more in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                own = {x["unit"]: np.array(x["ids"], dtype="<i4").tobytes() for x in more or ()}
+                done.append(finish(t, b"".join([common[u] if u in common else own[u] for u in units_of(t)])))
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*done), into)] if done else [pa.array([], f.type) for f in into]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["row", *added.names])
+
+    found = whole.mapInArrow(assemble, StructType([whole.schema["row"], *added.fields]))
+    return found.select("row.*", *added.names)
+
+
+def encode(rows: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "piece_ids", fold=viterbi) -> DataFrame:
+    """``rows`` with an array of piece ids as a new last column ``ids_col``, whose name ``rows`` must not have."""
+    if ids_col in rows.columns:
+        raise ValueError(f"there is a column {ids_col}; give ids_col another name")
+    return _encoded(rows, model_file, text_col, fold, f"`{ids_col}` array<int>", lambda _, ids: (np.frombuffer(ids, dtype="<i4"),))
+
+
+def decoded(ids: bytes, said: list[bytes]) -> str:
+    """The text of 32-bit ``ids``: their pieces' bytes together, without the space that encoding puts first."""
+    return b"".join(map(said.__getitem__, np.frombuffer(ids, dtype="<i4").tolist())).decode("utf-8", "replace").removeprefix(" ")
+
+
+def decode(rows: DataFrame, model_file: str, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:
+    """``rows`` with the text of their ids as a new last column ``text_col``; null ids have an empty text."""
+    said = rows.sparkSession.sparkContext.broadcast(vocabulary(model_file)[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {p: (i, s) for p, i, s in shared.value}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([heap_ids(u, known, first) for u in b.column(0).to_pylist()], pa.list_(pa.int32()))], names=["unit", "ids"])
+            texts = [decoded(np.array(i or (), dtype="<i4").tobytes(), said.value) for i in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "said"])
 
-    shared = spark.sparkContext.broadcast(plain)
-    prepare(spark)
-    return short.unionByName(units.where(F.length("unit") > LATTICE_CHARS).mapInArrow(run, "unit string, ids array<int>"))
-
-
-def encode(rows: DataFrame, model_file: str, text_col: str = "text", fold=merged) -> DataFrame:
-    """``rows`` with a column ``ids`` and a row number ``rid``, both new (such columns of ``rows`` are replaced)."""
-    rows = materialise(rows.drop("ids").withColumn("rid", F.monotonically_increasing_id()))
-    text = F.regexp_replace(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), " ", SPACE)
-    whole = rows.where(F.length(text) > 0).select("rid", F.regexp_extract_all(F.concat(F.lit(SPACE), text), F.lit(_UNITS), F.lit(0)).alias("units"))
-    said = whole.select("rid", F.posexplode("units").alias("pos", "unit"))
-    known = materialise(encode_units(materialise(said.select("unit").distinct()), model_file, fold))
-    # A frequent unit is a hot key of the occurrences; the engine splits such partitions of a sort-merge join.
-    joined = said.join(known.hint("merge"), "unit").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    ids = joined.select("rid", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-    return rows.join(ids, "rid", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
-
-
-def decode(ids: Column, model_file: str) -> Column:
-    """The text of ``ids``: pieces' bytes together, without the space that encoding puts first."""
-    _, hexed, _ = vocabulary(model_file)
-    table = F.split(F.lit(",".join(hexed)), ",", -1)  # a constant; the vocabulary bounds it
-    whole = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")), "utf-8")
-    return F.regexp_replace(whole, "^ ", "")
-
-
-def round_trip(rows: DataFrame, model_file: str, keys: list[str], text_col: str = "text") -> DataFrame:
-    """``keys``, n_ids, ids_sha1 (of the comma-joined ids) and whether decoding gives the text back, for each row."""
-    done = encode(rows.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text_col}`").alias("text")), model_file)
-    plain = F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " ")
-    return done.select(*keys, F.size("ids").cast("long").alias("n_ids"), F.sha1(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids_sha1"), (decode(F.col("ids"), model_file) == plain).alias("round_trip"))
+    prepare(rows.sparkSession)
+    whole = rows.select(F.struct("*").alias("row"), F.col(f"`{ids_col}`"))
+    return whole.mapInArrow(run, StructType([whole.schema["row"], StructField("said", StringType())])).select("row.*", F.col("said").alias(text_col))
+
+
+def round_trip(rows: DataFrame, model_file: str, keys: list[str], text_col: str = "text", fold=viterbi) -> DataFrame:
+    """``keys``, n_ids, ids_crc32 (of little-endian unsigned 32-bit ids) and whether decoding gives the text back, for each row."""
+    said = rows.sparkSession.sparkContext.broadcast(vocabulary(model_file)[1])
+
+    def finish(text: str, ids: bytes) -> tuple:
+        return len(ids) // 4, crc32(ids), decoded(ids, said.value) == text.replace(SPACE, " ")
+
+    return _encoded(rows.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text_col}`")), model_file, text_col, fold, "n_ids long, ids_crc32 long, round_trip boolean", finish).select(*keys, "n_ids", "ids_crc32", "round_trip")

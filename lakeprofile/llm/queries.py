@@ -43,7 +43,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.round_trip(table(spark, sf_dir, "conversations"), public_tokenizers.path("piece_bpe_32k.model"), ["conv_id", "turn"])
+    return lattice.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
