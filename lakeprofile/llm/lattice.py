@@ -4,9 +4,8 @@ Texts are cut into units no piece crosses: a word with the spaces before it, or
 a line's end.  For the distinct units of the corpus a lattice is made:
 bounded-length substrings are exploded and equi-joined to the piece table, the
 edges found are grouped by unit, and a fold with Spark's ``aggregate`` takes the
-path of the greatest sum of scores (Viterbi).  The fold walks the edges in order
-of their ends and keeps the scores of as many nodes as the longest piece has
-characters, so units of any length go the same way.
+path of the greatest sum of scores (Viterbi).  The fold walks the edges once, in
+order of their ends, so units of any length go the same way.
 
 A text's ids are those of its units.  The units that most texts have, at most
 ``FREQUENT``, are broadcast; the others reach their texts by joins on the unit
@@ -42,8 +41,8 @@ from lakeprofile.llm.common import materialise, prepare
 SPACE = "▁"
 #: Units that are broadcast, at most; about 50 bytes each.
 FREQUENT = 1 << 18
-#: The score of a character that has no piece.
-UNKNOWN = -1e6
+#: A character that has no piece scores so much less than the least of all pieces.
+UNKNOWN = 10.0
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n")
 
 
@@ -70,41 +69,34 @@ def bytes_of(ch: Column, first: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.conv(h.substr(i, F.lit(2)), 16, 10).cast("int") + first)
 
 
-_STEP = "struct<id:int,len:int>"
-
-
-def viterbi(edges: Column, size: Column, longest: int) -> Column:
+def viterbi(edges: Column, size: Column) -> Column:
     """array<struct<id,stop>>: the path of the greatest sum of scores through ``edges`` (stop, len, id, score), sorted.
 
-    Every node from 1 to ``size`` must have an edge of length one that ends there.
+    Every node from 1 to ``size`` must have an edge of length one that ends
+    there.  The state has the best (sum, len, id) into each node that all edges
+    have reached, and the best so far into the next one.
     """
-    state = F.struct(F.lit(1).alias("next"), F.array(F.lit(0.0)).alias("scores"), F.array().cast(f"array<{_STEP}>").alias("back"))
-
-    def step(acc: Column, stop: Column) -> Column:
-        into = F.filter(F.slice(edges, acc["next"], longest), lambda e: e["stop"] == stop)
-        sums = F.array_max(F.transform(into, lambda e: F.struct((F.element_at(acc["scores"], -e["len"]) + e["score"]).alias("sum"), e["len"].alias("len"), e["id"].alias("id"))))
-        # computed once: the best edge, and how many edges end here
-        return F.transform(
-            F.array(F.struct(sums.alias("best"), F.size(into).alias("n"))),
-            lambda x: F.struct(
-                (acc["next"] + x["n"]).alias("next"),
-                F.array_append(F.when(F.size(acc["scores"]) < longest, acc["scores"]).otherwise(F.slice(acc["scores"], 2, longest - 1)), x["best"]["sum"]).alias("scores"),
-                F.array_append(acc["back"], F.struct(x["best"]["id"].alias("id"), x["best"]["len"].alias("len"))).cast(f"array<{_STEP}>").alias("back"),
-            ),
-        )[0]
-
-    back = F.aggregate(F.sequence(F.lit(1), size), state, step, lambda a: a["back"])
+    node = "struct<sum:double,len:int,id:int>"
+    state = F.struct(F.array(F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("len"), F.lit(-1).alias("id"))).alias("nodes"), F.lit(None).cast(node).alias("best"))
+
+    def step(acc: Column, e: Column) -> Column:
+        same = e["stop"] == F.size(acc["nodes"])
+        before = F.when(~same & (e["len"] == 1), acc["best"]["sum"]).otherwise(F.element_at(acc["nodes"], e["stop"] - e["len"] + 1)["sum"])
+        into = F.struct((before + e["score"]).alias("sum"), e["len"].alias("len"), e["id"].alias("id"))
+        return F.when(same, F.struct(acc["nodes"].alias("nodes"), F.greatest(acc["best"], into).alias("best"))).otherwise(F.struct(F.array_append(acc["nodes"], acc["best"]).alias("nodes"), into.alias("best")))
+
+    back = F.aggregate(edges, state, step, lambda a: F.array_append(a["nodes"], a["best"]))
     pair = "struct<id:int,stop:int>"
 
-    def walk(found: Column) -> Column:
+    def walk(nodes: Column) -> Column:
         start = F.struct(size.alias("at"), F.array().cast(f"array<{pair}>").alias("path"))
-        taken = lambda acc, i: F.struct((i - found[i - 1]["len"]).alias("at"), F.array_append(acc["path"], F.struct(found[i - 1]["id"].alias("id"), i.alias("stop"))).cast(f"array<{pair}>").alias("path"))
+        taken = lambda acc, i: F.transform(F.array(nodes[i]), lambda x: F.struct((i - x["len"]).alias("at"), F.array_append(acc["path"], F.struct(x["id"].alias("id"), i.alias("stop")).cast(pair)).alias("path")))[0]
         return F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), start, lambda acc, i: F.when(acc["at"] == i, taken(acc, i)).otherwise(acc), lambda a: F.reverse(a["path"]))
 
     return F.transform(F.array(back), walk)[0]
 
 
-def merged(edges: Column, size: Column, longest: int) -> Column:
+def merged(edges: Column, size: Column) -> Column:
     """array<struct<id,stop>>: the path that joining neighbours by best score leaves; it costs the cube of a unit's length."""
     pairs = F.filter(edges, lambda e: e["len"] > 1)
 
@@ -114,7 +106,7 @@ def merged(edges: Column, size: Column, longest: int) -> Column:
         return F.transform(F.array(best), lambda b: F.when(b.isNull(), nodes).otherwise(F.filter(nodes, lambda n: (n <= -b["first"]) | (n >= b["stop"]))))[0]
 
     path = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), F.sequence(F.lit(0), size), step)
-    hit = lambda start, stop: F.filter(edges, lambda e: (e["stop"] == stop) & (e["len"] == stop - start))[0]["id"]
+    hit = lambda start, stop: F.element_at(F.filter(edges, lambda e: (e["stop"] == stop) & (e["len"] == stop - start)), -1)["id"]
     return F.transform(F.array(path), lambda p: F.transform(F.slice(p, 2, F.size(p)), lambda stop, i: F.struct(hit(p[i], stop).alias("id"), stop.alias("stop"))))[0]
 
 
@@ -123,17 +115,19 @@ def encode_units(units: DataFrame, model_file: str, fold=viterbi) -> DataFrame:
     spark = units.sparkSession
     plain, _, first = vocabulary(model_file)
     longest = max(len(p) for p, _, _ in plain)
-    # The piece table is a vocabulary: its size does not depend on the data.  Pieces meet as 64-bit hashes first.
-    table = spark.createDataFrame(plain, "piece string, id int, score float").select(F.xxhash64("piece").alias("key"), "piece", "id", "score")
-    stops = units.select("*", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("stop"))
-    spans = stops.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("stop")))).alias("len"))
-    cut = spans.withColumn("cut", F.substring("unit", F.col("stop") - F.col("len") + 1, F.col("len")))
-    on = (F.xxhash64(cut["cut"]) == table["key"]) & (cut["cut"] == table["piece"])
-    edges = cut.join(F.broadcast(table), on, "left").where("id IS NOT NULL OR len = 1")
-    edge = F.struct("stop", "len", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(UNKNOWN)).cast("double").alias("score"))
+    # The piece table is a vocabulary: its size does not depend on the data.  The join is on 64-bit hashes, and
+    # the pieces that meet are compared.  An empty piece, met once a unit, keeps units that have no edge.
+    table = spark.createDataFrame([*plain, ("", -1, 0.0)], "piece string, id int, score float").select(F.xxhash64("piece").alias("key"), "piece", "id", F.col("score").cast("double").alias("score"))
+    stops = units.select("*", F.explode(F.sequence(F.lit(0), F.length("unit"))).alias("stop"))
+    spans = stops.select("*", F.explode(F.sequence(F.least(F.lit(1), F.col("stop")), F.least(F.lit(longest), F.col("stop")))).alias("len"))
+    cut = F.substring("unit", F.col("stop") - F.col("len") + 1, F.col("len"))
+    met = spans.withColumn("key", F.xxhash64(cut)).join(F.broadcast(table), "key").where(F.startswith(cut, F.col("piece")) & F.endswith(F.col("piece"), cut))
     # Units that come partitioned by ``unit`` stay so: the edges are not shuffled.
-    lattice = edges.groupBy(*units.columns).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    path = lattice.select(*units.columns, fold(F.col("edges"), F.length("unit"), longest).alias("path"))
+    edge = F.when(F.col("stop") > 0, F.struct("stop", "len", "id", "score"))
+    lattice = met.groupBy(*units.columns).agg(F.collect_list(edge).alias("edges"), F.count_if(F.col("len") == 1).alias("singles"))
+    bare = F.transform(F.sequence(F.lit(1), F.length("unit")), lambda stop: F.struct(stop.alias("stop"), F.lit(1).alias("len"), F.lit(-1).alias("id"), F.lit(min(x for _, _, x in plain) - UNKNOWN).alias("score")))
+    edges = F.sort_array(F.when(F.col("singles") < F.length("unit"), F.concat("edges", bare)).otherwise(F.col("edges")))
+    path = lattice.withColumn("edges", edges).select(*units.columns, fold(F.col("edges"), F.length("unit")).alias("path"))
     spelled = F.flatten(F.transform("path", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(bytes_of(F.col("unit").substr(p["stop"], F.lit(1)), first))))
     return path.select(*units.columns, F.when(F.exists("path", lambda p: p["id"] < 0), spelled).otherwise(F.transform("path", lambda p: p["id"])).alias("ids"))
 
