@@ -5,9 +5,10 @@ into twelve pitch classes, smoothed over neighbouring frames and normalised.
 Sixteen filters, differences of rectangle sums that an integral image gives at
 once, are quantised to two Gray-coded bits each: one packed 32-bit integer a
 frame.  Recordings with equal sequences form a class, represented by its
-smallest id.  To align, the codes of query classes are joined to those of all
-classes where a code changes; a histogram of the offsets proposes alignments and
-the share of differing bits over the whole overlap decides.
+smallest id.  To align, the 16-bit halves of the codes of query classes are
+joined to those of all classes where a half changes; a histogram of the offsets
+proposes alignments, and for each offset of enough votes the share of differing
+bits over the whole overlap decides.
 
 Defined cases: null, undecodable, silent or short recordings have an empty
 sequence: they form one class and align with nothing; repeated rows keep one row
@@ -43,8 +44,8 @@ FILTERS = (
 _WIDEST = max(f[3] for f in FILTERS)
 _CUTS = (-0.25, 0.0, 0.25)
 _GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
-#: Codes equal at one offset that propose an alignment, frames that it must cover, and the most differing bits of all.
-LEAST_VOTES, LEAST_FRAMES, MOST_ERROR = 2, 16, 0.25
+#: Halves of codes equal at one offset that propose an alignment, frames that it must cover, and the most differing bits of all.
+LEAST_VOTES, LEAST_FRAMES, MOST_ERROR = 2, 16, 0.15
 
 
 def wav(data: bytes | None) -> np.ndarray | None:
@@ -151,27 +152,32 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str, decoder: Callabl
 
 
 def _places(classes: DataFrame) -> DataFrame:
-    """(class_id, pos, code) where a class's code differs from the one before."""
+    """(class_id, pos, half): the halves of a class's codes, numbered apart, where they differ from the ones before."""
     at = classes.select("class_id", "codes", F.posexplode("codes").alias("pos", "code"))
-    return at.where((F.col("pos") == 0) | (F.col("code") != F.get("codes", F.col("pos") - 1))).select("class_id", "pos", "code")
+    half = lambda code, low: (F.shiftrightunsigned(code, 0 if low else 16).bitwiseAND(0xFFFF) + (low << 16)).cast("int")
+    before = F.get("codes", F.col("pos") - 1)
+    halves = F.filter(F.array(*[F.when((F.col("pos") == 0) | (half(F.col("code"), k) != half(before, k)), half(F.col("code"), k)) for k in (0, 1)]), lambda x: x.isNotNull())
+    return at.select("class_id", "pos", F.explode(halves).alias("half"))
 
 
 def align(classes: DataFrame) -> DataFrame:
     """(query, found, offset, votes, bit_error) of the pairs of different classes that align; ``classes`` has class_id, codes, is_query.
 
-    Offset is found's place less query's; of several offsets the one of most votes, then of least size, is tried.
+    Offset is found's place less query's; of several offsets the one of least errors, then of least size, is kept.
     """
     places = materialise(_places(classes))
-    asked = places.join(classes.where("is_query").select("class_id"), "class_id", "left_semi").select(F.col("class_id").alias("query"), F.col("pos").alias("at"), "code")
-    votes = asked.join(places, "code").where("query <> class_id").groupBy("query", F.col("class_id").alias("found"), (F.col("pos") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.where(F.col("votes") >= LEAST_VOTES).groupBy("query", "found").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).select("query", "found", "b.offset", "b.votes")
+    asked = places.join(classes.where("is_query").select("class_id"), "class_id", "left_semi").select(F.col("class_id").alias("query"), F.col("pos").alias("at"), "half")
+    votes = asked.join(places, "half").where("query <> class_id").groupBy("query", F.col("class_id").alias("found"), (F.col("pos") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.where(F.col("votes") >= LEAST_VOTES)
     of = lambda name: classes.select(F.col("class_id").alias(name), F.col("codes").alias(f"{name}_codes"))
     both = best.join(of("query"), "query").join(of("found"), "found")
     start = F.greatest(F.lit(0), -F.col("offset"))
     stop = F.least(F.size("query_codes"), F.size("found_codes") - F.col("offset"))
-    error = F.aggregate(F.sequence(start, stop - 1), F.lit(0), lambda a, i: a + F.bit_count(F.get("query_codes", i).bitwiseXOR(F.get("found_codes", i + F.col("offset")))))
+    differ = lambda i: F.get("query_codes", i).bitwiseXOR(F.get("found_codes", i + F.col("offset"))).cast("long").bitwiseAND(0xFFFFFFFF)  # noqa: E731  a negative int counts its sign's bits too
+    error = F.aggregate(F.sequence(start, stop - 1), F.lit(0), lambda a, i: a + F.bit_count(differ(i)))
     judged = both.where(stop - start >= LEAST_FRAMES).withColumn("bit_error", F.round(error / (32 * (stop - start)), 6))
-    return judged.where(F.col("bit_error") <= MOST_ERROR).select("query", "found", "offset", "votes", "bit_error")
+    kept = judged.where(F.col("bit_error") <= MOST_ERROR).groupBy("query", "found").agg(F.min(F.struct("bit_error", F.abs("offset").alias("size"), "offset", "votes")).alias("b"))
+    return kept.select("query", "found", "b.offset", "b.votes", "b.bit_error")
 
 
 def search(media: DataFrame, id_col: str, media_col: str, decoder: Callable = wav, every: int = 50) -> DataFrame:

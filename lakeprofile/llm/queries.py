@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeprofile.llm import chat, chroma, fertility, langid, lattice, packing, quality_zstd, secrets, simhash, warc
 from lakeprofile.llm.common import table
@@ -24,8 +25,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embeddings, played as melodies: the tables hold no sound of their own."""
-    return chroma.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", chroma.melody)
+    """The embeddings, played as melodies: the tables hold no sound of their own.
+
+    To each query, an id divisible by 50, comes a copy that begins eight notes
+    later and is slightly out of tune, under the id ``-1 - vec_id``: there is
+    something to find, and how much of it was found can be seen.
+    """
+    played = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    untuned = F.transform(F.slice("embedding", 9, 1 << 20), lambda x, i: (x + 0.003 * F.sin(12.9898 * i + F.col("vec_id"))).cast("float"))
+    copies = played.where("vec_id % 50 = 0").select((-1 - F.col("vec_id")).alias("vec_id"), untuned.alias("embedding"))
+    return chroma.search(played.unionByName(copies), "vec_id", "embedding", chroma.melody)
 
 
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
