@@ -2,7 +2,8 @@
 
 The model is fitted on the driver from a bounded sample, ``PER_LANG`` rows of
 each language by the hash of their ids, with follow-the-regularised-leader and
-elastic-net penalties; a fifth of the sample sets the softmax temperature.
+elastic-net penalties; every fifth row of each language sets the softmax
+temperature, which is 1 if no language has five.
 Scoring reads whole texts: every n-gram is hashed, its row of weights gathered,
 and the rows of a text are averaged, in slices of bounded size.
 
@@ -31,6 +32,8 @@ PER_LANG = 1000
 #: Texts of more bytes are not learned from, so that the sample is bounded in bytes too; they are scored whole.
 LONGEST_LEARNED = 100_000
 BITS = 16
+#: Share of a text's n-grams that the sample has too, below which its language is none of the learned ones.
+LEAST_KNOWN = 0.8
 ORDERS = (1, 2, 3)
 _SCALE = 32.0
 _SLICE = 1 << 20
@@ -63,16 +66,17 @@ class Model:
     langs: list[str]
     table: np.ndarray  # weights with idf and scale, float32 [buckets, languages]
     bias: np.ndarray
+    seen: np.ndarray  # whether an n-gram of the bucket was learned from, bool [buckets]
     temperature: float = 1.0
 
-    def logits(self, texts: list[str]) -> np.ndarray:
-        """Of each text, from all its n-grams."""
+    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text, from all its n-grams, and the share of these that were learned from."""
         parts = [_codes(t) for t in texts]
         sizes = np.array([len(p) for p in parts])
         ends = np.cumsum(sizes)
         starts = ends - sizes
         codes = np.concatenate([*parts, np.full(2, 32, dtype=np.uint32)])
-        out = np.zeros((len(texts), len(self.langs)))
+        out, known = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
         step = max(4096, _SLICE * 4 // max(4, len(self.langs)))
         for at in range(0, int(ends[-1]), step):
             stop = min(at + step, int(ends[-1]))
@@ -81,12 +85,15 @@ class Model:
             cuts = np.maximum(starts[first:last], at) - at
             for g in grams:
                 out[first:last] += np.add.reduceat(self.table[g], cuts, axis=0, dtype=np.float64)
-        return (out / (len(ORDERS) * sizes)[:, None] + self.bias) / self.temperature
+                known[first:last] += np.add.reduceat(self.seen[g], cuts, dtype=np.int64)
+        return (out / (len(ORDERS) * sizes)[:, None] + self.bias) / self.temperature, known / (len(ORDERS) * sizes)
 
-    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        p = _softmax(self.logits(texts))
+    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The place of each text's language in ``langs``, its score, and the share of the n-grams that are known."""
+        logits, known = self.logits(texts)
+        p = _softmax(logits)
         best = p.argmax(axis=1)
-        return best, np.round(p[np.arange(len(best)), best], 6)
+        return best, np.round(p[np.arange(len(best)), best], 6), known
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -95,14 +102,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[str], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> Model | None:
-    """Fit on ``texts``; every fifth of them sets the temperature only."""
+    """Fit on ``texts``; every fifth of each language sets the temperature only."""
     langs = sorted(set(labels))
     if not langs:
         return None
     k, buckets = len(langs), 1 << BITS
     y = np.array([langs.index(x) for x in labels])
     order = np.random.default_rng(7).permutation(len(texts))
-    tune = set(order[::5].tolist()) if len(texts) >= 50 else set()
+    tune = {i for c in range(k) for i in order[y[order] == c][4::5].tolist()}
     train = [i for i in order if i not in tune]
     rows = {}
     df = np.zeros(buckets)
@@ -130,10 +137,10 @@ def fit(texts: list[str], labels: list[str], epochs: int = 3, alpha: float = 0.5
             n2[ids] = ni + gx * gx
             zb += g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / alpha * b
             nb += g * g
-    model = Model(langs, (weights(z, n2) * (idf * _SCALE)[:, None]).astype(np.float32), weights(zb, nb, 0.0, 0.0))
+    model = Model(langs, (weights(z, n2) * (idf * _SCALE)[:, None]).astype(np.float32), weights(zb, nb, 0.0, 0.0), df > 0)
     if tune:
         held = sorted(tune)
-        logits = np.concatenate([model.logits([texts[i] for i in held[at : at + 64]]) for at in range(0, len(held), 64)])
+        logits = np.concatenate([model.logits([texts[i] for i in held[at : at + 64]])[0] for at in range(0, len(held), 64)])
         grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
         # Targets as Platt smooths them: a sample without an error does not make the model certain.
         doubt = 1 / (len(held) + 2)
@@ -169,7 +176,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             texts = b.column(1).to_pylist()
             known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if shared.value else []
             if known:
-                best, p = shared.value.predict([texts[i] for i in known])
+                best, p, _ = shared.value.predict([texts[i] for i in known])
                 lang[known], score[known] = np.array(shared.value.langs, dtype=object)[best], p
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
@@ -185,8 +192,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(docs, model, id_col, text_col).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is undetermined or scores below ``least``."""
+def known_language(docs: DataFrame, least: float = 0.3, least_known: float = LEAST_KNOWN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows of no determined language.
+
+    These are texts without a letter, of a score below ``least``, or with less
+    than ``least_known`` of their n-grams known from the sample: other scripts,
+    random letters.
+    """
     aside = held_out(F.col(f"`{id_col}`"), 4, 2)
     model = fit(*sample(docs, ~aside, id_col, text_col, lang_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -196,8 +208,8 @@ def known_language(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id",
             texts = b.column(text_col).to_pylist()
             known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if shared.value else []
             if known:
-                _, p = shared.value.predict([texts[i] for i in known])
-                yield b.take(pa.array([i for i, x in zip(known, p) if x >= least], pa.int32()))
+                _, p, share = shared.value.predict([texts[i] for i in known])
+                yield b.take(pa.array([i for i, x, s in zip(known, p, share) if x >= least and s >= least_known], pa.int32()))
 
     prepare(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeprofile.llm.common import keyed_text, materialise, prepare
+from lakeprofile.llm.common import discard, keyed_text, materialise, prepare
 
 #: Shingle hashes whose bits are counted at once.
 _CHUNK = 1 << 15
@@ -195,7 +195,8 @@ def forest(points: np.ndarray, homes: np.ndarray, visitors: np.ndarray, rank: np
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(u, v): each node of ``edges`` (u, v) that is not least in its component, with that least node.
 
-    Alternates large-star and small-star until the stars stay as they are.
+    Alternates large-star and small-star until the stars stay as they are; it is
+    an error if they do not in ``rounds``, which is beyond what 2^64 nodes need.
     """
 
     def mark(e: DataFrame) -> tuple:
@@ -212,7 +213,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = mark(now)
     for _ in range(rounds if seen[0] else 0):
-        now = materialise(star(now))
+        before, now = now, materialise(star(now))
+        discard(before)
         if (got := mark(now)) == seen:
             return now
         seen = got
@@ -309,13 +311,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = materialise(fingerprints(docs, id_col, text_col, shingle))
     labels = link(found, radius)
     return found.join(labels, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: that with the smallest id.
-
-    Of repeated rows with that id one stays; rows without an id stay unless they belong to a group.
-    """
-    near = near_duplicates(docs, id_col, text_col, shingle, radius).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(near, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
