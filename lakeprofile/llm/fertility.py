@@ -2,7 +2,8 @@
 
 Two public vocabularies measure a text's words: characters per token of each,
 the share of byte-fallback tokens, and the entropy of the token distribution
-against what a text of that many tokens can have.  Each script has a band for
+against what a text of that many tokens can have; characters per token are
+measured without the words that hold digits, too.  Each script has a band for
 each measure; a text outside one is rejected.  The bands are parameters, not
 statistics of the corpus: a row is judged alike in any corpus and at any length,
 and no shuffle is needed.  Their lower ends lie between what prose measures and
@@ -32,6 +33,7 @@ LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 LEAST_PLAIN = 1.0
 _SYMBOLS = b"#*$%&|<>"
 _DELETE = bytes(c for c in range(256) if c not in _SYMBOLS)
+_NO_DIGITS = bytes(c for c in range(256) if not 48 <= c <= 57)
 #: Words that a worker remembers before it starts afresh.
 _REMEMBERED = 600_000
 _SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hiragana", "Katakana", "Hangul", "Thai")
@@ -40,7 +42,7 @@ _SCRIPT = {s: regex.compile(rf"\p{{{s}}}") for s in _SCRIPTS}
 #: script: (least and most characters per token by the piece vocabulary, the same by the byte vocabulary,
 #: most share of byte-fallback tokens, least entropy as a share of the most possible)
 BANDS: dict[str, tuple[float, float, float, float, float, float]] = {
-    "Latin": (1.69, 8.0, 1.2, 8.0, 0.10, 0.35),
+    "Latin": (1.4, 8.0, 1.2, 8.0, 0.10, 0.35),
     "Cyrillic": (1.2, 8.0, 0.6, 8.0, 0.10, 0.45),
     "Greek": (0.6, 6.0, 0.5, 6.0, 0.30, 0.40),
     "Arabic": (0.5, 6.0, 0.4, 6.0, 0.50, 0.35),
@@ -54,7 +56,10 @@ BANDS: dict[str, tuple[float, float, float, float, float, float]] = {
     "Other": (0.25, 16.0, 0.2, 16.0, 1.0, 0.20),
 }
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_piece double, chars_per_byte_token double, byte_share double, entropy_share double"
+#: script: least characters per token, by the piece vocabulary, of the words without digits; keys and numbers are no prose.
+LEAST_PROSE = {"Latin": 1.69, "Cyrillic": 1.2}
+
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_piece double, chars_per_byte_token double, byte_share double, entropy_share double, chars_per_prose_token double"
 
 
 class Vocabularies:
@@ -71,16 +76,19 @@ class Vocabularies:
         self.fallback = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
         self.ids: dict[bytes, bytes] = {}
         self.counts: dict[bytes, int] = {}
+        self.digits: set[bytes] = set()
 
     def learn(self, words: set[bytes]) -> None:
         """Tokenise those of ``words`` that are not remembered, all at once."""
         if len(self.ids) > _REMEMBERED:
             self.ids.clear()
             self.counts.clear()
+            self.digits.clear()
         new = [w for w in words if w not in self.ids]
         texts = [w.decode("utf-8", "replace") for w in new]
         pack, width = struct.pack, [f"<{n}H" for n in range(256)]
         self.ids.update(zip(new, (pack(width[len(x)] if len(x) < 256 else f"<{len(x)}H", *x) for x in self.pieces.encode(texts, num_threads=1))))
+        self.digits.update(w for w in new if w.translate(None, _NO_DIGITS))
         encode = self.bytes.encode_ordinary
         self.counts.update(zip(new, [len(encode(" " + t)) for t in texts]))
 
@@ -167,8 +175,11 @@ def measures_of(text: str, raw: bytes, words: list[bytes], vocabulary: Vocabular
         p = np.bincount(ids)
         p = p[p > 0] / n
         entropy = float(-(p * np.log2(p)).sum() / np.log2(n))
+    mixed = [w for w in words if w in vocabulary.digits]
+    prose = n - sum(len(vocabulary.ids[w]) for w in mixed) // 2
+    prose_chars = chars - sum(len(w.decode("utf-8", "replace")) for w in mixed)
     fallback = float(vocabulary.fallback[ids].mean()) if n else 0.0
-    return len(words), chars, symbols, duplicate_lines(raw), repeated_words(words), script_of(text), n, chars / n if n else 0.0, chars / byte_tokens if byte_tokens else 0.0, fallback, entropy
+    return len(words), chars, symbols, duplicate_lines(raw), repeated_words(words), script_of(text), n, chars / n if n else 0.0, chars / byte_tokens if byte_tokens else 0.0, fallback, entropy, prose_chars / prose if prose else 0.0
 
 
 def measured(column: pa.Array, vocabulary: Vocabularies) -> Iterator[tuple]:
@@ -182,13 +193,15 @@ def measured(column: pa.Array, vocabulary: Vocabularies) -> Iterator[tuple]:
 
 def verdict(m: tuple, bands: dict[str, tuple] = BANDS) -> tuple[bool, bool]:
     """(base_failed, kept) of ``measures_of``."""
-    n_words, _, _, _, repeats, script, n, by_piece, by_byte, fallback, entropy = m
+    n_words, _, _, _, repeats, script, n, by_piece, by_byte, fallback, entropy, by_prose = m
     failed = n_words < LEAST_WORDS or 100 * repeats > REPEAT_PERCENT * n_words
     if failed:
         return True, False
     low, high, low_b, high_b, most_bytes, least_entropy = bands.get(script, BANDS["Other"])
     if script == "Other" and fallback < 0.5:  # not an unknown script but digits or marks
         low = max(low, LEAST_PLAIN)
+    if 0 < by_prose < LEAST_PROSE.get(script, 0.0):
+        return False, False
     return False, low <= by_piece <= high and low_b <= by_byte <= high_b and fallback <= most_bytes and entropy >= least_entropy
 
 

@@ -39,7 +39,7 @@ CLASSES = (
     ("base36", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$|^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", 3.5),
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+$", 3.8),
     ("letters", r"^(?=.*[a-z].*[A-Z])[A-Za-z+/_-]+$", 3.85),
-    ("joined", r"^(?=.*[0-9])(?=.*[A-Za-z])[a-z0-9+/_-]+$|^(?=.*[0-9])(?=.*[A-Za-z])[A-Z0-9+/_-]+$", 3.85),
+    ("joined", r"^(?=.*[0-9])(?=.*[A-Za-z])[a-z0-9+/_-]+$|^(?=.*[0-9])(?=.*[A-Za-z])[A-Z0-9+/_-]+$", 3.9),
 )
 #: What every candidate that fits a class has.
 _ANY_CLASS = r"[0-9]|[a-z].*[A-Z]"

@@ -209,6 +209,13 @@ def test_windows_keep_the_budget_and_repeat_history(spark):
     assert sum(len(r["loss"]) for r in w) == sum(x[2] == "assistant" for x in rows)
 
 
+def test_a_long_turn_shortens_no_other_window(spark):
+    short = [(1, n, ("user", "assistant")[n % 2], "word " * 10) for n in range(40)]
+    long = [(*r[:3], "x" * 12_000) if r[1] == 20 else r for r in short]
+    count = lambda rows: chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).count()
+    assert count(short) == 1 and count(long) == 3
+
+
 def test_chat_of_odd_rows(spark):
     rows = [(None, 0, "user", None), (1, None, None, "x"), (1, 0, "assistant", None), (1, 0, "assistant", None), (2, 0, "system", "only"), (3, 5, "assistant", "y" * 100_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit("w")).withColumn("n", F.lit(0))
@@ -230,6 +237,19 @@ def test_warc_of_odd_rows(spark):
     assert got == want and warc.round_trip(df.where("false")).count() == 0
 
 
+def test_record_ids_are_unique_and_page_ids_of_any_type(spark):
+    import gzip
+    import re
+
+    long = "p" * 2000
+    df = spark.createDataFrame([("a", "u", long), ("b é\n", "u", long), (None, "u", "x"), (None, "u", "x"), ("a", "u", "y"), ("a", "u", "y")], "page_id string, url string, html string")
+    index = warc.write(warc.decide(df))
+    rows = warc.read(index).collect()
+    assert sorted((r["page_id"] or "", r["record_type"], r["refers_to"] or "") for r in rows) == sorted([("a", "revisit", "b é\n"), ("b é\n", "response", ""), ("", "response", ""), ("", "response", ""), ("a", "response", ""), ("a", "response", "")])
+    names = [m for r in index.select("archive").distinct().collect() for m in re.findall(rb"WARC-Record-ID: (\S+)", gzip.open(r[0].removeprefix("file:")).read())]
+    assert len(names) == len(set(names)) == 6
+
+
 def test_selected_records_and_payloads(spark):
     df = spark.range(200).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.concat(F.lit("p"), F.repeat(F.col("id").cast("string"), 50)).alias("html"))
     index = warc.write(warc.decide(df))
@@ -255,35 +275,42 @@ def test_ranges_cover_each_record_once(steps, gap, most):
 TEXTS = [None, "", " ", "Hello  world\nagain ", "c▁d 你好 𝄞 " + "x" * 80 + " " * 60 + "z", "abcabc" * 60, "<s> <0x0A> </s>", "naïve Straße 1234567", "\n\n\ta"]
 
 
-def test_lattice_equals_the_library(spark):
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS + TEXTS[3:5])], "k int, text string").withColumn("ids", F.lit("x")).withColumn("rid", F.lit(1))
-    rows = lattice.encode(df, PIECES).collect()
-    assert len(rows) == len(TEXTS) + 2 and all(r["ids"] == sp.encode(r["text"] or "") for r in rows)
-    assert all(r["round_trip"] for r in lattice.round_trip(df, PIECES, ["k"]).collect())
+def best_sum(text):
+    """Ids of the path of the greatest sum, unit by unit, straight from the library's piece table."""
+    plain, _, first = lattice.vocabulary(PIECES)
+    known, out = {p: (i, s) for p, i, s in plain}, []
+    unknown = min(s for _, s in known.values()) - lattice.UNKNOWN
+    for u in lattice.units_of(text or ""):
+        best = [(0.0, [])]
+        for stop in range(1, len(u) + 1):
+            into = [(best[a][0] + known[u[a:stop]][1], stop - a, best[a][1] + [known[u[a:stop]][0]]) for a in range(max(0, stop - 16), stop) if u[a:stop] in known]
+            into.append((best[stop - 1][0] + unknown, 1, best[stop - 1][1] + [first + x for x in u[stop - 1].encode()]))
+            score, _, ids = max(into)
+            best.append((score, ids))
+        out += best[-1][1]
+    return out
+
+
+def test_encoding_takes_the_best_sum_and_decodes(spark, monkeypatch):
+    words = " ".join("".join(np.random.default_rng(i).choice(list("aeéintr's."), 1 + i % 30)) for i in range(800))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, *TEXTS[3:5], words])], "k int, text string").withColumn("ids", F.lit("x")).withColumn("row", F.lit(1))
+    for frequent in (lattice.FREQUENT, 3):
+        monkeypatch.setattr(lattice, "FREQUENT", frequent)
+        rows = lattice.encode(df, PIECES).collect()
+        assert len(rows) == len(TEXTS) + 3 and all(r["piece_ids"] == best_sum(r["text"]) and r["ids"] == "x" for r in rows)
+    said = lattice.decode(lattice.encode(df, PIECES), PIECES).collect()
+    assert all(r["decoded"] == (r["text"] or "").replace(lattice.SPACE, " ") for r in said)
+    back = lattice.round_trip(df, PIECES, ["k"]).collect()
+    assert all(r["round_trip"] for r in back) and {r["k"]: r["ids_crc32"] for r in back} == {r["k"]: zlib.crc32(np.array(r["piece_ids"], dtype="<u4").tobytes()) for r in rows}
     assert lattice.encode(df.where("false"), PIECES).count() == 0
 
 
-def test_viterbi_takes_the_best_sum(spark):
-    scores = {"a": -1.0, "b": -1.0, "ab": -1.5, "abc": -4.0, "c": -1.0, "bc": -1.2}
-    word = "abcab"
-    edges = [(i, j, 0, scores[word[i:j]]) for i in range(5) for j in range(i + 1, 6) if word[i:j] in scores]
-    df = spark.createDataFrame([(edges,)], "e array<struct<start:int,stop:int,id:int,score:float>>")
-    path = df.select(lattice.viterbi(F.col("e"), F.lit(5))).first()[0]
-    best = {0: (0.0, [0])}
-    for stop in range(1, 6):
-        best[stop] = max((best[a][0] + s, best[a][1] + [stop]) for a, b, _, s in edges if b == stop)
-    assert path == best[5][1]
-
+def test_merged_lattice_equals_the_library(spark):
+    import sentencepiece
 
-def test_heap_equals_the_fold(spark):
-    words = ["▁" + "".join(np.random.default_rng(i).choice(list("aeéintr's"), 30)) for i in range(40)]
-    plain, _, first = lattice.vocabulary(PIECES)
-    known = {p: (i, s) for p, i, s in plain}
-    rows = lattice.encode_units(spark.createDataFrame([(w,) for w in words], "unit string"), PIECES).collect()
-    assert {r["unit"]: r["ids"] for r in rows} == {w: lattice.heap_ids(w, known, first) for w in words}
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = lattice.encode(spark.createDataFrame([(t,) for t in TEXTS], "text string"), PIECES, fold=lattice.merged).collect()
+    assert all(r["piece_ids"] == sp.encode(r["text"] or "") for r in rows)
 
 
 def test_every_operator_has_a_query():
