@@ -38,7 +38,7 @@ def _base_of(field: T.StructField) -> Column:
         F.count_if(c.isNull()).alias("null_count"),
         (F.count_if(c == 0) if number else _long(none)).alias("zero_count"),
         (F.count_if(fv < 0) if number else _long(none)).alias("negative_count"),
-        (F.count_if(fv == F.floor(fv)) if number else F.count_if(c == F.date_trunc("DAY", c)) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else _long(none)).alias("quantized_count"),
+        (F.count_if(fv == F.floor(fv)) if number else F.count_if(F.pmod(X.micros(c, kind), F.lit(X.DAY)) == 0) if isinstance(kind, X.CLOCKED) else _long(none)).alias("quantized_count"),
         (F.count(c) - F.count(fv) if isinstance(kind, X.FLOATING) else _long(none)).alias("non_finite_count"),
         (F.count_if(size == 0) if text else _long(none)).alias("empty_count"),
         (_long(F.min(size)) if text else _long(none)).alias("length_min"),
@@ -73,11 +73,11 @@ def approximate_cardinalities(df: DataFrame, error: float = 0.02, settle: float
     return rough.unionByName(cardinalities(df, near).withColumn("method", F.lit("exact")))
 
 
-def phase_a(df: DataFrame, name: str, threshold: int = 50, foreign_keys: frozenset[str] = frozenset()) -> DataFrame:
+def phase_a(df: DataFrame, name: str, threshold: int = 50, foreign_keys: frozenset[str] = frozenset(), parts: bool = False) -> DataFrame:
     """The base measurements of a table with rates, cardinality, candidate key and class."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     found = base(df).join(F.broadcast(cardinalities(df)), "column_name", "left")  # a row per column
-    cls = F.coalesce(*[F.when(F.col("column_name") == n, X.classification(k, F.col("cardinality"), threshold, n in foreign_keys)) for n, k in kinds.items()])
+    cls = F.coalesce(*[F.when(F.col("column_name") == n, X.classification(k, F.col("cardinality"), threshold, n in foreign_keys, parts)) for n, k in kinds.items()])
     share = X.ratio(F.col("cardinality"), F.col("row_count"))
     return found.select(
         F.lit(name).alias("table_name"),
@@ -101,26 +101,48 @@ def phase_a(df: DataFrame, name: str, threshold: int = 50, foreign_keys: frozens
     )
 
 
-def numeric_block(df: DataFrame, scale: int = 6) -> DataFrame:
-    """(column_name, min, max, mean, sum) of the numeric columns' finite values; sums are exact decimals, so their order does not matter."""
+def numeric_block(df: DataFrame) -> DataFrame:
+    """(column_name, min_value, max_value, mean_value, sum_value, sum_exact, unmeasured) of the numeric columns' finite values.
+
+    Totals of floating columns are doubles; those of exact columns are decimals,
+    ``sum_exact`` as text.  A total that overflows is null and named in
+    ``unmeasured``.
+    """
     each = []
     for f in df.schema.fields:
-        if X.family(f.dataType) == "numeric":
-            v = X.finite(F.col(f"`{f.name}`"), f.dataType)
-            exact = F.try_sum(v.cast(f"decimal(38,{scale})"))
-            each.append(F.struct(F.lit(f.name).alias("column_name"), F.round(F.min(v).cast("double"), 4).alias("min_value"), F.round(F.max(v).cast("double"), 4).alias("max_value"), F.round(exact.cast("double") / F.count(v), 4).alias("mean_value"), F.round(exact.cast("double"), 2).alias("sum_value")))
-    return df.agg(F.array(*each).alias("each")).select(F.inline("each"))
+        if X.family(f.dataType) != "numeric":
+            continue
+        v = X.finite(F.col(f"`{f.name}`"), f.dataType)
+        if isinstance(f.dataType, X.FLOATING):
+            v = v.cast("double")
+            total, mean, exact = F.sum(v), F.avg(v), F.lit(None).cast("string")
+        else:
+            scale = f.dataType.scale if isinstance(f.dataType, T.DecimalType) else 0
+            exact_sum = F.try_sum(v.cast(f"decimal(38,{scale})"))
+            total, exact = exact_sum.cast("double"), exact_sum.cast("string")
+            mean = total / F.nullif(F.count(v), F.lit(0))
+        total, mean = X.finite(total, T.DoubleType()), X.finite(mean, T.DoubleType())
+        lost = lambda x, name: F.when((F.count(v) > 0) & x.isNull(), name)  # noqa: E731, B023
+        unmeasured = F.array_join(F.array(lost(mean, "mean"), lost(total, "sum")), ",")
+        bound = lambda x: X.rounded(x.cast("double"))
+        each.append(F.struct(F.lit(f.name).alias("column_name"), bound(F.min(v)).alias("min_value"), bound(F.max(v)).alias("max_value"), X.rounded(mean).alias("mean_value"), X.rounded(total).alias("sum_value"), exact.alias("sum_exact"), unmeasured.alias("unmeasured")))
+    return df.agg(F.array(*each).alias("each")).select(F.inline("each")) if each else df.sparkSession.createDataFrame([], "column_name string, min_value double, max_value double, mean_value double, sum_value double, sum_exact string, unmeasured string")
 
 
 def temporal_block(df: DataFrame, profiled_at: str) -> DataFrame:
-    """(column_name, min, max, span_days, quantized_count, max_age_days, freshness) of date and time columns."""
+    """(column_name, min_value, max_value, span_days, quantized_count, max_age_days, freshness, unrepresentable) of date and time columns.
+
+    ``quantized_count``, of columns with a time of day, counts whole UTC days;
+    ``unrepresentable`` names the bounds whose year has not four digits.
+    """
     each = []
     for f in df.schema.fields:
         if X.family(f.dataType) == "temporal":
-            c = F.col(f"`{f.name}`")
+            c, kind = F.col(f"`{f.name}`"), f.dataType
             low, high = F.min(c), F.max(c)
             now = X.micros(F.lit(profiled_at).cast("timestamp_ntz"), T.TimestampNTZType())
-            day = 86_400_000_000
-            age = F.greatest(F.lit(0), F.floor((now - X.micros(high, f.dataType)) / day)).cast("long")
-            each.append(F.struct(F.lit(f.name).alias("column_name"), X.published(low, f.dataType).alias("min_value"), X.published(high, f.dataType).alias("max_value"), F.floor((X.micros(high, f.dataType) - X.micros(low, f.dataType)) / day).cast("long").alias("span_days"), F.count_if(c == F.date_trunc("DAY", c)).alias("quantized_count"), age.alias("max_age_days"), F.when(age < 7, "live").when(age < 90, "stale").otherwise("dormant").alias("freshness")))
-    return df.agg(F.array(*each).alias("each")).select(F.inline("each"))
+            age = F.greatest(F.lit(0), F.floor((now - X.micros(high, kind)) / X.DAY)).cast("long")
+            quantized = F.count_if(F.pmod(X.micros(c, kind), F.lit(X.DAY)) == 0) if isinstance(kind, X.CLOCKED) else F.lit(None).cast("long")
+            strange = F.array_join(F.array(*[F.when(~X.representable(x, kind), n) for n, x in (("min", low), ("max", high))]), ",")
+            each.append(F.struct(F.lit(f.name).alias("column_name"), X.published(low, kind).alias("min_value"), X.published(high, kind).alias("max_value"), F.floor((X.micros(high, kind) - X.micros(low, kind)) / X.DAY).cast("long").alias("span_days"), quantized.alias("quantized_count"), age.alias("max_age_days"), F.when(age < 7, "live").when(age < 90, "stale").otherwise("dormant").alias("freshness"), strange.alias("unrepresentable")))
+    return df.agg(F.array(*each).alias("each")).select(F.inline("each")) if each else df.sparkSession.createDataFrame([], "column_name string, min_value string, max_value string, span_days long, quantized_count long, max_age_days long, freshness string, unrepresentable string")

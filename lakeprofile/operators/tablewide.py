@@ -41,6 +41,26 @@ def grain(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return pair_counts(df, pairs).crossJoin(F.broadcast(rows)).withColumn("is_key", F.col("distinct_pairs") == F.col("rows"))
 
 
+def adjacent(a: str, b: str) -> bool:
+    """Whether the words of one name begin the other."""
+    x, y = sorted((a.split("_"), b.split("_")), key=len)
+    return len(x) < len(y) and y[: len(x)] == x
+
+
+def dependency_candidates(facts: dict[str, tuple[str, int, int, bool]], most: int = DEPENDENCY_PAIRS) -> list[tuple[str, str]]:
+    """(determinant, dependent) pairs worth counting, from (class, cardinality, null count, candidate key) of each column.
+
+    Columns without nulls, both of few values or of adjacent names; the
+    determinant has as many values at least and is no key, the dependent more
+    than one.  Adjacent names come first, then the cheapest pairs.
+    """
+    few = ("categorical", "boolean")
+    clean = [c for c, (_, card, nulls, _) in facts.items() if not nulls and card is not None]
+    fit = lambda a, b: facts[a][1] >= facts[b][1] > 1 and not facts[a][3] and (adjacent(a, b) or facts[a][0] in few and facts[b][0] in few)
+    pairs = [p for a, b in combinations(clean, 2) for p in ((a, b), (b, a)) if fit(*p)]
+    return sorted(pairs, key=lambda p: (not adjacent(*p), facts[p[0]][1] * facts[p[1]][1]))[:most]
+
+
 def dependencies(df: DataFrame, pairs: list[tuple[str, str]], cards: DataFrame) -> DataFrame:
     """(determinant, dependent, strength): how nearly the first column decides the second, 1.0 exactly."""
     counted = pair_counts(df, pairs[:DEPENDENCY_PAIRS])
@@ -59,7 +79,8 @@ def timeline_anchor(facts: list[tuple[str, float, int]]) -> str | None:
 
 def timeline(df: DataFrame, column: str, unit: str) -> DataFrame:
     """(bucket, n): rows by day, week from Monday, or month; empty buckets are absent."""
-    bucket = F.date_format(F.date_trunc(unit, F.col(f"`{column}`")), "yyyy-MM-dd")
+    day = X.local(F.col(f"`{column}`"), df.schema[column].dataType).cast("date")
+    bucket = (day if unit == "day" else F.trunc(day, unit)).cast("string")
     return df.where(F.col(f"`{column}`").isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 

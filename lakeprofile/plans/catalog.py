@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations, permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeprofile.functions import expressions as X
 from lakeprofile.functions import shapes
 from lakeprofile.functions.sensitivity import sensitivity
 from lakeprofile.operators import assertions, context, drift, edges, nested, quantiles, redact, resolve, scalar, sketch, tablewide, values
 from lakeprofile.plans import settings
-from lakeprofile.plans.profile import profile
+from lakeprofile.plans.profile import Source, full, profile
 from lakeprofile.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +34,8 @@ SCHEMAS = {
     "documents": "doc_id:n text:s lang:s source:s n_chars:n",
     "pages": "page_id:n url:s html:s",
     "conversations": "conv_id:n turn:n role:s text:s",
+    "benchmark": "item_id:n text:s",
+    "labels": "doc_id:n quality:n toxic:n",
 }
 
 
@@ -152,12 +156,40 @@ def _lengths(spark, sf):
 
 
 def numeric_sql(table: str) -> str:
-    exact = lambda c: f"sum({c}::DECIMAL(38, 6))::DOUBLE"
-    return union_sql(table, lambda c, k: f"'{c}' AS column_name, round(min({c})::DOUBLE, 4) AS min_value, round(max({c})::DOUBLE, 4) AS max_value, round({exact(c)} / count({c}), 4) AS mean_value, round({exact(c)}, 2) AS sum_value" if k in "nf" else None)
+    def one(c: str, k: str) -> str | None:
+        if k not in "nf":
+            return None
+        mean, total = (f"avg({c})", f"sum({c})") if k == "f" else (f"sum({c}::DECIMAL(38, 0))::DOUBLE / count({c})", f"sum({c}::DECIMAL(38, 0))::DOUBLE")
+        return f"'{c}' AS column_name, round(min({c})::DOUBLE, 6) AS min_value, round(max({c})::DOUBLE, 6) AS max_value, round({mean}, 6) AS mean_value, round({total}, 2) AS sum_value, {f'sum({c})::VARCHAR' if k == 'n' else 'NULL::VARCHAR'} AS sum_exact, '' AS unmeasured"
 
+    return union_sql(table, one)
 
-for _t in ("lineitem", "orders", "part"):
-    query(f"numeric_block_{_t}", numeric_sql(_t))(lambda spark, sf, t=_t: scalar.numeric_block(load(spark, sf, t)))
+
+for _t in ("lineitem", "orders", "part"):  # a sum of doubles depends on its order in its last figures
+    query(f"numeric_block_{_t}", numeric_sql(_t))(lambda spark, sf, t=_t: scalar.numeric_block(load(spark, sf, t)).withColumn("sum_value", F.round("sum_value", 2)))
+
+_ODD_NUMBERS = {"tiny": "l_quantity * 1e-9", "huge": "l_quantity * 1e30", "flawed": "CASE WHEN l_linenumber = 1 THEN CAST('NaN' AS DOUBLE) ELSE l_quantity END", "money": "CAST(l_extendedprice AS DECIMAL(18,2))", "wide": "l_orderkey * CAST(1000000000 AS BIGINT)", "lost": "CAST('1e308' AS DOUBLE)"}
+
+
+@query("numeric_block_odd", f"""WITH e AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _ODD_NUMBERS.items())} FROM lineitem), six AS (SELECT min(tiny) AS a, max(tiny) AS b, avg(tiny) AS m FROM e)
+SELECT 'tiny' AS column_name, printf('%.5e', a)::DOUBLE AS min_value, printf('%.5e', b)::DOUBLE AS max_value, printf('%.5e', m)::DOUBLE AS mean_value, '' AS unmeasured, NULL::VARCHAR AS sum_exact FROM six
+UNION ALL SELECT 'huge', min(huge), max(huge), printf('%.9e', avg(huge))::DOUBLE, '', NULL FROM e
+UNION ALL SELECT 'flawed', min(flawed) FILTER (NOT isnan(flawed)), max(flawed) FILTER (NOT isnan(flawed)), round(avg(flawed) FILTER (NOT isnan(flawed)), 6), '', NULL FROM e
+UNION ALL SELECT 'money', min(money)::DOUBLE, max(money)::DOUBLE, round(sum(money)::DOUBLE / count(*), 6), '', sum(money)::VARCHAR FROM e
+UNION ALL SELECT 'wide', min(wide)::DOUBLE, max(wide)::DOUBLE, round(sum(wide::DECIMAL(38, 0))::DOUBLE / count(*), 6), '', sum(wide)::VARCHAR FROM e
+UNION ALL SELECT 'lost', 1e308, 1e308, NULL, 'mean,sum', NULL""")
+def _numeric_odd(spark, sf):
+    df = spark.sql(f"SELECT {', '.join(f'{v} AS {k}' for k, v in _ODD_NUMBERS.items())} FROM {{e}}", e=load(spark, sf, "lineitem"))
+    mean = F.when(F.col("column_name") == "huge", F.format_string("%.9e", "mean_value").cast("double")).otherwise(F.col("mean_value"))
+    return scalar.numeric_block(df).withColumn("mean_value", mean).drop("sum_value")
+
+
+@query("zoned_times", "SELECT strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS min_value, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS max_value, count(*) FILTER (ts::DATE = ts) AS quantized_count, (SELECT count(DISTINCT ts::DATE) FROM events) AS days FROM events")
+def _zoned(spark, sf):
+    """Instants, read as UTC whatever the session's zone is."""
+    df = load(spark, sf, "events").select(F.timestamp_micros(X.micros(F.col("ts"), T.TimestampNTZType())).alias("at"))
+    days = tablewide.timeline(df, "at", "day").agg(F.count(F.lit(1)).alias("days"))
+    return scalar.temporal_block(df, NOW).select("min_value", "max_value", "quantized_count").crossJoin(F.broadcast(days))  # a row each
 
 LEVELS = (0.01, 0.25, 0.5, 0.75, 0.99)
 
@@ -174,13 +206,13 @@ def _percentiles_temporal(spark, sf):
     df = load(spark, sf, "events")
     found = quantiles.nearest(df, X.micros(F.col("ts"), df.schema["ts"].dataType), LEVELS)
     rows = spark.createDataFrame([(p, int(v)) for p, v in found.items()], "level double, us long")
-    return rows.select(F.lit("ts").alias("column_name"), "level", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("value"))
+    return rows.select(F.lit("ts").alias("column_name"), "level", X.written(X.local(F.timestamp_micros("us"), T.TimestampType())).alias("value"))
 
 
 def temporal_sql(table: str) -> str:
     day = "86400000000"
     at = f"TIMESTAMP '{NOW}'"
-    return union_sql(table, lambda c, k: f"'{c}' AS column_name, strftime(min({c}), '%Y-%m-%dT%H:%M:%S.%f') AS min_value, strftime(max({c}), '%Y-%m-%dT%H:%M:%S.%f') AS max_value, ((epoch_us(max({c})) - epoch_us(min({c}))) // {day})::BIGINT AS span_days, count(*) FILTER ({c} = date_trunc('day', {c})) AS quantized_count, greatest(0, (epoch_us({at}) - epoch_us(max({c}))) // {day})::BIGINT AS max_age_days, CASE WHEN greatest(0, (epoch_us({at}) - epoch_us(max({c}))) // {day}) < 7 THEN 'live' WHEN greatest(0, (epoch_us({at}) - epoch_us(max({c}))) // {day}) < 90 THEN 'stale' ELSE 'dormant' END AS freshness" if k == "t" else None)
+    return union_sql(table, lambda c, k: f"'{c}' AS column_name, strftime(min({c}), '%Y-%m-%dT%H:%M:%S.%f') AS min_value, strftime(max({c}), '%Y-%m-%dT%H:%M:%S.%f') AS max_value, ((epoch_us(max({c})) - epoch_us(min({c}))) // {day})::BIGINT AS span_days, count(*) FILTER ({c} = date_trunc('day', {c})) AS quantized_count, greatest(0, (epoch_us({at}) - epoch_us(max({c}))) // {day})::BIGINT AS max_age_days, CASE WHEN greatest(0, (epoch_us({at}) - epoch_us(max({c}))) // {day}) < 7 THEN 'live' WHEN greatest(0, (epoch_us({at}) - epoch_us(max({c}))) // {day}) < 90 THEN 'stale' ELSE 'dormant' END AS freshness, '' AS unrepresentable" if k == "t" else None)
 
 
 for _t in ("events", "orders", "lineitem"):
@@ -205,7 +237,11 @@ query("top_n_events_user", list_sql(freq_sql("events", ("user_id",)), 10))(lambd
 
 
 def distribution_sql(table: str, names: tuple[str, ...]) -> str:
-    return f"""WITH l AS ({list_sql(freq_sql(table, names))}), t AS (SELECT column_name, sum(n)::BIGINT AS non_null FROM ({freq_sql(table, names)}) GROUP BY 1),
+    return distribution_sql_of(freq_sql(table, names))
+
+
+def distribution_sql_of(freq: str) -> str:
+    return f"""WITH l AS ({list_sql(freq)}), t AS (SELECT column_name, sum(n)::BIGINT AS non_null FROM ({freq}) GROUP BY 1),
 a AS (SELECT column_name, max(n) AS top_count, min(n) AS bottom_count, count(*) AS listed, sum(n)::BIGINT AS listed_count, bool_and(exhaustive) AS ex FROM l GROUP BY 1)
 SELECT column_name, top_count, bottom_count, listed, listed_count, non_null, CASE WHEN ex THEN 1.0 ELSE least(round(listed_count / non_null, 6), 0.999999) END AS values_coverage,
 CASE WHEN top_count / non_null >= 0.95 THEN 'dominant_value' WHEN NOT ex AND listed_count / non_null < 0.30 THEN 'long_tail' WHEN top_count > 2 * bottom_count THEN 'imbalanced' ELSE 'uniform' END AS distribution FROM a JOIN t USING (column_name)"""
@@ -260,8 +296,8 @@ SELECT 'conv_id' AS a, 'turn' AS b, count(DISTINCT (conv_id, turn)) AS distinct_
 @query("grain_search", _GRAIN_SQL)
 def _grain_search(spark, sf):
     df = load(spark, sf, "conversations").select("conv_id", "turn", "role")
-    cards = {r["column_name"]: r["cardinality"] for r in scalar.cardinalities(df).collect()}
-    found = tablewide.grain_candidates(cards, {}, df.count())
+    facts = scalar.phase_a(df, "conversations").select("column_name", "cardinality", "null_count", "row_count").collect()  # a row a column
+    found = tablewide.grain_candidates({r["column_name"]: r["cardinality"] for r in facts}, {r["column_name"]: r["null_count"] for r in facts}, facts[0]["row_count"])
     return tablewide.grain(df, found)
 
 
@@ -460,6 +496,64 @@ def _dense(spark, sf):
     return edges.dense_sequences(load(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_suppkey"])
 
 
+# --- the whole profile -------------------------------------------------------
+
+
+def _profile_sql(table: str) -> str:
+    """Every long row of one table's profile, from SQL alone."""
+    cols = columns_of(table)
+    a, cte = phase_a_sql(table), "pa_" + table
+    stats = ("null_count", "null_rate", "cardinality", "cardinality_ratio", "zero_count", "negative_count", "quantized_count", "non_finite_count", "empty_count", "length_min", "length_max", "length_avg", "length_p95")
+    row = lambda col, stat, number, text, src: f"SELECT '{table}' AS table_name, {col} AS column_name, {stat} AS stat, ({number})::DOUBLE AS number, ({text})::VARCHAR AS text FROM {src}"
+    out = [row("column_name", f"'{s}'", s, "NULL", f"(SELECT * FROM {cte} WHERE {s} IS NOT NULL)") for s in stats]
+    out += [row("column_name", "'candidate_key'", "NULL", "candidate_key", cte), row("column_name", "'classification'", "NULL", "classification", cte), row("NULL", "'row_count'", "count(*)", "NULL", table)]
+    out.append(row("NULL", f"'null_patterns[{'0' * len(cols)}]'", "count(*)", "NULL", table))
+    is_class = lambda c, k: f"(SELECT classification FROM {cte} WHERE column_name = '{c}') {k}"
+    for c, k in cols:
+        src = f"{table} HAVING {is_class(c, '= ' + repr({'n': 'numeric', 'f': 'numeric', 't': 'temporal', 's': 'text'}[k]))}"
+        if k in "nf":
+            out += [row(f"'{c}'", f"'{s}'", v, "NULL", src) for s, v in (("range.min", f"round(min({c})::DOUBLE, 6)"), ("range.max", f"round(max({c})::DOUBLE, 6)"), ("mean", f"round(avg({c}), 6)"), *((f"percentiles.p{p:02d}", f"round(quantile_cont({c}, {p / 100}), 6)") for p in (1, 25, 50, 75, 99)))]
+        if k == "t":
+            shown = lambda e: f"strftime({e}, '%Y-%m-%dT%H:%M:%S.%f')"
+            age = f"greatest(0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(max({c}))) // 86400000000)"
+            out += [row(f"'{c}'", f"'{s}'", "NULL", v, src) for s, v in (("range.min", shown(f"min({c})")), ("range.max", shown(f"max({c})")), ("freshness", f"CASE WHEN {age} < 7 THEN 'live' WHEN {age} < 90 THEN 'stale' ELSE 'dormant' END"), *((f"percentiles.p{p:02d}", shown(f"quantile_disc({c}, {p / 100})")) for p in (1, 25, 50, 75, 99)))]
+            out += [row(f"'{c}'", "'span_days'", f"(epoch_us(max({c})) - epoch_us(min({c}))) // 86400000000", "NULL", src), row(f"'{c}'", "'max_age_days'", age, "NULL", src)]
+    listed = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c}::VARCHAR AS value, count(*) AS n FROM {table} WHERE {c} IS NOT NULL AND {is_class(c, "IN ('categorical', 'text')")} GROUP BY {c}" for c, _ in cols)
+    out.append(row("column_name", "'values[' || rank || ']'", "n", "value", f"({list_sql(listed)})"))
+    shape = distribution_sql_of(listed)
+    out += [row("column_name", "'distribution'", "NULL", "distribution", f"({shape})"), row("column_name", "'values_coverage'", "values_coverage", "NULL", f"({shape})")]
+    card = lambda c: f"(SELECT cardinality FROM {cte} WHERE column_name = '{c}')"
+    key = lambda c: f"(SELECT candidate_key FROM {cte} WHERE column_name = '{c}')"
+    grain = " UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, {card(x)} * {card(y)} AS product, count(DISTINCT ({x}, {y})) AS pairs, count(*) AS rows FROM {table} HAVING {card(x)} < count(*) AND {card(y)} < count(*) AND {card(x)} * {card(y)} >= count(*)" for (x, _), (y, _) in combinations(cols, 2))
+    out.append(row("NULL", "'grain[' || a || ',' || b || ']'", "pairs", "NULL", f"(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY product DESC, a, b) AS place FROM ({grain})) WHERE place <= {tablewide.GRAIN_PAIRS} AND pairs = rows AND NOT EXISTS (SELECT 1 FROM {cte} WHERE candidate_key))"))
+    few = lambda c: is_class(c, "= 'categorical'")
+    for x, y in permutations([c for c, _ in cols], 2):
+        close = "true" if tablewide.adjacent(x, y) else f"({few(x)} AND {few(y)})"
+        strength = f"round(least(1.0, {card(x)} / count(DISTINCT ({x}, {y}))), 6)"
+        out.append(row("NULL", f"'dependencies[{x}->{y}]'", strength, "NULL", f"{table} HAVING {close} AND {card(x)} >= {card(y)} AND {card(y)} > 1 AND NOT {key(x)} AND {strength} >= {tablewide.STRONG}"))
+    for c, k in cols:
+        if k == "t":  # one such column a table here
+            span = f"(SELECT (epoch_us(max({c})) - epoch_us(min({c}))) // 86400000000 FROM {table})"
+            for unit, fits in (("day", f"{span} <= 90"), ("week", f"{span} > 90 AND {span} <= 730"), ("month", f"{span} > 730")):
+                out.append(row("NULL", "'timeline[' || b || ']'", "n", "NULL", f"(SELECT strftime(date_trunc('{unit}', {c}), '%Y-%m-%d') AS b, count(*) AS n FROM {table} WHERE {fits} GROUP BY 1)"))
+                out.append(row("NULL", "'timeline'", "NULL", f"'{c} by {unit}'", f"(SELECT 1 WHERE {fits})"))
+    return f"SELECT * FROM (WITH {cte} AS MATERIALIZED ({a}) " + "\nUNION ALL ".join(out) + ")"
+
+
+@query("profile_full", "\nUNION ALL ".join(map(_profile_sql, SCHEMAS)))
+def _profile_full(spark, sf):
+    """Every table without nested columns; types, sums of doubles and spellings, which the engines say differently, are left out."""
+    found = full(spark, [Source(t, load(spark, sf, t)) for t in SCHEMAS], profiled_at=NOW, infer=False)
+    return found.where("stat NOT IN ('sql_type', 'nullable', 'sum', 'spelling_groups')")
+
+
+@query("profile_nested", "SELECT 'embedding' AS column_name, stat, number FROM (SELECT min(len(embedding)) AS size_min, max(len(embedding)) AS size_max, avg(len(embedding)) AS size_avg, quantile_disc(len(embedding), 0.95) AS size_p95, count(*) FILTER (len(embedding) = 0) AS empties FROM embeddings) UNPIVOT (number FOR stat IN (size_min, size_max, size_avg, size_p95, empties))" + " UNION ALL SELECT 'embedding[*]', 'row_count', sum(len(embedding)) FROM embeddings UNION ALL SELECT 'embedding[*]', 'cardinality', count(DISTINCT x) FROM (SELECT unnest(embedding) AS x FROM embeddings)")
+def _profile_nested(spark, sf):
+    found = full(spark, [Source("embeddings", load(spark, sf, "embeddings"))], infer=False)
+    wanted = "column_name = 'embedding' AND (stat LIKE 'size%' OR stat = 'empties') OR column_name = 'embedding[*]' AND stat IN ('row_count', 'cardinality')"
+    return found.where(wanted).select("column_name", "stat", "number")
+
+
 # --- drift, assertions, redaction, lookup -----------------------------------
 
 _STATS = ("row_count", "null_count", "cardinality", "classification")
