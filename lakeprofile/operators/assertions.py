@@ -112,6 +112,22 @@ def sql_empty(spark: SparkSession, sql: str, name: str = "query", quoted: int =
     return [Issue("assertion_failed", name, "; ".join(str(r.asDict()) for r in rows))] if rows else []
 
 
+#: What a run can end with, by code; fixed values.
+EXIT_CODES = {"ok": 0, "error": 1, "stale": 2, "drift": 3, "connection": 4, "partial_failure": 5, "assertion_failed": 6, "total_failure": 7}
+#: Which of several outcomes a run reports: that of the least trustworthy result first; fixed values.
+EXIT_PRECEDENCE = ("error", "connection", "total_failure", "partial_failure", "assertion_failed", "drift", "stale", "ok")
+
+
+def run_exit_code(outcomes: set[str] = frozenset(), succeeded: int = 0, skipped: int = 0, failed: int = 0, issues: list[Issue] = ()) -> int:
+    """The exit code of a run: of its outcomes by name, its tables by how they ended, and its assertion issues."""
+    found = {"ok", *outcomes}
+    if failed:
+        found.add("partial_failure" if succeeded or skipped else "total_failure")
+    if any(i.severity >= FAILED for i in issues):
+        found.add("assertion_failed")
+    return EXIT_CODES[next(o for o in EXIT_PRECEDENCE if o in found)]
+
+
 def exit_code(issues: list[Issue]) -> int:
     """The worst severity."""
     return max((i.severity for i in issues), default=OK)

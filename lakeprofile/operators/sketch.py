@@ -34,6 +34,13 @@ def summary(sketch: DataFrame, k: int = K) -> DataFrame:
     return sketch.agg(F.count(F.lit(1)).alias("n"), F.when(full, F.max("h")).otherwise(F.lit(str(2**64)).cast("decimal(20,0)")).alias("threshold"), (~full).alias("exhaustive"))
 
 
+def member(sketch: DataFrame, value: Column, kind: T.DataType, k: int = K) -> DataFrame:
+    """(known, present): whether the column holds ``value``; only a sketch of all its values, or a hash below the largest kept, can tell."""
+    h = X.low64(canonical(value, kind))
+    facts = sketch.agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("top"), F.max(F.col("h") == h).alias("hit"))
+    return facts.select(F.coalesce((F.col("n") < k) | (h <= F.col("top")), F.lit(True)).alias("known"), F.coalesce("hit", F.lit(False)).alias("hit")).select("known", F.when(F.col("known"), F.col("hit")).alias("present"))
+
+
 def compare(child: DataFrame, parent: DataFrame, k: int = K) -> DataFrame:
     """(common, answerable, estimate, containment): of the child's keys below both thresholds, those the parent has."""
     c, p = summary(child, k), summary(parent, k)

@@ -266,9 +266,13 @@ def _distinct_sample(spark, sf):
     return values.distinct_sample(load(spark, sf, "part"), "p_name", 25, "part")
 
 
-@query("approx_cardinality")
+@query("approx_cardinality", union_sql("lineitem", lambda c, k: f"'{c}' AS column_name, count(DISTINCT {c}) AS exact, true AS close"))
 def _approx(spark, sf):
-    return scalar.approximate_cardinalities(load(spark, sf, "lineitem"))
+    """Estimates stand within a twentieth of the exact counts."""
+    df = load(spark, sf, "lineitem")
+    near = scalar.approximate_cardinalities(df).select("column_name", F.col("cardinality").alias("estimate"))
+    both = scalar.cardinalities(df).join(near, "column_name")
+    return both.select("column_name", F.col("cardinality").alias("exact"), (F.abs(F.col("estimate") / F.col("cardinality") - 1) <= 0.05).alias("close"))
 
 
 # --- whole tables -----------------------------------------------------------
@@ -444,16 +448,28 @@ for _n, _a, _b in (("sketch_intersection", ("lineitem", "l_orderkey"), ("orders"
     query(_n, compare_sql(_a, _b, sketch.K))(lambda spark, sf, a=_a, b=_b: sketch.compare(sketch.key_sketch(load(spark, sf, a[0]), a[1]), sketch.key_sketch(load(spark, sf, b[0]), b[1])))
 
 
-@query("value_derived_edges", "SELECT 'order_id' AS child, 'orders.o_orderkey' AS parent")
+_KEYED = {"l_order_id": ("lineitem", "l_orderkey"), "o_customer_id": ("orders", "o_custkey"), "e_user_id": ("events", "user_id"), "l_line_id": ("lineitem", "l_linenumber")}
+_PARENTS = {"orders.o_orderkey": ("orders", "o_orderkey"), "customer.c_custkey": ("customer", "c_custkey"), "supplier.s_suppkey": ("supplier", "s_suppkey")}
+
+
+def _value_edge_sql(child: str, parent: str) -> str:
+    (ct, cc), (pt, pc) = _KEYED[child], _PARENTS[parent]
+    n, m = f"(SELECT count(DISTINCT {cc}) FROM {ct})", f"(SELECT count(DISTINCT {pc}) FROM {pt})"
+    return f"SELECT '{child}' AS child, '{parent}' AS parent FROM ({compare_sql(_KEYED[child], _PARENTS[parent], sketch.K)}) WHERE {n} > 50 AND {n} < {m} AND CASE WHEN {n} < {sketch.K} AND {m} < {sketch.K} THEN containment = 1 ELSE answerable >= 400 AND containment >= 0.95 END"
+
+
+@query("value_derived_edges", " UNION ALL ".join(_value_edge_sql(c, p) for c in _KEYED for p in _PARENTS))
 def _value_edges(spark, sf):
-    def side(df, column, name):
+    """Columns under names as keys have, against three keys, by their sketches."""
+
+    def side(table, column, name):
+        df = load(spark, sf, table)
         low, high, card = df.agg(F.min(column), F.max(column), F.count_distinct(column)).first()
-        hashes = [int(r[0]) for r in sketch.key_sketch(df, column).collect()]  # k numbers at most
+        hashes = sorted(int(r[0]) for r in sketch.key_sketch(df, column).collect())  # k numbers at most
         return {"name": name, "kind": "integer", "cardinality": card, "hashes": hashes, "exhaustive": len(hashes) < sketch.K, "dense": high - low + 1 == card}
 
-    child = side(load(spark, sf, "lineitem"), "l_orderkey", "order_id")
-    parents = [side(load(spark, sf, "orders"), "o_orderkey", "orders.o_orderkey"), side(load(spark, sf, "customer"), "c_custkey", "customer.c_custkey")]
-    return spark.createDataFrame(edges.by_value([child], parents), "child string, parent string")
+    found = edges.by_value([side(*at, n) for n, at in _KEYED.items()], [side(*at, n) for n, at in _PARENTS.items()])
+    return spark.createDataFrame(found, "child string, parent string")
 
 
 @query("naming_edges", "SELECT 'sale' AS source, 'customer_id' AS source_column, 'customers' AS target, 'id' AS target_column UNION ALL SELECT 'sale', 'category_id', 'categories', 'id'")
@@ -637,9 +653,53 @@ def _search(spark, sf):
     return resolve.search_columns(scalar.phase_a(load(spark, sf, "orders"), "orders"), "order", classification="categorical").select("table_name", "column_name")
 
 
+def _small_profile(spark, sf) -> DataFrame:
+    return full(spark, [Source(t, load(spark, sf, t)) for t in ("nation", "region", "supplier")], profiled_at=NOW, infer=False)
+
+
 @query("validate_profile", "SELECT 'x' AS table_name, 'x' AS column_name, 'x' AS code WHERE false")
 def _validate(spark, sf):
-    return context.validate(scalar.phase_a(load(spark, sf, "orders"), "orders"))
+    return context.validate(scalar.phase_a(load(spark, sf, "orders"), "orders")).unionByName(context.audit(_small_profile(spark, sf)))
+
+
+@query("audit_planted", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{code}' AS code FROM {t} HAVING count(*) > 0" for t, cols in (("nation", ("n_nationkey", "n_name", "n_regionkey")), ("region", ("r_regionkey", "r_name"))) for c in cols for code in ("null_count_exceeds_rows", "null_rate_disagrees", "null_rate_of_none")) + " UNION ALL SELECT 'nation', 'n_name', 'length_min_negative' UNION ALL SELECT 'region', 'r_name', 'length_min_negative'")
+def _audit_planted(spark, sf):
+    """Null counts beyond the rows, and lengths below zero, planted in a profile of two tables."""
+    found = full(spark, [Source(t, load(spark, sf, t)) for t in ("nation", "region")], profiled_at=NOW, infer=False)
+    wrong = F.when(F.col("stat") == "null_count", 1e6).when(F.col("stat") == "length_min", -1.0).otherwise(F.col("number"))
+    codes = ("null_count_exceeds_rows", "null_rate_disagrees", "null_rate_of_none", "length_min_negative")
+    return context.audit(found.withColumn("number", wrong)).where(F.col("code").isin(*codes))
+
+
+_HALF = "(SELECT * FROM orders WHERE o_orderkey % 2 = 0)"
+_KEPT = ("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@query("drift_profiles", f"""WITH c AS ({' UNION ALL '.join(f"SELECT '{c}' AS column_name, (SELECT count(DISTINCT {c}) FROM {_HALF})::DOUBLE AS x, count(DISTINCT {c})::DOUBLE AS y FROM orders" for c in _KEPT)})
+SELECT 'orders' AS table_name, 'o_orderstatus' AS column_name, 'column_added' AS kind, NULL::VARCHAR AS stat, NULL::DOUBLE AS delta, 'shape' AS family
+UNION ALL SELECT 'orders', 'o_custkey', 'column_type_changed', 'sql_type', NULL, 'shape'
+UNION ALL SELECT 'orders', NULL, 'table_row_count_changed', 'row_count', (count(*) - (SELECT count(*) FROM {_HALF}))::DOUBLE, 'data' FROM orders
+UNION ALL SELECT 'orders', column_name, 'statistic_changed', 'cardinality', y - x, 'data' FROM c WHERE x <> y""")
+def _drift_profiles(spark, sf):
+    """A column more, a type changed, twice the rows: between two whole profiles."""
+    df = load(spark, sf, "orders")
+    before = full(spark, [Source("orders", df.where("o_orderkey % 2 = 0").drop("o_orderstatus"))], profiled_at=NOW, infer=False)
+    after = full(spark, [Source("orders", df.withColumn("o_custkey", F.col("o_custkey").cast("int")))], profiled_at=NOW, infer=False)
+    return drift.compare(before, after).where("stat IS NULL OR stat IN ('sql_type', 'row_count', 'cardinality')").select("table_name", "column_name", "kind", "stat", "delta", "family")
+
+
+@query("scoped_profile", "SELECT 'row_count' AS stat, count(*)::DOUBLE AS number FROM orders UNION ALL SELECT 'rows_scanned', count(*) FILTER (o_orderstatus = 'F')::DOUBLE FROM orders")
+def _scoped_profile(spark, sf):
+    """Of a table read in part: its whole row count, the rows read, and no fact of the whole table."""
+    found = full(spark, [Source("orders", load(spark, sf, "orders"))], [settings.Rule(("orders",), {"mode": "filter", "condition": "o_orderstatus = 'F'"})], profiled_at=NOW, infer=False)
+    return found.where("column_name IS NULL AND stat NOT LIKE 'null_patterns%' AND stat <> 'scope'").select("stat", "number")
+
+
+@query("column_lineage", "SELECT * FROM (VALUES ('name', 'customer', 'c_name'), ('spent', 'orders', 'o_totalprice'), ('spent', 'customer', 'c_acctbal')) AS v(column_name, source, source_column)")
+def _lineage(spark, sf):
+    c, o = load(spark, sf, "customer"), load(spark, sf, "orders")
+    joined = spark.sql("SELECT c_name AS name, sum(o_totalprice) - max(c_acctbal) AS spent FROM {c} JOIN {o} ON c_custkey = o_custkey WHERE o_orderstatus = 'F' GROUP BY c_name", c=c, o=o)
+    return tables.lineage(joined)
 
 
 @query("open_questions", f"SELECT table_name, column_name, CASE WHEN classification = 'categorical' AND length_max <= 3 THEN 'codes' WHEN candidate_key THEN 'description' END AS question FROM ({phase_a_sql('lineitem')}) WHERE classification = 'categorical' AND length_max <= 3 OR candidate_key")
@@ -669,12 +729,14 @@ def _explain(spark, sf):
     return spark.createDataFrame([(k, str(v), o) for k, v, o in found], "setting string, value string, origin string")
 
 
-@query("sample_scope_coherent")
+@query("sample_scope_coherent", "SELECT count(*) AS whole, true AS a_tenth, true AS same FROM orders")
 def _sample(spark, sf):
+    """A tenth of the rows, and the same ones however the table is cut."""
     df = load(spark, sf, "orders")
     once = tables.scoped(df, "orders", sample=0.1)
     again = tables.scoped(df.repartition(7), "orders", sample=0.1)
-    return once.agg(F.count(F.lit(1)).alias("n")).crossJoin(once.exceptAll(again).agg(F.count(F.lit(1)).alias("differ")))
+    share = once.agg(F.count(F.lit(1)).alias("n")).crossJoin(once.exceptAll(again).agg(F.count(F.lit(1)).alias("differ"))).crossJoin(df.agg(F.count(F.lit(1)).alias("whole")))
+    return share.select("whole", (F.abs(F.col("n") / F.col("whole") - 0.1) < 0.03).alias("a_tenth"), (F.col("differ") == 0).alias("same"))
 
 
-query("execute_sql", "SELECT 3 AS x")(lambda spark, sf: tables.execute(spark, "SELECT 1 AS x; SELECT 3 AS x"))
+query("execute_sql", "SELECT 'a;b' AS x")(lambda spark, sf: tables.execute(spark, "SELECT 1 AS x; -- a; b\nSELECT 'a;b' AS x /* ; */;"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +71,9 @@ class _Table:
         if number is not None or said is not None:
             self.rows.append((self.name, column, stat, number, said))
 
+    def number(self, column: str, stat: str) -> float | None:
+        return next((r[3] for r in self.rows if r[1:3] == (column, stat)), None)
+
     def catalogue(self) -> None:
         for f in self.given.df.schema.fields:
             self.add(f.name, "sql_type", f.dataType.simpleString())
@@ -241,7 +246,7 @@ class _Table:
                 self.add(path, f"values[{v['rank']}]", v["n"], v["value"])
 
 
-def by_value(given: list[Source], facts: dict[str, dict[str, Row]], k: int = sketch.K) -> list[tuple[str, str]]:
+def by_value(given: list[Source], facts: dict[str, dict[str, Row]], dense: set[str] = frozenset(), k: int = sketch.K) -> list[tuple[str, str]]:
     """(child, parent), as ``table.column``: foreign keys that the key sketches of whole tables show.
 
     Parents are candidate keys, children the other columns of few thousand values
@@ -256,7 +261,7 @@ def by_value(given: list[Source], facts: dict[str, dict[str, Row]], k: int = ske
             if r["candidate_key"] or r["cardinality"] <= k or f.name.lower().endswith(edges.SUFFIX):
                 label = f"{s.name}.{f.name}"
                 kind = "integer" if isinstance(f.dataType, X.INTEGRAL) else "text"
-                sides[label] = {"name": label, "kind": kind, "cardinality": r["cardinality"], "hashes": [], "exhaustive": r["cardinality"] < k, "dense": False, "key": r["candidate_key"]}
+                sides[label] = {"name": label, "kind": kind, "cardinality": r["cardinality"], "hashes": [], "exhaustive": r["cardinality"] < k, "dense": label in dense, "key": r["candidate_key"]}
                 each.append(sketch.key_sketch(s.df, f.name, k).select(F.lit(label).alias("label"), "h"))
     for r in reduce(DataFrame.unionByName, each).collect() if each else ():
         sides[r["label"]]["hashes"].append(int(r["h"]))
@@ -265,17 +270,18 @@ def by_value(given: list[Source], facts: dict[str, dict[str, Row]], k: int = ske
     return edges.by_value([x for x in sides.values() if not x["key"]], [x for x in sides.values() if x["key"]])
 
 
-def full(spark: SparkSession, given: list[Source], rules: list[Rule] = (), declared: list[edges.Table] = (), profiled_at: str = "1970-01-01 00:00:00", infer: bool = True, defaults: Settings = Settings()) -> DataFrame:
+def full(spark: SparkSession, given: list[Source], rules: list[Rule] = (), declared: list[edges.Table] = (), profiled_at: str = "1970-01-01 00:00:00", infer: bool = True, defaults: Settings = Settings(), parallelism: int = 4) -> DataFrame:
     """(table_name, column_name, stat, number, text): every statistic of every table, by its settings.
 
     Statistics of a table have no column; a part of a nested column is a column
     of its own, named by its path.  Tables in the mode ``catalog`` are not read.
     Of a scoped table nothing is published that holds for whole tables only.
-    What comes to the driver is bounded by columns and settings.
+    What comes to the driver is bounded by columns and settings; so many tables
+    as ``parallelism`` says have jobs at one time.
     """
     named = edges.by_name(list(declared))
-    done: list[_Table] = []
-    for s in given:
+
+    def measure(s: Source) -> _Table:
         settings = resolve(s.name, rules, source.row_estimate(s.df), defaults)
         t = _Table(s, settings, {c: f"{target}.{key}" for name, c, target, key in named if name == s.name}, profiled_at)
         t.catalogue()
@@ -288,9 +294,13 @@ def full(spark: SparkSession, given: list[Source], rules: list[Rule] = (), decla
             t.listed()
             t.whole_table()
             t.parts()
-        done.append(t)
+        return t
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(measure), given))
     rows = [r for t in done for r in t.rows]
+    dense = {f"{t.name}.{c}" for t in done for c, r in t.facts.items() for low, high in [(t.number(c, "range.min"), t.number(c, "range.max"))] if low is not None and high - low + 1 == r["cardinality"]}
     if infer:
         whole = [t for t in done if t.facts and not t.scoped]
-        rows += [(*child.split(".", 1), "foreign_key.by_value", None, parent) for child, parent in by_value([t.given for t in whole], {t.name: t.facts for t in whole})]
+        rows += [(*child.split(".", 1), "foreign_key.by_value", None, parent) for child, parent in by_value([t.given for t in whole], {t.name: t.facts for t in whole}, dense)]
     return spark.createDataFrame(rows, LONG)

@@ -11,7 +11,8 @@ from lakeprofile.functions import expressions as X
 from lakeprofile.functions import shapes
 from lakeprofile.functions.sensitivity import is_person, is_ssn, is_street, sensitivity, snake
 from lakeprofile.operators import assertions, context, drift, edges, nested, quantiles, redact, resolve, scalar, sketch, tablewide, values
-from lakeprofile.plans import settings
+from lakeprofile.plans import lookup, settings
+from lakeprofile.plans.profile import Source, full
 from lakeprofile.sources import store, tables
 from lakeprofile.streaming import timeline
 
@@ -231,3 +232,113 @@ def test_budget_is_kept(items, budget):
     assert {s.name for s in kept} | set(dropped) == {s.name for s in sections}
     spent = sum(context.tokens_of(s.text) for s in kept if not s.pinned)
     assert spent <= budget and all(s in kept for s in sections if s.pinned)
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    from pyspark.sql import types as T
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        got = []
+        for z in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            df = spark.sql("SELECT timestamp'2024-03-10 02:30:00.5Z' AS i, timestamp_ntz'2024-03-10 02:30:00.5' AS l UNION ALL SELECT timestamp'2024-01-01 00:00:00Z', timestamp_ntz'2024-01-01 00:00:00'")
+            block = [tuple(r) for r in scalar.temporal_block(df, "2024-06-01 00:00:00").collect()]
+            us = [tuple(r) for r in df.select(X.micros(F.col("i"), T.TimestampType()), X.micros(F.col("l"), T.TimestampNTZType())).collect()]
+            quantized = [r["quantized_count"] for r in scalar.base(df).collect()]
+            days = sorted(map(tuple, tablewide.timeline(df, "i", "day").collect()))
+            got.append((block, us, quantized, days, [r[0] for r in sketch.key_sketch(df, "i").collect()]))
+        assert got[0] == got[1] == got[2]
+        assert got[0][0][0][1] == "2024-01-01T00:00:00.000000Z" and got[0][2] == [1, 1] and {a == b for a, b in got[0][1]} == {True}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_numbers_keep_their_size(spark):
+    df = spark.sql("SELECT CAST(v AS DOUBLE) AS d, CAST(v AS DECIMAL(38,0)) AS m, CAST(NULL AS INT) AS n FROM VALUES ('99999999999999999999999999999999999999'), ('99999999999999999999999999999999999999') AS t(v)")
+    got = {r["column_name"]: r for r in scalar.numeric_block(df).collect()}
+    assert got["d"]["max_value"] == 1e38 and got["d"]["unmeasured"] == ""
+    assert got["m"]["sum_value"] is None and got["m"]["unmeasured"] == "mean,sum" and got["n"]["unmeasured"] == ""
+    tiny = scalar.numeric_block(spark.sql("SELECT v * 1e-9 AS v FROM VALUES (1.2345678D), (-2D) AS t(v)")).first()
+    assert tiny["max_value"] == 1.23457e-9 and tiny["min_value"] == -2e-9
+
+
+def test_days_are_dates_not_quantized_times(spark):
+    block = scalar.temporal_block(spark.sql("SELECT date'2024-01-01' AS d, timestamp_ntz'+12024-01-01 00:00:00' AS far"), "2024-06-01 00:00:00").collect()
+    assert block[0]["quantized_count"] is None and block[1]["unrepresentable"] == "min,max"
+
+
+def test_dependency_candidates():
+    facts = {"city": ("categorical", 5, 0, False), "city_code": ("text", 90, 0, False), "id": ("numeric", 100, 0, True), "one": ("categorical", 1, 0, False), "kind": ("categorical", 5, 0, False), "gap": ("categorical", 3, 2, False)}
+    assert tablewide.dependency_candidates(facts) == [("city_code", "city"), ("city", "kind"), ("kind", "city")]
+
+
+def test_profile_of_one_table(spark):
+    rows = [(i, f"user{i}@example.com", None if i % 10 == 0 else "a" if i % 2 else "b", [i, i + 1], (i % 3, "x")) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, email string, flag string, tags array<long>, s struct<k:int,t:string>")
+    long = full(spark, [Source("people", df, "who", (), ("raw.people",))], profiled_at="2026-01-01 00:00:00")
+    got = {(r["column_name"], r["stat"]): (r["number"], r["text"]) for r in long.collect()}
+    assert got[None, "row_count"] == (200.0, None) and got[None, "comment"] == (None, "who") and got[None, "depends_on"][1] == "raw.people"
+    assert got["email", "inferred.looks_like"][1] == "email" and got["email", "inferred.sensitivity"][1] == "contact"
+    assert got["flag", "null_count"][0] == 20 and got["flag", "values[1]"] == (100.0, "a") and got["id", "candidate_key"][1] == "true"
+    assert got["tags", "classification"][1] == "composite" and got["tags[*]", "row_count"][0] == 400 and got["s.k", "cardinality"][0] == 3
+    assert context.audit(long).count() == 0
+    hidden = redact.redact_profile(long, [("people.*", "mask"), ("people.id", "drop"), ("people.email", "hash")], "salt")
+    said = {(r["column_name"], r["stat"]): r["text"] for r in hidden.collect()}
+    assert said["flag", "values[1]"] == "[redacted]" and len(said["email", "values[1]"]) == 16 and ("id", "mean") not in said and said["id", "redacted"] == "drop"
+    assert context.audit(hidden).count() == 0
+
+
+def test_empty_tables_have_profiles(spark):
+    df = spark.createDataFrame([], "a int, b string, t timestamp")
+    got = {(r["column_name"], r["stat"]): r["number"] for r in full(spark, [Source("none", df)]).collect()}
+    assert got[None, "row_count"] == 0 and got["a", "null_rate"] == 0 and ("a", "range.min") not in got
+
+
+def test_drift_leaves_out_what_does_not_compare(spark):
+    def at(rows):
+        return spark.createDataFrame([("t", c, s, n, x) for c, s, n, x in rows], "table_name string, column_name string, stat string, number double, text string")
+
+    before = at([(None, "row_count", 10.0, None), ("a", "cardinality", 5.0, None), ("a", "mean", float("nan"), None), ("b", "cardinality", 3.0, None), ("b", "cardinality_method", None, "approximate"), ("c", "mean", 1.0, None), ("c", "redacted", None, "mask"), ("p[*]", "null_count", 1.0, None), ("q.x", "null_count", 1.0, None)])
+    after = at([(None, "row_count", 20.0, None), ("a", "cardinality", 6.0, None), ("a", "mean", float("nan"), None), ("b", "cardinality", 9.0, None), ("c", "mean", 2.0, None), ("p[*]", "null_count", 4.0, None)])
+    got = {(r["column_name"], r["stat"]): (r["kind"], r["delta"]) for r in drift.compare(before, after).collect()}
+    assert got == {(None, "row_count"): ("table_row_count_changed", 10.0), ("a", "cardinality"): ("statistic_changed", 1.0), ("p[*]", "null_count"): ("statistic_changed", 3.0)}
+    assert tuple(drift.outcome(before, after).first()) == ("t", 3, 1, 2)
+    scoped = after.unionByName(at([(None, "scope", None, "sample")]))
+    assert drift.compare(before, scoped).count() == 0
+
+
+def test_exit_codes():
+    code = assertions.run_exit_code
+    assert [code(), code({"stale", "drift"}), code({"drift"}, failed=1, succeeded=1), code(failed=2), code({"error"}, failed=2)] == [0, 3, 5, 7, 1]
+    assert code(issues=[assertions.Issue("x", "", "")]) == 6 and code(skipped=1, failed=1) == 5
+
+
+def test_statements_and_names(spark):
+    assert tables.statements("SELECT ';' ; -- a;b\nSELECT `x;y` FROM t /* ; */;;") == ["SELECT ';'", "-- a;b\nSELECT `x;y` FROM t /* ; */"]
+    assert "`a b` INT" in tables.ddl(spark.createDataFrame([], "`a b` int"), "t")
+    keys = spark.createDataFrame([("t", ["a", "b"], True, None, None), ("t", ["c"], False, "u", ["id"])], "table_name string, key_columns array<string>, is_primary boolean, target string, target_columns array<string>")
+    assert tables.unique_keys("t", keys)[0] == (("a", "b"), True) and tables.foreign_keys("t", keys) == [(("c",), "u", ("id",))]
+
+
+def test_sketch_membership(spark):
+    df = spark.range(3000)
+    whole, part = sketch.key_sketch(df.where("id < 100"), "id"), sketch.key_sketch(df, "id")
+    from pyspark.sql import types as T
+
+    assert tuple(sketch.member(whole, F.lit(7).cast("long"), T.LongType()).first()) == (True, True)
+    assert tuple(sketch.member(whole, F.lit(700).cast("long"), T.LongType()).first()) == (True, False)
+    told = [tuple(sketch.member(part, F.lit(i).cast("long"), T.LongType()).first()) for i in range(4)]
+    assert {t for t in told} <= {(True, True), (False, None)}
+
+
+def test_lookup(spark, tmp_path):
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(60)], "id long, kind string")
+    for n in (60, 30):
+        store.publish(full(spark, [Source("t", df.limit(n))]), str(tmp_path))
+    at = lookup.Lookup(spark, str(tmp_path))
+    assert [r["version"] for r in at.manifest().collect()] == [1, 2] and tuple(at.list_tables().first()) == ("t", 30, 2)
+    assert "2 columns" in at.table_context("t") and [tuple(r) for r in at.search_columns("k", classification="categorical").collect()] == [("t", "kind")]
+    r = at.resolve_value("t", "kind", "A").first()
+    assert (r["value"], r["match"], r["complete"], r["scoped"]) == ("a", "folded", True, False)
+    assert at.diff(1).where("kind = 'table_row_count_changed'").first()["delta"] == -30 and "must hold" in at.reference("length_order")

@@ -41,7 +41,3 @@ def test_same_rows(spark, duck, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 11
-
-
-def test_sample_is_coherent(spark):
-    assert entry.queries()["sample_scope_coherent"](spark, SF).first()["differ"] == 0
