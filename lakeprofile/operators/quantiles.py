@@ -1,8 +1,9 @@
-"""Exact order statistics in three cheap passes.
+"""Exact order statistics by brackets that narrow.
 
-An approximate pass brackets each rank, a count finds how many values lie below
-the bracket, and an exact pass ranks only what lies inside it.  No task sees a
-whole column sorted, and no aggregate holds a whole column's distinct values.
+As long as more than ``INSIDE`` values lie in a rank's bracket, an approximate
+pass proposes a narrower one and a count tells whether the rank is still in it;
+then an exact pass ranks what lies inside.  No task sees a whole column sorted,
+and no aggregate holds more than a bracket's values, however large the column.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from math import ceil, floor, ulp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLACK = 0.001
+#: Values in a bracket that are ranked at once, and how far around its rank a proposed bracket reaches.
+INSIDE, SLACK = 1_000_000, 0.001
 
 
 def at_ranks(df: DataFrame, value: Column, ranks: dict[str, int], n: int) -> dict[str, object]:
@@ -20,24 +22,29 @@ def at_ranks(df: DataFrame, value: Column, ranks: dict[str, int], n: int) -> dic
     if not n or not ranks:
         return {}
     df = df.select(value.alias("v")).where("v IS NOT NULL")
-    wanted = sorted(set(ranks.values()))
-    low = [max(0.0, r / n - SLACK) for r in wanted]
-    high = [min(1.0, (r + 1) / n + SLACK) for r in wanted]
-    edges = df.agg(F.percentile_approx("v", low + high, 10_000).alias("q"), F.min("v").alias("a"), F.max("v").alias("b")).first()
-    lo, hi = [edges["a"] if x == 0.0 else q for x, q in zip(low, edges["q"])], [edges["b"] if x == 1.0 else q for x, q in zip(high, edges["q"][len(low) :])]
-    v = F.col("v")
-    counts = df.agg(*[F.count_if(v < a).alias(f"below{i}") for i, a in enumerate(lo)], *[F.count_if((v >= a) & (v <= b)).alias(f"in{i}") for i, (a, b) in enumerate(zip(lo, hi))]).first()
-    exact = []
-    for i, r in enumerate(wanted):
-        place, inside = r - counts[f"below{i}"], counts[f"in{i}"]
-        if not 0 <= place < inside:  # the estimate missed: rank among all
-            place, inside, lo[i], hi[i] = r, n, edges["a"], edges["b"]
-        kept = F.when((v >= lo[i]) & (v <= hi[i]), v)
-        exact.append((F.when((v >= lo[i]) & (v <= hi[i]), v), (place + 0.5) / inside))
-    ranked = df.select(*[k.alias(f"w{i}") for i, (k, _) in enumerate(exact)])
-    row = ranked.selectExpr(*[f"percentile_disc({p!r}D) WITHIN GROUP (ORDER BY w{i}) AS x{i}" for i, (_, p) in enumerate(exact)]).first()
-    by_rank = {r: row[f"x{i}"] for i, r in enumerate(wanted)}
-    return {k: by_rank[r] for k, r in ranks.items()}
+    wanted, v = sorted(set(ranks.values())), F.col("v")
+    low, high, below, inside, slack = {}, {}, dict.fromkeys(wanted, 0), dict.fromkeys(wanted, n), dict.fromkeys(wanted, SLACK)
+    if n > INSIDE:
+        ends = df.agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
+        low, high = dict.fromkeys(wanted, ends["a"]), dict.fromkeys(wanted, ends["b"])
+    kept = lambda r: F.when((v >= low[r]) & (v <= high[r]), v) if r in low else v
+    while todo := [r for r in wanted if inside[r] > INSIDE and low[r] < high[r] and slack[r] < 1]:
+        share = {r: (r - below[r] + 0.5) / inside[r] for r in todo}
+        near = df.agg(*[F.percentile_approx(kept(r), [max(0.0, share[r] - slack[r]), min(1.0, share[r] + slack[r])], 10_000).alias(f"q{i}") for i, r in enumerate(todo)]).first()
+        proposed = {r: near[f"q{i}"] for i, r in enumerate(todo)}
+        counts = df.agg(*[F.count_if(v < a).alias(f"below{i}") for i, (a, _) in enumerate(proposed.values())], *[F.count_if((v >= a) & (v <= b)).alias(f"in{i}") for i, (a, b) in enumerate(proposed.values())]).first()
+        for i, r in enumerate(todo):
+            if counts[f"below{i}"] <= r < counts[f"below{i}"] + counts[f"in{i}"] and counts[f"in{i}"] < inside[r]:
+                (low[r], high[r]), below[r], inside[r] = proposed[r], counts[f"below{i}"], counts[f"in{i}"]
+            else:  # the estimate missed, or told nothing new: look wider
+                slack[r] *= 8
+    open_ranks = [r for r in wanted if r not in low or low[r] < high[r]]
+    found = {r: low[r] for r in wanted if r not in open_ranks}
+    if open_ranks:
+        ranked = df.select(*[kept(r).alias(f"w{i}") for i, r in enumerate(open_ranks)])
+        row = ranked.selectExpr(*[f"percentile_disc({(r - below[r] + 0.5) / inside[r]!r}D) WITHIN GROUP (ORDER BY w{i}) AS x{i}" for i, r in enumerate(open_ranks)]).first()
+        found |= {r: row[f"x{i}"] for i, r in enumerate(open_ranks)}
+    return {k: found[r] for k, r in ranks.items()}
 
 
 def interpolated(df: DataFrame, value: Column, levels: list[float]) -> dict[float, float]:

@@ -53,6 +53,14 @@ def test_quantiles_equal_sorted_ranks(spark):
     assert quantiles.nearest(spark.createDataFrame([], "v double"), F.col("v"), [0.5]) == {}
 
 
+def test_brackets_narrow(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "INSIDE", 40)
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7).otherwise((F.col("id") * 7919) % 1000).alias("v"), F.lit(5).alias("same"))
+    ordered = sorted(r[0] for r in df.collect())
+    assert quantiles.at_ranks(df, F.col("v"), {str(r): r for r in (0, 1, 30, 1700, 2500, 4998, 4999)}, 5000) == {str(r): ordered[r] for r in (0, 1, 30, 1700, 2500, 4998, 4999)}
+    assert quantiles.at_ranks(df, F.col("same"), {"a": 17}, 5000) == {"a": 5}
+
+
 def test_value_list_orders_ties_by_text(spark):
     df = spark.createDataFrame([("b",), ("a",), ("a",), ("b",), (None,), ("c",)], "v string")
     assert [(r["value"], r["n"], r["rank"]) for r in values.value_list(values.frequencies(df, ["v"])).orderBy("rank").collect()] == [("a", 2, 1), ("b", 2, 2), ("c", 1, 3)]
