@@ -24,13 +24,16 @@ gives an empty result; other columns, whatever their names, are left alone.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
+from uuid import uuid4
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -43,7 +46,7 @@ SPACE = "▁"
 FREQUENT = 1 << 18
 #: A character that has no piece scores so much less than the least of all pieces.
 UNKNOWN = 10.0
-_UNITS = re.compile(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n")
+_UNITS = re.compile(" +[^ \\n]*|[^ \\n]+|\\n")
 
 
 def vocabulary(model_file: str) -> tuple[list[tuple[str, int, float]], list[bytes], int]:
@@ -60,7 +63,23 @@ def vocabulary(model_file: str) -> tuple[list[tuple[str, int, float]], list[byte
 
 
 def units_of(text: str) -> list[str]:
-    return _UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    """The units of a text, in order, with spaces as they are."""
+    if not text:
+        return []
+    if SPACE in text:
+        text = text.replace(SPACE, " ")
+    if "  " in text or text[0] == " ":
+        return _UNITS.findall(" " + text)
+    out: list[str] = []
+    for n, line in enumerate(text.split("\n")):
+        words = line.split(" ")  # no two spaces meet, so each word but a later line's first has one before it
+        out += ["\n"] * (n > 0)
+        if n and words[0]:
+            out.append(words[0])
+        elif not n:
+            out.append(" " + words[0])
+        out += [" " + w for w in words[1:]]
+    return out
 
 
 def bytes_of(ch: Column, first: int) -> Column:
@@ -69,8 +88,25 @@ def bytes_of(ch: Column, first: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.conv(h.substr(i, F.lit(2)), 16, 10).cast("int") + first)
 
 
-def viterbi(edges: Column, size: Column) -> Column:
-    """array<struct<id,stop>>: the path of the greatest sum of scores through ``edges`` (stop, len, id, score), sorted.
+def edge(stop: Column, length: Column, piece: Column) -> Column:
+    """An edge of the lattice in one number, so that numbers sort by where edges end, then by length, then by id."""
+    return F.shiftleft(stop.cast("long"), 32).bitwiseOR(F.shiftleft(length.cast("long"), 24)).bitwiseOR(piece.cast("long"))
+
+
+def _stop(e: Column) -> Column:
+    return F.shiftright(e, 32).cast("int")
+
+
+def _length(e: Column) -> Column:
+    return F.shiftright(e, 24).bitwiseAND(0xFF).cast("int")
+
+
+def _piece(e: Column) -> Column:
+    return e.bitwiseAND(0xFFFFFF).cast("int")
+
+
+def viterbi(edges: Column, size: Column, scores: Column) -> Column:
+    """array<struct<id,stop>>: the path of the greatest sum of ``scores``, by id, through sorted ``edges``.
 
     Every node from 1 to ``size`` must have an edge of length one that ends
     there.  The state has the best (sum, len, id) into each node that all edges
@@ -79,13 +115,17 @@ def viterbi(edges: Column, size: Column) -> Column:
     node = "struct<sum:double,len:int,id:int>"
     state = F.struct(F.array(F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("len"), F.lit(-1).alias("id"))).alias("nodes"), F.lit(None).cast(node).alias("best"))
 
+    def into(e: Column, before: Column) -> Column:
+        return F.struct((before + e["score"]).alias("sum"), e["len"].alias("len"), e["id"].alias("id"))
+
     def step(acc: Column, e: Column) -> Column:
-        same = e["stop"] == F.size(acc["nodes"])
-        before = F.when(~same & (e["len"] == 1), acc["best"]["sum"]).otherwise(F.element_at(acc["nodes"], e["stop"] - e["len"] + 1)["sum"])
-        into = F.struct((before + e["score"]).alias("sum"), e["len"].alias("len"), e["id"].alias("id"))
-        return F.when(same, F.struct(acc["nodes"].alias("nodes"), F.greatest(acc["best"], into).alias("best"))).otherwise(F.struct(F.array_append(acc["nodes"], acc["best"]).alias("nodes"), into.alias("best")))
+        reached = lambda: F.element_at(acc["nodes"], e["start"])["sum"]
+        more = F.struct(acc["nodes"].alias("nodes"), F.greatest(acc["best"], into(e, reached())).alias("best"))
+        first = into(e, F.when(e["len"] == 1, acc["best"]["sum"]).otherwise(reached()))
+        return F.when(e["stop"] == F.size(acc["nodes"]), more).otherwise(F.struct(F.array_append(acc["nodes"], acc["best"]).alias("nodes"), first.alias("best")))
 
-    back = F.aggregate(edges, state, step, lambda a: F.array_append(a["nodes"], a["best"]))
+    plain = F.transform(edges, lambda e: F.struct(_stop(e).alias("stop"), (_stop(e) - _length(e) + 1).alias("start"), _length(e).alias("len"), _piece(e).alias("id"), scores[_piece(e)].alias("score")))
+    back = F.aggregate(plain, state, step, lambda a: F.array_append(a["nodes"], a["best"]))
     pair = "struct<id:int,stop:int>"
 
     def walk(nodes: Column) -> Column:
@@ -96,17 +136,18 @@ def viterbi(edges: Column, size: Column) -> Column:
     return F.transform(F.array(back), walk)[0]
 
 
-def merged(edges: Column, size: Column) -> Column:
+def merged(edges: Column, size: Column, scores: Column) -> Column:
     """array<struct<id,stop>>: the path that joining neighbours by best score leaves; it costs the cube of a unit's length."""
-    pairs = F.filter(edges, lambda e: e["len"] > 1)
+    pairs = F.filter(edges, lambda e: _length(e) > 1)
 
     def step(nodes: Column, _: Column) -> Column:
-        joins = F.filter(pairs, lambda e: F.array_contains(nodes, e["stop"] - e["len"]) & F.array_contains(nodes, e["stop"]) & (F.size(F.filter(nodes, lambda n: (n > e["stop"] - e["len"]) & (n < e["stop"]))) == 1))
-        best = F.array_max(F.transform(joins, lambda e: F.struct(e["score"].alias("score"), (e["len"] - e["stop"]).alias("first"), e["stop"].alias("stop"))))
+        inside = lambda e: F.size(F.filter(nodes, lambda n: (n > _stop(e) - _length(e)) & (n < _stop(e)))) == 1
+        joins = F.filter(pairs, lambda e: F.array_contains(nodes, _stop(e) - _length(e)) & F.array_contains(nodes, _stop(e)) & inside(e))
+        best = F.array_max(F.transform(joins, lambda e: F.struct(scores[_piece(e)].alias("score"), (_length(e) - _stop(e)).alias("first"), _stop(e).alias("stop"))))
         return F.transform(F.array(best), lambda b: F.when(b.isNull(), nodes).otherwise(F.filter(nodes, lambda n: (n <= -b["first"]) | (n >= b["stop"]))))[0]
 
     path = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), F.sequence(F.lit(0), size), step)
-    hit = lambda start, stop: F.element_at(F.filter(edges, lambda e: (e["stop"] == stop) & (e["len"] == stop - start)), -1)["id"]
+    hit = lambda start, stop: _piece(F.array_min(F.filter(edges, lambda e: (_stop(e) == stop) & (_length(e) == stop - start))))
     return F.transform(F.array(path), lambda p: F.transform(F.slice(p, 2, F.size(p)), lambda stop, i: F.struct(hit(p[i], stop).alias("id"), stop.alias("stop"))))[0]
 
 
@@ -117,24 +158,42 @@ def encode_units(units: DataFrame, model_file: str, fold=viterbi) -> DataFrame:
     longest = max(len(p) for p, _, _ in plain)
     # The piece table is a vocabulary: its size does not depend on the data.  The join is on 64-bit hashes, and
     # the pieces that meet are compared.  An empty piece, met once a unit, keeps units that have no edge.
-    table = spark.createDataFrame([*plain, ("", -1, 0.0)], "piece string, id int, score float").select(F.xxhash64("piece").alias("key"), "piece", "id", F.col("score").cast("double").alias("score"))
+    table = spark.createDataFrame([*((p, i) for p, i, _ in plain), ("", 0)], "piece string, id int").select(F.xxhash64("piece").alias("key"), "piece", "id")
+    none = 1 + max(i for _, i, _ in plain)  # the id of a character that has no piece
+    by_id = np.full(none + 1, min(x for _, _, x in plain) - UNKNOWN)
+    by_id[[i for _, i, _ in plain]] = [x for _, _, x in plain]
     stops = units.select("*", F.explode(F.sequence(F.lit(0), F.length("unit"))).alias("stop"))
     spans = stops.select("*", F.explode(F.sequence(F.least(F.lit(1), F.col("stop")), F.least(F.lit(longest), F.col("stop")))).alias("len"))
     cut = F.substring("unit", F.col("stop") - F.col("len") + 1, F.col("len"))
     met = spans.withColumn("key", F.xxhash64(cut)).join(F.broadcast(table), "key").where(F.startswith(cut, F.col("piece")) & F.endswith(F.col("piece"), cut))
     # Units that come partitioned by ``unit`` stay so: the edges are not shuffled.
-    edge = F.when(F.col("stop") > 0, F.struct("stop", "len", "id", "score"))
-    lattice = met.groupBy(*units.columns).agg(F.collect_list(edge).alias("edges"), F.count_if(F.col("len") == 1).alias("singles"))
-    bare = F.transform(F.sequence(F.lit(1), F.length("unit")), lambda stop: F.struct(stop.alias("stop"), F.lit(1).alias("len"), F.lit(-1).alias("id"), F.lit(min(x for _, _, x in plain) - UNKNOWN).alias("score")))
-    edges = F.sort_array(F.when(F.col("singles") < F.length("unit"), F.concat("edges", bare)).otherwise(F.col("edges")))
-    path = lattice.withColumn("edges", edges).select(*units.columns, fold(F.col("edges"), F.length("unit")).alias("path"))
-    spelled = F.flatten(F.transform("path", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(bytes_of(F.col("unit").substr(p["stop"], F.lit(1)), first))))
-    return path.select(*units.columns, F.when(F.exists("path", lambda p: p["id"] < 0), spelled).otherwise(F.transform("path", lambda p: p["id"])).alias("ids"))
+    edges = met.select(*units.columns, F.when(F.col("stop") > 0, edge(F.col("stop"), F.col("len"), F.col("id"))).alias("edge"))
+    lattice = edges.groupBy(*units.columns).agg(F.collect_list("edge").alias("edges"))
+    bare = F.transform(F.sequence(F.lit(1), F.length("unit")), lambda stop: edge(stop, F.lit(1), F.lit(none)))
+    covered = F.size(F.filter("edges", lambda e: _length(e) == 1)) == F.length("unit")
+    lattice = lattice.withColumn("edges", F.sort_array(F.when(covered, F.col("edges")).otherwise(F.concat("edges", bare))))
+    path = lattice.select(*units.columns, fold(F.col("edges"), F.length("unit"), F.lit(by_id.tolist())).alias("path"))
+    spelled = F.flatten(F.transform("path", lambda p: F.when(p["id"] < none, F.array(p["id"])).otherwise(bytes_of(F.col("unit").substr(p["stop"], F.lit(1)), first))))
+    return path.select(*units.columns, F.when(F.exists("path", lambda p: p["id"] == none), spelled).otherwise(F.transform("path", lambda p: p["id"])).alias("ids"))
+
+
+_HELD: dict[str, dict[str, bytes]] = {}
+
+
+def _by_unit(name: str, table: Broadcast) -> dict[str, bytes]:
+    """The ids' bytes of each unit of a broadcast table (unit, ids), made once in a worker, which keeps the last one only."""
+    if name not in _HELD:
+        _HELD.clear()
+        t = table.value.combine_chunks()
+        ids = t.column("ids").combine_chunks()
+        raw, at = ids.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), ids.offsets.to_pylist()
+        _HELD[name] = {u: raw[4 * a : 4 * b] for u, a, b in zip(t.column("unit").to_pylist(), at, at[1:])}
+    return _HELD[name]
 
 
 def _encoded(rows: DataFrame, model_file: str, text_col: str, fold, kinds: str, finish: Callable[[str, bytes], tuple]) -> DataFrame:
     """The columns of ``rows`` and those of ``kinds``: ``finish`` of each text and the bytes of its ids."""
-    spark = rows.sparkSession
+    spark, name = rows.sparkSession, uuid4().hex
     prepare(spark)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
 
@@ -143,13 +202,21 @@ def _encoded(rows: DataFrame, model_file: str, text_col: str, fold, kinds: str,
             seen = Counter(chain.from_iterable(set(units_of(t)) for t in b.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
 
-    counted = rows.select(text.alias("text")).mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    counted = rows.select(text.alias("text")).mapInArrow(count, "unit string, n long").groupBy(F.translate("unit", " ", SPACE).alias("unit")).agg(F.sum("n").alias("n"))
     known = materialise(encode_units(counted, model_file, fold))
-    top = known.where("n > 1").orderBy(F.desc("n"), "unit").limit(FREQUENT).select("unit", "ids").collect()
-    frequent = spark.sparkContext.broadcast({r["unit"]: np.array(r["ids"], dtype="<i4").tobytes() for r in top})
+    # The least count, on a scale of eighths of a power of two, that at most FREQUENT units reach.
+    scale = F.floor(8 * F.log2("n")).cast("int")
+    reached, least = 0, None
+    for r in known.groupBy(scale.alias("s")).agg(F.count(F.lit(1)).alias("units")).orderBy(F.desc("s")).collect():  # some hundred rows
+        reached += r["units"]
+        if reached > FREQUENT:
+            break
+        least = r["s"]
+    often = known.where(scale >= F.lit(least)) if least is not None else known.where("false")
+    frequent = spark.sparkContext.broadcast(often.select(F.translate("unit", SPACE, " ").alias("unit"), "ids").toArrow())
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = frequent.value
+        common = _by_unit(name, frequent)
         for b in batches:
             once = dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
             for h, t in once.items():
@@ -158,19 +225,20 @@ def _encoded(rows: DataFrame, model_file: str, text_col: str, fold, kinds: str,
                     yield pa.RecordBatch.from_arrays([pa.array([h] * len(rare), pa.int64()), pa.array(rare, pa.string())], names=["h", "unit"])
 
     # Texts of one hash share their rare units; should two unlike texts do so, each finds its own among them.
-    rare = rows.select(F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(others, "h long, unit string").join(known.select("unit", "ids"), "unit")
+    rare = rows.select(F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(others, "h long, unit string").join(known.select(F.translate("unit", SPACE, " ").alias("unit"), "ids"), "unit")
     per_text = rare.groupBy("h").agg(F.collect_list(F.struct("unit", "ids")).alias("rare"))
-    whole = rows.select(F.struct("*").alias("row"), text.alias("text"), F.xxhash64(text).alias("h")).join(per_text, "h", "left").select("row", "text", "rare")
+    whole = rows.select(F.struct("*").alias("row"), F.xxhash64(text).alias("h")).join(per_text, "h", "left").select("row", "rare")
     added = StructType.fromDDL(kinds)
     into = to_arrow_schema(added)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = frequent.value
+        common = _by_unit(name, frequent)
         for b in batches:
             done = []
-            for t, more in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                own = {x["unit"]: np.array(x["ids"], dtype="<i4").tobytes() for x in more or ()}
-                done.append(finish(t, b"".join([common[u] if u in common else own[u] for u in units_of(t)])))
+            texts = b.column(0).field(text_col).cast(pa.string()).to_pylist()
+            for t, more in zip(texts, b.column(1).to_pylist()):
+                own = {x["unit"]: array("i", x["ids"]).tobytes() for x in more or ()}
+                done.append(finish(t or "", b"".join([common[u] if u in common else own[u] for u in units_of(t)])))
             columns = [pa.array(c, f.type) for c, f in zip(zip(*done), into)] if done else [pa.array([], f.type) for f in into]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["row", *added.names])
 

@@ -280,7 +280,7 @@ def best_sum(text):
     plain, _, first = lattice.vocabulary(PIECES)
     known, out = {p: (i, s) for p, i, s in plain}, []
     unknown = min(s for _, s in known.values()) - lattice.UNKNOWN
-    for u in lattice.units_of(text or ""):
+    for u in (x.replace(" ", lattice.SPACE) for x in lattice.units_of(text or "")):
         best = [(0.0, [])]
         for stop in range(1, len(u) + 1):
             into = [(best[a][0] + known[u[a:stop]][1], stop - a, best[a][1] + [known[u[a:stop]][0]]) for a in range(max(0, stop - 16), stop) if u[a:stop] in known]
@@ -305,6 +305,12 @@ def test_encoding_takes_the_best_sum_and_decodes(spark, monkeypatch):
     assert lattice.encode(df.where("false"), PIECES).count() == 0
 
 
+@given(st.text(alphabet="ab \n▁", max_size=30))
+def test_units_are_those_of_the_pattern(text):
+    want = lattice._UNITS.findall(" " + text.replace(lattice.SPACE, " ")) if text else []
+    assert lattice.units_of(text) == want and "".join(want) == (" " + text.replace(lattice.SPACE, " ") if text else "")
+
+
 def test_merged_lattice_equals_the_library(spark):
     import sentencepiece
 
