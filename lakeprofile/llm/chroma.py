@@ -5,10 +5,10 @@ into twelve pitch classes, smoothed over neighbouring frames and normalised.
 Sixteen filters, differences of rectangle sums that an integral image gives at
 once, are quantised to two Gray-coded bits each: one packed 32-bit integer a
 frame.  Recordings with equal sequences form a class, represented by its
-smallest id.  To align, the 16-bit halves of the codes of query classes are
-joined to those of all classes where a half changes; a histogram of the offsets
-proposes alignments, and for each offset of enough votes the share of differing
-bits over the whole overlap decides.
+smallest id.  To align, two bytes of a code and the same two of a later one make
+a key; the keys of query classes are joined to those of all classes, a histogram
+of the offsets proposes alignments, and for each offset of enough votes the share
+of differing bits over the whole overlap decides.
 
 Defined cases: null, undecodable, silent or short recordings have an empty
 sequence: they form one class and align with nothing; repeated rows keep one row
@@ -21,6 +21,7 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,10 @@ FILTERS = (
 _WIDEST = max(f[3] for f in FILTERS)
 _CUTS = (-0.25, 0.0, 0.25)
 _GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
-#: Halves of codes equal at one offset that propose an alignment, frames that it must cover, and the most differing bits of all.
-LEAST_VOTES, LEAST_FRAMES, MOST_ERROR = 2, 16, 0.15
+#: Places between the two codes of a key.
+APART = 4
+#: Keys equal at one offset that propose an alignment, frames that it must cover, and the most differing bits of all.
+LEAST_VOTES, LEAST_FRAMES, MOST_ERROR = 1, 16, 0.15
 
 
 def wav(data: bytes | None) -> np.ndarray | None:
@@ -152,12 +155,13 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str, decoder: Callabl
 
 
 def _places(classes: DataFrame) -> DataFrame:
-    """(class_id, pos, half): the halves of a class's codes, numbered apart, where they differ from the ones before."""
-    at = classes.select("class_id", "codes", F.posexplode("codes").alias("pos", "code"))
-    half = lambda code, low: (F.shiftrightunsigned(code, 0 if low else 16).bitwiseAND(0xFFFF) + (low << 16)).cast("int")
-    before = F.get("codes", F.col("pos") - 1)
-    halves = F.filter(F.array(*[F.when((F.col("pos") == 0) | (half(F.col("code"), k) != half(before, k)), half(F.col("code"), k)) for k in (0, 1)]), lambda x: x.isNotNull())
-    return at.select("class_id", "pos", F.explode(halves).alias("half"))
+    """(class_id, pos, key): two bytes of a code with the same two of the code ``APART`` places on, for each pair of bytes, where the key differs from the one before."""
+    code = lambda at: F.get("codes", at).cast("long").bitwiseAND(0xFFFFFFFF)
+    two = lambda c, i, j: F.shiftleft(F.shiftright(c, 8 * i).bitwiseAND(0xFF), 8).bitwiseOR(F.shiftright(c, 8 * j).bitwiseAND(0xFF))
+    key = lambda at, n, i, j: F.shiftleft(two(code(at), i, j), 16).bitwiseOR(two(code(at + APART), i, j)).bitwiseOR(F.lit(n << 32).cast("long"))
+    at = classes.where(F.size("codes") > APART).select("class_id", "codes", F.explode(F.sequence(F.lit(0), F.size("codes") - 1 - APART)).alias("pos"))
+    keys = F.array(*[F.when((F.col("pos") == 0) | (key(F.col("pos"), n, i, j) != key(F.col("pos") - 1, n, i, j)), key(F.col("pos"), n, i, j)) for n, (i, j) in enumerate(combinations(range(4), 2))])
+    return at.select("class_id", "pos", F.explode(F.array_compact(keys)).alias("key"))
 
 
 def align(classes: DataFrame) -> DataFrame:
@@ -166,8 +170,8 @@ def align(classes: DataFrame) -> DataFrame:
     Offset is found's place less query's; of several offsets the one of least errors, then of least size, is kept.
     """
     places = materialise(_places(classes))
-    asked = places.join(classes.where("is_query").select("class_id"), "class_id", "left_semi").select(F.col("class_id").alias("query"), F.col("pos").alias("at"), "half")
-    votes = asked.join(places, "half").where("query <> class_id").groupBy("query", F.col("class_id").alias("found"), (F.col("pos") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    asked = places.join(classes.where("is_query").select("class_id"), "class_id", "left_semi").select(F.col("class_id").alias("query"), F.col("pos").alias("at"), "key")
+    votes = asked.join(places, "key").where("query <> class_id").groupBy("query", F.col("class_id").alias("found"), (F.col("pos") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.where(F.col("votes") >= LEAST_VOTES)
     of = lambda name: classes.select(F.col("class_id").alias(name), F.col("codes").alias(f"{name}_codes"))
     both = best.join(of("query"), "query").join(of("found"), "found")
