@@ -418,6 +418,34 @@ def test_quality_model_prefers_what_it_learned():
     assert m.score(b"a calm sentence about the sea") > 0.5 > m.score(b"BUY!!! NOW!!! FREE $$$")
 
 
+@needs_tables
+def test_quality_scores_equal_plain_compression(spark, docs):
+    """The compressors themselves, text by text, and a grid search that finds no better curve."""
+    import zstandard
+
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = [(r["doc_id"], (r["text"] or "").encode(), labels.get(r["doc_id"])) for r in docs.collect()]
+    part = lambda n: sorted((str(i), t, y) for i, t, y in rows if y is not None and zlib.crc32(str(i).encode()) % 3 == n and len(t) <= quality_zstd.LONGEST_LEARNED)
+    learned, curve = part(0), part(2)
+    packers = [zstandard.ZstdCompressor(level=quality_zstd.LEVEL, dict_data=zstandard.ZstdCompressionDict(quality_zstd._dictionary([t for _, t, y in learned if y == k and t])), write_content_size=False, write_checksum=False, write_dict_id=False) for k in (1, 0)]
+
+    def difference(t):
+        blocks = [t[at : at + quality_zstd.BLOCK] for at in range(0, len(t), quality_zstd.BLOCK)]
+        good, bad = (sum(len(p.compress(x)) for x in blocks) for p in packers)
+        return (bad - good) / (bad + good) if blocks else 0.0
+
+    model = quality_zstd.fit([(t, y) for _, t, y in learned], [(t, y) for _, t, y in curve])
+    assert all(model.difference(t) == pytest.approx(difference(t), abs=0.02) for _, t, _ in rows[:200])
+    y = np.array([y for _, _, y in curve])
+    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    x = np.array([model.difference(t) for _, t, _ in curve])
+    loss = lambda a, b: -(target * -np.log1p(np.exp(-(a * x + b))) + (1 - target) * -np.log1p(np.exp(a * x + b))).sum()
+    best = loss(model.slope, model.intercept)
+    assert all(loss(model.slope * u, model.intercept + v) >= best - 1e-6 for u in (0.8, 0.95, 1, 1.05, 1.2) for v in (-0.5, -0.05, 0, 0.05, 0.5))
+    got = {r["doc_id"]: r["score"] for r in quality_zstd.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    assert all(got[i] == pytest.approx(1 / (1 + np.exp(-(model.slope * model.difference(t) + model.intercept))), abs=1e-5) for i, t, _ in rows)
+
+
 # --- the pipeline -----------------------------------------------------------
 
 
