@@ -84,7 +84,7 @@ def check(profile: dict[str, object], predicates: dict[str, object], path: str =
 
 def check_ranges(profile: DataFrame, bounds: DataFrame) -> DataFrame:
     """(table_name, column_name, stat, value, min_value, max_value, passed) of a long profile against many range predicates at once."""
-    met = profile.join(F.broadcast(bounds), ["table_name", "column_name", "stat"])
+    met = profile.join(bounds, ["table_name", "column_name", "stat"])
     v = F.col("value").try_cast("double")
     return met.select("table_name", "column_name", "stat", F.round(v, 6).alias("value"), "min_value", "max_value", F.coalesce((F.col("min_value").isNull() | (v >= F.col("min_value"))) & (F.col("max_value").isNull() | (v <= F.col("max_value"))), F.lit(False)).alias("passed"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -24,6 +25,8 @@ AGGREGATED = 1_000_000
 #: Classes whose values are listed, and those whose distinct values are sampled for shapes.
 LISTED = ("categorical", "boolean", "text", "foreign_key_candidate", "binary")
 SAMPLED = ("categorical", "text", "foreign_key_candidate", "binary")
+#: What keys of services and private keys begin with.
+_SECRET = re.compile(r"\bAKIA[A-Z0-9]{14,}|\bgh[pousr]_[A-Za-z0-9]{36}|\bxox[abprs]-[A-Za-z0-9-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----|\bsk_live_[A-Za-z0-9]{16,}")
 #: Characters of a sampled value that reach the driver.
 SHOWN = 200
 _COUNTS = ("null_count", "null_rate", "cardinality", "cardinality_ratio", "zero_count", "negative_count", "quantized_count", "non_finite_count", "empty_count", "length_min", "length_max", "length_avg", "length_p95")
@@ -181,6 +184,11 @@ class _Table:
             share = {k: t / len(rows) for k, t in tally.items()}
             found = sensitivity(c, [x["value"] for x in rows], share, X.family(self.kinds[c]) == "boolean")
             self.add(c, "inferred.sensitivity", found)
+            if text_secrets := sum(bool(_SECRET.search(x["value"])) for x in rows):
+                self.add(c, "inferred.secrets", text_secrets)
+            low, high = self.number(c, "range.min"), self.number(c, "range.max")
+            if isinstance(self.kinds[c], X.INTEGRAL) and low is not None:
+                self.add(c, "inferred.epoch_unit", next((unit for unit, k in (("seconds", 1), ("milliseconds", 1000)) if low >= 1e9 * k and high <= 2e9 * k), None))
         for c in self.of_class("binary"):
             kinds = self.df.where(F.col(f"`{c}`").isNotNull()).groupBy(shapes.binary_kind(F.col(f"`{c}`")).alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "k").first()
             self.add(c, "inferred.binary_kind", kinds["k"] if kinds else None)
@@ -209,6 +217,10 @@ class _Table:
             self.add(None, "timeline", None, f"{anchor} by {unit}")
             for r in tablewide.timeline(self.df, anchor, unit).collect():  # at most a bucket a month beyond two years
                 self.add(None, f"timeline[{r['bucket']}]", r["n"])
+            gaps = [c for c, r in self.facts.items() if r["null_count"] and c != anchor]
+            for r in tablewide.populated_windows(self.df, anchor, gaps).collect() if gaps else ():
+                self.add(r["column_name"], "populated.from", r["populated_from"])
+                self.add(r["column_name"], "populated.to", r["populated_to"])
 
     def parts(self) -> None:
         """Array sizes, vectors, struct members, map keys, and the elements of arrays of plain values."""
@@ -300,7 +312,16 @@ def full(spark: SparkSession, given: list[Source], rules: list[Rule] = (), decla
         done = list(pool.map(inheritable_thread_target(spark)(measure), given))
     rows = [r for t in done for r in t.rows]
     dense = {f"{t.name}.{c}" for t in done for c, r in t.facts.items() for low, high in [(t.number(c, "range.min"), t.number(c, "range.max"))] if low is not None and high - low + 1 == r["cardinality"]}
+    links = [(name, c, target, key) for name, c, target, key in named]
     if infer:
         whole = [t for t in done if t.facts and not t.scoped]
-        rows += [(*child.split(".", 1), "foreign_key.by_value", None, parent) for child, parent in by_value([t.given for t in whole], {t.name: t.facts for t in whole}, dense)]
+        by_sketch = [(*child.split(".", 1), *parent.split(".", 1)) for child, parent in by_value([t.given for t in whole], {t.name: t.facts for t in whole}, dense)]
+        rows += [(name, c, "foreign_key.by_value", None, f"{target}.{key}") for name, c, target, key in by_sketch]
+        links += [e for e in by_sketch if e not in links]
+    known = {t.name: t for t in done if t.facts and not t.scoped}
+    for name, c, target, key in links:
+        if name in known and target in known:
+            cost = edges.observed(known[name].df, c, known[target].df, key).first()
+            rows += [(name, c, f"edge[{target}.{key}].{stat}", float(cost[stat]), None) for stat in ("fanout_avg", "fanout_max", "containment", "target_coverage") if cost[stat] is not None]
+            rows.append((target, key, f"referenced_by[{name}.{c}]", None, f"{name}.{c}"))
     return spark.createDataFrame(rows, LONG)

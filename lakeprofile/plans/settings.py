@@ -62,6 +62,6 @@ def explain(name: str, rules: list[Rule] = (), rows: int | None = None, defaults
     return [(k, getattr(found, k), o) for k, o in origin.items()]
 
 
-def must_profile(age_days: float | None, before: Settings | None, now: Settings) -> bool:
-    """Whether a stored profile can't stand for a new one: there is none, it is stale, or it was made otherwise."""
-    return age_days is None or before is None or age_days >= now.max_age_days or before != now
+def must_profile(age_days: float | None, before: Settings | None, now: Settings, redacted: tuple = (), redacts: tuple = ()) -> bool:
+    """Whether a stored profile can't stand for a new one: there is none, it is stale, or it was made by other settings or redactions."""
+    return age_days is None or before is None or age_days >= now.max_age_days or before != now or tuple(redacted) != tuple(redacts)
