@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Values in a bracket that are ranked at once, and how far around its rank a proposed bracket reaches.
-INSIDE, SLACK = 1_000_000, 0.001
+INSIDE, SLACK = 20_000, 0.001
 
 
 def at_ranks(df: DataFrame, value: Column, ranks: dict[str, int], n: int) -> dict[str, object]:
@@ -30,14 +30,21 @@ def at_ranks(df: DataFrame, value: Column, ranks: dict[str, int], n: int) -> dic
     kept = lambda r: F.when((v >= low[r]) & (v <= high[r]), v) if r in low else v
     while todo := [r for r in wanted if inside[r] > INSIDE and low[r] < high[r] and slack[r] < 1]:
         share = {r: (r - below[r] + 0.5) / inside[r] for r in todo}
-        near = df.agg(*[F.percentile_approx(kept(r), [max(0.0, share[r] - slack[r]), min(1.0, share[r] + slack[r])], 10_000).alias(f"q{i}") for i, r in enumerate(todo)]).first()
-        proposed = {r: near[f"q{i}"] for i, r in enumerate(todo)}
+        shared: dict[tuple, list[int]] = {}
+        for r in todo:  # ranks in one bracket, as all are at first, share an aggregate
+            shared.setdefault((low[r], high[r]), []).append(r)
+        levels = {at: [x for r in rs for x in (max(0.0, share[r] - slack[r]), min(1.0, share[r] + slack[r]))] for at, rs in shared.items()}
+        near = df.agg(*[F.percentile_approx(kept(rs[0]), levels[at], 10_000).alias(f"q{i}") for i, (at, rs) in enumerate(shared.items())]).first()
+        proposed = {r: near[f"q{i}"][2 * k : 2 * k + 2] for i, rs in enumerate(shared.values()) for k, r in enumerate(rs)}
+        todo = list(proposed)
         counts = df.agg(*[F.count_if(v < a).alias(f"below{i}") for i, (a, _) in enumerate(proposed.values())], *[F.count_if((v >= a) & (v <= b)).alias(f"in{i}") for i, (a, b) in enumerate(proposed.values())]).first()
         for i, r in enumerate(todo):
-            if counts[f"below{i}"] <= r < counts[f"below{i}"] + counts[f"in{i}"] and counts[f"in{i}"] < inside[r]:
+            if not counts[f"below{i}"] <= r < counts[f"below{i}"] + counts[f"in{i}"]:
+                slack[r] *= 8  # the estimate missed: look wider
+            elif counts[f"in{i}"] < inside[r]:
                 (low[r], high[r]), below[r], inside[r] = proposed[r], counts[f"below{i}"], counts[f"in{i}"]
-            else:  # the estimate missed, or told nothing new: look wider
-                slack[r] *= 8
+            else:
+                slack[r] = 1  # both ends are values of very many rows, and few lie between: rank these
     open_ranks = [r for r in wanted if r not in low or low[r] < high[r]]
     found = {r: low[r] for r in wanted if r not in open_ranks}
     if open_ranks:

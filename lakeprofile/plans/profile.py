@@ -21,7 +21,7 @@ from lakeprofile.sources import tables as source
 
 LONG = "table_name string, column_name string, stat string, number double, text string"
 #: Columns of at most so many distinct values have their percentiles in one aggregate; others by brackets.
-AGGREGATED = 1_000_000
+AGGREGATED = 50_000
 #: Classes whose values are listed, and those whose distinct values are sampled for shapes.
 LISTED = ("categorical", "boolean", "text", "foreign_key_candidate", "binary")
 SAMPLED = ("categorical", "text", "foreign_key_candidate", "binary")
