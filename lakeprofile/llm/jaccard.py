@@ -1,15 +1,17 @@
-"""Near duplicates by the Jaccard similarity of word shingles.
+"""Near duplicates by SimHash, a vantage-point tree and exact Jaccard similarity.
 
 Texts of equal words collapse first, so a group of exact copies is one point
-however large it is.  The minimums of ``BANDS * ROWS`` hashes of a text's
-shingles are its sketch; texts that agree on one whole band are candidates, and
-the exact similarity of their shingle sets decides.  A pair of similarity s is no
-candidate with probability (1 - s**ROWS) ** BANDS, 3e-6 at 0.8 and less above.
-
-Candidates meet in buckets, one for each band value that several texts share.
-Buckets of the same texts are one; a bucket of many bytes is cut into blocks, and
-every two blocks meet in a task.  There the sets' common shingles are counted
-through an inverted index, and a spanning forest of the links leaves the task.
+however large it is.  A text's point is the SimHash of its distinct shingles, of
+256 bits, and the logarithm of their number: similar sets have similar sizes.
+``Prints`` measures both together, and the sharded vantage-point tree of
+``simhash`` finds all pairs within its radius 1 and joins them into components.
+Every pair of similarity 0.8 differs in each bit with probability 0.1515, of few
+shingles 0.1915 at most; it is beyond the radius with probability 2e-8 and 4e-5, by calculation.
+
+The texts of a component meet in a bucket; a bucket of many bytes is cut into
+blocks, and every two blocks meet in a task.  There the sets' common shingles are
+counted through an inverted index, their exact similarity decides, and a spanning
+forest of the links leaves the task.
 
 Defined cases: a null text is an empty one; texts without words are copies of
 each other and of nothing else; a text shorter than a shingle is one shingle;
@@ -30,17 +32,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeprofile.llm import simhash
 from lakeprofile.llm.common import materialise, prepare
 from lakeprofile.llm.simhash import components
 
 #: Words in a shingle, and the least similarity of near duplicates in hundredths.
 SHINGLE, LEAST = 5, 80
-BANDS, ROWS = 24, 4
+#: Differing bits of near duplicates at most: among the first 128 of a fingerprint, and among all 256.
+FIRST, WHOLE = 44, 76
 #: Bytes of texts in one block of a bucket.
 BLOCK_BYTES = 16 << 20
-#: Shingle hashes that are sketched at once.
-_CHUNK = 1 << 12
-_XOR, _ODD = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
+#: The most that the logarithms of two sets' sizes differ by, with room for rounding.
+SIZES = np.log(100 / LEAST) + 1e-9
+#: Shingle hashes whose bits are counted at once, a multiple of the 250 that a byte counts; pairs compared at once.
+_CHUNK, _PAIRS = 4000, 1 << 17
+_POINT = np.dtype([("bits", "<u8", 4), ("ln", "<f8")])
+_EMPTY = np.zeros(1, dtype=_POINT)
+_XOR, _ODD = np.random.default_rng(42).integers(0, 2**64, (2, 4), dtype=np.uint64)
 _ODD = _ODD | np.uint64(1)
 
 
@@ -52,13 +60,63 @@ def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(42)), dtype=np.uint64))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """One signed key for each band of the sketch."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+def point(hashes: np.ndarray) -> bytes:
+    """The SimHash of a set of shingles, of 256 bits, and the logarithm of the set's size.
+
+    A bit is that of most shingles; of halves, that of the least shingle.
+    """
+    ones, first = np.zeros(256, dtype=np.int64), np.zeros(256, dtype=np.int64)
     for at in range(0, len(hashes), _CHUNK):
-        np.minimum(least, ((hashes[at : at + _CHUNK, None] ^ _XOR) * _ODD).min(axis=0), out=least)
-    keys = [xxhash.xxh64_intdigest(least[ROWS * b : ROWS * (b + 1)].tobytes(), b) for b in range(BANDS)]
-    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+        x = (hashes[at : at + _CHUNK, None] ^ _XOR) * _ODD
+        x = (x ^ (x >> np.uint64(32))) * _ODD
+        bits = np.unpackbits((x ^ (x >> np.uint64(29))).view(np.uint8), axis=1, bitorder="little")
+        even = len(bits) // 250 * 250
+        ones += bits[:even].reshape(-1, 250, 256).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[even:].sum(axis=0, dtype=np.uint8)
+        first = first if at else bits[0]
+    made = np.zeros(1, dtype=_POINT)
+    made["bits"][0] = np.packbits(2 * ones + first > len(hashes), bitorder="little").view("<u8")
+    made["ln"] = np.log(max(len(hashes), 1))
+    return made.tobytes()
+
+
+class Prints:
+    """Points in the greatest of three distances, each in units of the most that near duplicates have; the radius is 1."""
+
+    def points(self, column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=_POINT)
+
+    def vantages(self, points: np.ndarray) -> np.ndarray:
+        """Some points, and the empty set's, which only sizes are far from: there the bound prunes by size alone."""
+        return np.concatenate([_EMPTY, points[:: max(1, len(points) // 2)][:2]])
+
+    def distance(self, points: np.ndarray, vantage: np.void) -> np.ndarray:
+        if vantage == _EMPTY[0]:
+            return np.abs(points["ln"] - vantage["ln"]) / SIZES
+        differ = np.bitwise_count(points["bits"] ^ vantage["bits"])
+        first = differ[:, 0].astype(np.int16) + differ[:, 1]
+        whole = first + differ[:, 2] + differ[:, 3]
+        return np.maximum(np.maximum(first / FIRST, whole / WHOLE), np.abs(points["ln"] - vantage["ln"]) / SIZES)
+
+    def near(self, a: np.ndarray, b: np.ndarray, radius: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all pairs of ``a`` and ``b`` within ``radius``."""
+        a0, a1, b0, b1 = (np.ascontiguousarray(x["bits"][:, k]) for x in (a, b) for k in (0, 1))
+        found, step = [(np.zeros(0, dtype=np.int64),) * 2], max(1, _PAIRS // max(1, len(b)))
+        # New arrays of this size cost more than what is counted in them.
+        differ, (first, more) = np.empty((step, len(b)), dtype=np.uint64), np.empty((2, step, len(b)), dtype=np.uint8)
+        for at in range(0, len(a), step):
+            n = min(step, len(a) - at)
+            np.bitwise_count(np.bitwise_xor(a0[at : at + n, None], b0, out=differ[:n]), out=first[:n])
+            np.bitwise_count(np.bitwise_xor(a1[at : at + n, None], b1, out=differ[:n]), out=more[:n])
+            np.add(first[:n], more[:n], out=first[:n])
+            i, j = np.divmod(np.flatnonzero(first[:n] <= radius * FIRST), max(1, len(b)))
+            i += at
+            whole = np.bitwise_count(a["bits"][i] ^ b["bits"][j]).sum(axis=1, dtype=np.int64)
+            keep = (whole <= radius * WHOLE) & (np.abs(a["ln"][i] - b["ln"][j]) <= radius * SIZES)
+            found.append((i[keep], j[keep]))
+        return tuple(map(np.concatenate, zip(*found)))
+
+
+PRINTS = Prints()
 
 
 def _words(b: pa.RecordBatch) -> Iterator[list[bytes]]:
@@ -70,7 +128,7 @@ def _digest(words: list[bytes]) -> bytes:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(id, h, digest, size, bytes, bands) of each row of ``texts`` (id, text, h)."""
+    """(id, h, digest, size, bytes, fp) of each row of ``texts`` (id, text, h)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,10 +138,10 @@ def sketches(texts: DataFrame) -> DataFrame:
                 digest.append(_digest(words))
                 size.append(len(hashes))
                 length.append(sum(map(len, words)) + len(words))
-                keys.append(bands(hashes))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(length, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h", "digest", "size", "bytes", "bands"])
+                keys.append(point(hashes))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(length, pa.int64()), pa.array(keys, pa.binary())], names=["id", "h", "digest", "size", "bytes", "fp"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, h long, digest binary, size long, bytes long, bands array<long>")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, h long, digest binary, size long, bytes long, fp binary")
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> np.ndarray:
@@ -118,15 +176,15 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> np.ndarray
 
 
 def link(texts: DataFrame, points: DataFrame) -> DataFrame:
-    """(u, v): each point of ``points`` (id, h, size, bytes, bands) that is not least in its component, with that least one.
+    """(u, v): each point of ``points`` (id, h, size, bytes, fp) that is not least in its component, with that least one.
 
     ``u`` and ``v`` are structs of id and h; ``texts`` has id, text, h.
     """
-    keys = points.where("size > 0").select("id", "h", "bytes", F.explode("bands").alias("key"))
-    # Buckets of the same points say the same: one of each kind is enough.
-    mark = F.sum(F.xxhash64("id", "h").cast("decimal(38,0)")).alias("mark")
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), mark, F.sum("bytes").alias("all")).where("n > 1")
-    buckets = buckets.groupBy("n", "mark", "all").agg(F.min("key").alias("key"))
+    some = points.where("size > 0")
+    # Hashes stand for points here; should two points share one, their components would meet in one bucket.
+    wide = simhash.link(some.select(F.col("h").alias("doc_id"), "fp"), 1, PRINTS)
+    keys = some.join(wide, "fp").select("id", "h", "bytes", F.col("component_id").alias("key"))
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all")).where("n > 1")
     blocks = F.ceil(F.col("all") / BLOCK_BYTES).cast("int")
     members = keys.join(buckets.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id", "h"), F.col("blocks")).cast("int"))
     # A block meets itself and every other block, each in a task of its own.
@@ -173,7 +231,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ident, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     texts = docs.select(ident.alias("id"), text.alias("text"), F.xxhash64(ident, text).alias("h"))
     found = materialise(sketches(texts))
-    least = F.min(F.struct("id", "h", "size", "bytes", "bands")).alias("p")
+    least = F.min(F.struct("id", "h", "size", "bytes", "fp")).alias("p")
     points = materialise(found.where("id IS NOT NULL").groupBy("digest").agg(least).select("p.*"))
     gone = link(texts, points).select("u.id", "u.h")
     stay = points.select("id", "h").join(gone, ["id", "h"], "left_anti").select(F.col("id").alias("_kept_id"), F.col("h").alias("_kept_h"))

@@ -79,41 +79,58 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- the tree ---------------------------------------------------------------
 
 
-def _distance(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
-    return np.bitwise_count(points ^ vantage).astype(np.int16)
+class Bits:
+    """64-bit fingerprints, held as signed longs, in Hamming distance."""
 
+    def points(self, column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        return np.asarray(column.to_numpy(), dtype=np.int64).view(np.uint64)
 
-def _split(points: np.ndarray) -> tuple[np.uint64, int] | None:
+    def vantages(self, points: np.ndarray) -> np.ndarray:
+        return points[:: max(1, len(points) // 8)][:8]
+
+    def distance(self, points: np.ndarray, vantage: np.uint64) -> np.ndarray:
+        return np.bitwise_count(points ^ vantage).astype(np.int16)
+
+    def near(self, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all pairs of ``a`` and ``b`` within ``radius``."""
+        return np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
+
+
+BITS = Bits()
+
+
+def _split(points: np.ndarray, space=BITS, radius: int = 2) -> tuple | None:
     """The vantage point, among a few, whose distances spread most, and the median distance; none if it parts nothing."""
     best = None
-    for v in points[:: max(1, len(points) // 8)][:8]:
-        d = _distance(points, v)
-        mu = int(np.median(d))
-        mu -= int((d <= mu).all())
+    for v in space.vantages(points):
+        d = space.distance(points, v)
+        mu = np.sort(d)[len(d) // 2]
+        if (d <= mu).all():
+            mu = d[d < mu].max(initial=0)
         left = int((d <= mu).sum())
         # few points near the boundary and even halves make a good split
-        score = abs(2 * left - len(d)) + int((np.abs(d - mu) <= 2).sum())
+        score = abs(2 * left - len(d)) + int((np.abs(d - mu) <= radius).sum())
         if 0 < left < len(d) and (best is None or score < best[0]):
             best = (score, v, mu)
     return best and best[1:]
 
 
-def build_tree(sample: np.ndarray, shards: int):
+def build_tree(sample: np.ndarray, shards: int, space=BITS, radius: int = 2):
     """Nested (vantage, radius, inner, outer) nodes over ``sample``; a leaf is its shard's number."""
     count = iter(range(1 << 30))
 
     def grow(points: np.ndarray, leaves: int):
-        cut = _split(points) if leaves > 1 and len(points) > 1 else None
+        cut = _split(points, space, radius) if leaves > 1 and len(points) > 1 else None
         if cut is None:
             return next(count)
         v, mu = cut
-        inner = _distance(points, v) <= mu
-        return int(v), mu, grow(points[inner], leaves // 2), grow(points[~inner], leaves - leaves // 2)
+        inner = space.distance(points, v) <= mu
+        return v, mu, grow(points[inner], leaves // 2), grow(points[~inner], leaves - leaves // 2)
 
     return grow(sample, shards)
 
 
-def route(tree, points: np.ndarray, radius: int, home: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def route(tree, points: np.ndarray, radius: int, home: np.ndarray | None = None, space=BITS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(shard, homes, visitors): indexes of the points whose home the shard is, and of those that may have neighbours in it.
 
     A pair parted at a node is met once: the inner point visits the outer side.
@@ -127,7 +144,7 @@ def route(tree, points: np.ndarray, radius: int, home: np.ndarray | None = None)
             yield node, home, visit
             return
         v, mu, inner, outer = node
-        dh, dv = _distance(points[home], np.uint64(v)), _distance(points[visit], np.uint64(v))
+        dh, dv = space.distance(points[home], v), space.distance(points[visit], v)
         yield from walk(inner, home[dh <= mu], visit[dv <= mu + radius])
         yield from walk(outer, home[dh > mu], np.concatenate([visit[dv > mu - radius], home[(dh <= mu) & (dh > mu - radius)]]))
 
@@ -135,7 +152,7 @@ def route(tree, points: np.ndarray, radius: int, home: np.ndarray | None = None)
     yield from walk(tree, np.flatnonzero(home), np.flatnonzero(~home))
 
 
-def near_pairs(points: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(points: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int, space=BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within ``radius``, in blocks: within ``left``, or between ``left`` and ``right``."""
     stack = [(left, right)]
     while stack:
@@ -146,15 +163,15 @@ def near_pairs(points: np.ndarray, left: np.ndarray, right: np.ndarray | None, r
         cut = None
         if size > _BLOCK:
             both = a if b is None else np.concatenate([a, b])
-            cut = _split(points[both[:: max(1, len(both) // 2048)]])
+            cut = _split(points[both[:: max(1, len(both) // 2048)]], space, radius)
         if cut is not None:
             v, mu = cut
-            da = _distance(points[a], v)
+            da = space.distance(points[a], v)
             ai, ao = a[da <= mu], a[da > mu]
             if b is None:
                 parts = [(ai, None), (ao, None), (a[(da <= mu) & (da > mu - radius)], a[(da > mu) & (da <= mu + radius)])]
             else:
-                db = _distance(points[b], v)
+                db = space.distance(points[b], v)
                 parts = [(ai, b[db <= mu + radius]), (ao, b[db > mu - radius])]
             if all(len(x) * len(x if y is None else y) < 0.95 * size for x, y in parts):
                 stack += parts
@@ -162,17 +179,17 @@ def near_pairs(points: np.ndarray, left: np.ndarray, right: np.ndarray | None, r
         other = a if b is None else b
         step = max(1, _BLOCK // len(other))
         for at in range(0, len(a), step):
-            i, j = np.nonzero(np.bitwise_count(points[a[at : at + step], None] ^ points[other][None, :]) <= radius)
+            i, j = space.near(points[a[at : at + step]], points[other], radius)
             yield a[at + i], other[j]
 
 
-def forest(points: np.ndarray, homes: np.ndarray, visitors: np.ndarray, rank: np.ndarray, radius: int, within: bool = True) -> np.ndarray:
+def forest(points: np.ndarray, homes: np.ndarray, visitors: np.ndarray, rank: np.ndarray, radius: int, within: bool = True, space=BITS) -> np.ndarray:
     """For each point the linked point of least ``rank`` found here; pairs of ``homes`` are looked for only if ``within``."""
     order = np.argsort(rank, kind="stable")
     place = np.empty(len(points), dtype=np.int64)
     place[order] = np.arange(len(points))
     label = np.arange(len(points))
-    for a, b in (x for pairs in (near_pairs(points, homes if within else homes[:0], None, radius), near_pairs(points, homes, visitors, radius)) for x in pairs):
+    for a, b in (x for pairs in (near_pairs(points, homes if within else homes[:0], None, radius, space), near_pairs(points, homes, visitors, radius, space)) for x in pairs):
         while True:
             la, lb = label[place[a]], label[place[b]]
             differ = la != lb
@@ -223,15 +240,15 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return now
 
 
-def _placed(tree, prefix: str, fps: pa.Array, reps: pa.Array, radius: int, home: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def _placed(tree, prefix: str, fps: pa.Array, reps: pa.Array, radius: int, home: np.ndarray | None = None, space=BITS) -> Iterator[pa.RecordBatch]:
     """(shard, fp, rep, home) rows of the points that ``tree`` deals, below the shard ``prefix``."""
-    for leaf, homes, visitors in route(tree, fps.to_numpy(zero_copy_only=False).view(np.uint64), radius, home):
+    for leaf, homes, visitors in route(tree, space.points(fps), radius, home, space):
         for rows, at_home in ((homes, True), (visitors, False)):
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array([f"{prefix}{leaf}"] * len(rows), pa.string()), fps.take(pa.array(rows)), reps.take(pa.array(rows)), pa.array(np.full(len(rows), at_home))], names=["shard", "fp", "rep", "home"])
 
 
-def _deal_anew(large: DataFrame, radius: int) -> DataFrame:
+def _deal_anew(large: DataFrame, radius: int, space=BITS) -> DataFrame:
     """``large`` (shard, fp, rep, home, homes, rows), each shard dealt by a tree over a sample of its own homes.
 
     A shard's rows go to as many tasks as its size asks for, and each gets the shard's tree.
@@ -242,7 +259,7 @@ def _deal_anew(large: DataFrame, radius: int) -> DataFrame:
 
     def grow(t: pa.Table) -> pa.Table:
         leaves = max(2, min(MAX_SHARDS, -(-t.column("homes")[0].as_py() // SHARD_ROWS)))
-        tree = build_tree(np.sort(t.column("fp").to_numpy().view(np.uint64)), leaves)
+        tree = build_tree(np.sort(space.points(t.column("fp"))), leaves, space, radius)
         return pa.table({"shard": [t.column("shard")[0].as_py()], "rows": [t.column("rows")[0].as_py()], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
     def deal(t: pa.Table, trees: pa.Table) -> pa.Table:
@@ -250,39 +267,39 @@ def _deal_anew(large: DataFrame, radius: int) -> DataFrame:
             return t.select(["shard", "fp", "rep", "home"])
         t = t.combine_chunks()
         fps, reps, home = (t.column(c).chunk(0) for c in ("fp", "rep", "home"))
-        return pa.Table.from_batches(list(_placed(pickle.loads(trees.column("tree")[0].as_py()), f"{t.column('shard')[0].as_py()}.", fps, reps, radius, home.to_numpy(zero_copy_only=False))))
+        return pa.Table.from_batches(list(_placed(pickle.loads(trees.column("tree")[0].as_py()), f"{t.column('shard')[0].as_py()}.", fps, reps, radius, home.to_numpy(zero_copy_only=False), space)))
 
     drawn = large.where(F.col("home") & (draw < TREE_SAMPLE / F.col("homes"))).select("shard", "fp", "homes", "rows")
     trees = drawn.groupBy("shard").applyInArrow(grow, "shard string, rows long, tree binary")
     trees = trees.select("shard", "tree", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     rows = large.select("shard", "fp", "rep", "home", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"))
-    return rows.groupBy("shard", "part").cogroup(trees.groupBy("shard", "part")).applyInArrow(deal, f"shard string, fp long, rep {kinds['rep'].dataType.simpleString()}, home boolean")
+    return rows.groupBy("shard", "part").cogroup(trees.groupBy("shard", "part")).applyInArrow(deal, f"shard string, fp {kinds['fp'].dataType.simpleString()}, rep {kinds['rep'].dataType.simpleString()}, home boolean")
 
 
-def link(found: DataFrame, radius: int = 2) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of ``found`` (doc_id, fp)."""
+def link(found: DataFrame, radius: int = 2, space=BITS) -> DataFrame:
+    """(fp, component_id) for each distinct fingerprint of ``found`` (doc_id, fp), linked within ``radius`` of ``space``."""
     spark = found.sparkSession
     distinct = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     points = distinct.where("rep IS NOT NULL")
     n = points.count()
-    sample = np.array([r[0] for r in points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).collect()], dtype=np.int64).view(np.uint64)
+    sample = space.points(points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).toArrow().column("fp"))
     shards = max(1, min(MAX_SHARDS, -(-n // SHARD_ROWS)))
-    tree = spark.sparkContext.broadcast(build_tree(sample, shards) if len(sample) else 0)
-    id_type = points.schema["rep"].dataType.simpleString()
+    tree = spark.sparkContext.broadcast(build_tree(sample, shards, space, radius) if len(sample) else 0)
+    fp_type, id_type = (points.schema[c].dataType.simpleString() for c in ("fp", "rep"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from _placed(tree.value, "", b.column(0), b.column(1), radius)
+            yield from _placed(tree.value, "", b.column(0), b.column(1), radius, space=space)
 
     def search(key: tuple, t: pa.Table) -> pa.Table:
-        fps = t.column("fp").to_numpy().view(np.uint64)
+        fps = space.points(t.column("fp"))
         rep = t.column("rep").to_numpy()
         home = t.column("home").to_numpy()
-        root = forest(fps, np.flatnonzero(home), np.flatnonzero(~home), rep, radius, within=key[1].as_py() == 0)
+        root = forest(fps, np.flatnonzero(home), np.flatnonzero(~home), rep, radius, within=key[1].as_py() == 0, space=space)
         u, v = rep, rep[root]
         return pa.table({"u": u[u != v], "v": v[u != v]})
 
-    dealt = materialise(points.select("fp", "rep").mapInArrow(deal, f"shard string, fp long, rep {id_type}, home boolean"))
+    dealt = materialise(points.select("fp", "rep").mapInArrow(deal, f"shard string, fp {fp_type}, rep {id_type}, home boolean"))
     ready = []
     for at in range(DEALS + 1):
         # One row for each shard: joined, not broadcast, for their number grows with the corpus.
@@ -292,7 +309,7 @@ def link(found: DataFrame, radius: int = 2) -> DataFrame:
         ready.append(dealt.join(sizes.where(~large) if more else sizes, "shard"))
         if not more:
             break
-        dealt = materialise(_deal_anew(dealt.join(sizes.where(large), "shard"), radius))
+        dealt = materialise(_deal_anew(dealt.join(sizes.where(large), "shard"), radius, space))
     parts = F.greatest(F.ceil((F.col("rows") - F.col("homes")) / TASK_ROWS), F.lit(1)).cast("int")
     part = F.when(F.col("home"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), parts).cast("int")))
     placed = reduce(DataFrame.unionByName, ready).select("shard", "fp", "rep", "home", F.explode(part).alias("part"))

@@ -193,6 +193,45 @@ def test_links_in_blocks_equal_brute_force(spark, monkeypatch, limit):
     assert kept == brute_groups(dict(rows))
 
 
+@pytest.mark.parametrize("anew", [False, True])
+def test_near_dedup_stage_searches_the_tree(spark, monkeypatch, anew):
+    grown = []
+    monkeypatch.setattr(simhash, "build_tree", lambda *a, build=simhash.build_tree: grown.append(a[2]) or build(*a))
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 40)  # so that pairs cross shards
+    if anew:
+        monkeypatch.setattr(simhash, "MAX_SHARDS", 2)
+        monkeypatch.setattr(simhash, "SPLIT_ROWS", 30)
+        monkeypatch.setattr(simhash, "TASK_ROWS", 25)
+    r, rows = np.random.default_rng(8), []
+    for n in range(200):
+        words = [f"w{x}" for x in np.random.default_rng(n // 4).integers(0, 10**6, 5 + 7 * (n // 4))]
+        for at in r.integers(0, len(words), n % 4):
+            words[at:at] = [f"x{n}"]
+        rows.append((n, " ".join(words)))
+    kept = {x["doc_id"] for x in jaccard.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == brute_groups(dict(rows)) and len(kept) < 200
+    assert grown == [jaccard.PRINTS]
+
+
+@pytest.mark.parametrize("shards", [1, 7])
+def test_tree_of_prints_loses_no_pair(monkeypatch, shards):
+    monkeypatch.setattr(simhash, "_BLOCK", 64)
+    r, sets = np.random.default_rng(4), []
+    for n in range(300):
+        base = np.random.default_rng(n // 3).integers(0, 2**64, 4 + n // 3 * 3, dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([base[: len(base) - n % 3 * len(base) // 14], r.integers(0, 2**64, n % 2, dtype=np.uint64)])))
+    points = np.frombuffer(b"".join(map(jaccard.point, sets)), dtype=jaccard._POINT)
+    met = set()
+    for _, home, visit in simhash.route(simhash.build_tree(points[::3], shards, jaccard.PRINTS, 1), points, 1, space=jaccard.PRINTS):
+        for pairs in (simhash.near_pairs(points, home, None, 1, jaccard.PRINTS), simhash.near_pairs(points, home, visit, 1, jaccard.PRINTS)):
+            met |= {tuple(sorted(map(int, p))) for a, b in pairs for p in zip(a, b) if p[0] != p[1]}
+    differ = lambda a, b, k: sum(int(x ^ y).bit_count() for x, y in zip(a["bits"][:k], b["bits"][:k]))
+    within = lambda a, b: differ(a, b, 2) <= jaccard.FIRST and differ(a, b, 4) <= jaccard.WHOLE and abs(a["ln"] - b["ln"]) <= jaccard.SIZES
+    assert met == {(j, i) for i in range(300) for j in range(i) if within(points[i], points[j])}
+    alike = {(j, i) for i in range(300) for j in range(i) if 10 * len(c := np.intersect1d(sets[i], sets[j])) >= 8 * (len(sets[i]) + len(sets[j]) - len(c))}
+    assert alike and alike <= met
+
+
 # --- secrets ----------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
