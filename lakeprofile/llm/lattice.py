@@ -1,15 +1,17 @@
-"""SentencePiece encoding and decoding as relations.
+"""SentencePiece encoding and decoding by lattices, in one pass over the texts.
 
 Texts are cut into units no piece crosses: a word with the spaces before it, or
-a line's end.  For the distinct units of the corpus a lattice is made:
-bounded-length substrings are exploded and equi-joined to the piece table, the
-edges found are grouped by unit, and a fold with Spark's ``aggregate`` takes the
-path of the greatest sum of scores (Viterbi).  The fold walks the edges once, in
-order of their ends, so units of any length go the same way.
-
-A text's ids are those of its units.  The units that most texts have, at most
-``FREQUENT``, are broadcast; the others reach their texts by joins on the unit
-and on the text's hash, so nothing that grows with the corpus is broadcast.
+a line's end.  For the distinct units of a batch a lattice is made: a node for
+each character, and an edge for each substring that is a piece.  Substrings grow
+to the left, a character at a time, all nodes at once, by an equi-join with the
+table of the pieces' suffixes; those that no piece ends with are never made.
+A fold takes the path of the greatest sum of scores (Viterbi): it walks the
+nodes once, in order of their place, all units at once, so units of any length
+go the same way and cost in proportion to their length.
+
+A task keeps the ids of the first ``FREQUENT`` units that it meets and makes
+those of the others in each batch anew.  No row is moved and nothing is written:
+only the suffix table, whose size is the vocabulary's, is broadcast.
 
 ``merged`` is another fold over the same lattice: neighbours join in order of
 score, as the encoder of a byte-pair vocabulary does; its ids equal the
@@ -24,29 +26,33 @@ gives an empty result; other columns, whatever their names, are left alone.
 from __future__ import annotations
 
 import re
-from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
-from uuid import uuid4
+from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lakeprofile.llm.common import materialise, prepare
+from lakeprofile.llm.common import prepare
 
 SPACE = "▁"
-#: Units that are broadcast, at most; about 50 bytes each.
+#: Units whose ids a task keeps, at most, and the code points in them; about 150 bytes a unit.
 FREQUENT = 1 << 18
+KEPT_CHARS = 16 * FREQUENT
+#: Characters in one lattice, at most, unless one unit has more.
+_CHARS = 1 << 18
+#: Nodes of a lattice whose edges are held at once, at most, unless one place of all units has more.
+_BLOCK = 1 << 14
 #: A character that has no piece scores so much less than the least of all pieces.
 UNKNOWN = 10.0
 _UNITS = re.compile(" +[^ \\n]*|[^ \\n]+|\\n")
+#: Stands before a unit's first character; no code point is as large, and ``_BITS`` hold either.
+_BEFORE, _BITS = 0x1FFFFF, 21
 
 
 def vocabulary(model_file: str) -> tuple[list[tuple[str, int, float]], list[bytes], int]:
@@ -82,167 +88,183 @@ def units_of(text: str) -> list[str]:
     return out
 
 
-def bytes_of(ch: Column, first: int) -> Column:
-    """The ids of a character's bytes."""
-    h = F.hex(F.encode(ch, "utf-8"))
-    return F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.conv(h.substr(i, F.lit(2)), 16, 10).cast("int") + first)
-
-
-def edge(stop: Column, length: Column, piece: Column) -> Column:
-    """An edge of the lattice in one number, so that numbers sort by where edges end, then by length, then by id."""
-    return F.shiftleft(stop.cast("long"), 32).bitwiseOR(F.shiftleft(length.cast("long"), 24)).bitwiseOR(piece.cast("long"))
-
-
-def _stop(e: Column) -> Column:
-    return F.shiftright(e, 32).cast("int")
-
+@dataclass
+class Suffixes:
+    """The pieces' distinct suffixes as a sorted table.
 
-def _length(e: Column) -> Column:
-    return F.shiftright(e, 24).bitwiseAND(0xFF).cast("int")
-
-
-def _piece(e: Column) -> Column:
-    return e.bitwiseAND(0xFFFFFF).cast("int")
-
-
-def viterbi(edges: Column, size: Column, scores: Column) -> Column:
-    """array<struct<id,stop>>: the path of the greatest sum of ``scores``, by id, through sorted ``edges``.
-
-    Every node from 1 to ``size`` must have an edge of length one that ends
-    there.  The state has the best (sum, len, id) into each node that all edges
-    have reached, and the best so far into the next one.
+    ``keys`` are the number of the suffix without its first character and that
+    character; a suffix's number is one more than its place, 0 is the empty one.
+    ``ids`` and ``scores`` by place: -1 and minus infinity where the suffix is no
+    piece itself.  Behind the last place stands a character without a piece.
     """
-    node = "struct<sum:double,len:int,id:int>"
-    state = F.struct(F.array(F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("len"), F.lit(-1).alias("id"))).alias("nodes"), F.lit(None).cast(node).alias("best"))
-
-    def into(e: Column, before: Column) -> Column:
-        return F.struct((before + e["score"]).alias("sum"), e["len"].alias("len"), e["id"].alias("id"))
 
-    def step(acc: Column, e: Column) -> Column:
-        reached = lambda: F.element_at(acc["nodes"], e["start"])["sum"]
-        more = F.struct(acc["nodes"].alias("nodes"), F.greatest(acc["best"], into(e, reached())).alias("best"))
-        first = into(e, F.when(e["len"] == 1, acc["best"]["sum"]).otherwise(reached()))
-        return F.when(e["stop"] == F.size(acc["nodes"]), more).otherwise(F.struct(F.array_append(acc["nodes"], acc["best"]).alias("nodes"), first.alias("best")))
+    keys: np.ndarray
+    ids: np.ndarray
+    scores: np.ndarray
+    first: int
 
-    plain = F.transform(edges, lambda e: F.struct(_stop(e).alias("stop"), (_stop(e) - _length(e) + 1).alias("start"), _length(e).alias("len"), _piece(e).alias("id"), scores[_piece(e)].alias("score")))
-    back = F.aggregate(plain, state, step, lambda a: F.array_append(a["nodes"], a["best"]))
-    pair = "struct<id:int,stop:int>"
 
-    def walk(nodes: Column) -> Column:
-        start = F.struct(size.alias("at"), F.array().cast(f"array<{pair}>").alias("path"))
-        taken = lambda acc, i: F.transform(F.array(nodes[i]), lambda x: F.struct((i - x["len"]).alias("at"), F.array_append(acc["path"], F.struct(x["id"].alias("id"), i.alias("stop")).cast(pair)).alias("path")))[0]
-        return F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), start, lambda acc, i: F.when(acc["at"] == i, taken(acc, i)).otherwise(acc), lambda a: F.reverse(a["path"]))
-
-    return F.transform(F.array(back), walk)[0]
-
-
-def merged(edges: Column, size: Column, scores: Column) -> Column:
-    """array<struct<id,stop>>: the path that joining neighbours by best score leaves; it costs the cube of a unit's length."""
-    pairs = F.filter(edges, lambda e: _length(e) > 1)
-
-    def step(nodes: Column, _: Column) -> Column:
-        inside = lambda e: F.size(F.filter(nodes, lambda n: (n > _stop(e) - _length(e)) & (n < _stop(e)))) == 1
-        joins = F.filter(pairs, lambda e: F.array_contains(nodes, _stop(e) - _length(e)) & F.array_contains(nodes, _stop(e)) & inside(e))
-        best = F.array_max(F.transform(joins, lambda e: F.struct(scores[_piece(e)].alias("score"), (_length(e) - _stop(e)).alias("first"), _stop(e).alias("stop"))))
-        return F.transform(F.array(best), lambda b: F.when(b.isNull(), nodes).otherwise(F.filter(nodes, lambda n: (n <= -b["first"]) | (n >= b["stop"]))))[0]
+def suffixes(model_file: str) -> Suffixes:
+    plain, _, first = vocabulary(model_file)
+    plain = [(p.replace(SPACE, " "), i, x) for p, i, x in plain]
+    number, keys = {"": 0}, []
+    for size in range(1, 1 + max(len(p) for p, _, _ in plain)):
+        level = {p[-size:] for p, _, _ in plain if len(p) >= size}  # longer ones have larger keys than all before
+        for key, s in sorted((number[s[1:]] << _BITS | ord(s[0]), s) for s in level):
+            keys.append(key)
+            number[s] = len(keys)
+    ids, scores = np.full(len(keys) + 1, -1, dtype="<i4"), np.full(len(keys) + 1, -np.inf)
+    for p, i, x in plain:
+        ids[number[p] - 1], scores[number[p] - 1] = i, x
+    scores[-1] = min(x for _, _, x in plain) - UNKNOWN
+    return Suffixes(np.array(keys, dtype="i8"), ids, scores, first)
+
+
+class Lattice:
+    """The nodes of ``units``, which come longest first: one before each unit and one after each character.
+
+    Nodes are ordered by their place in the unit, then by the unit, so the nodes
+    of one place, ``offsets[k]`` to ``offsets[k + 1]``, have the first units in order.
+    """
 
-    path = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), F.sequence(F.lit(0), size), step)
-    hit = lambda start, stop: _piece(F.array_min(F.filter(edges, lambda e: (_stop(e) == stop) & (_length(e) == stop - start))))
-    return F.transform(F.array(path), lambda p: F.transform(F.slice(p, 2, F.size(p)), lambda stop, i: F.struct(hit(p[i], stop).alias("id"), stop.alias("stop"))))[0]
+    def __init__(self, units: list[str], table: Suffixes) -> None:
+        n, self.table = len(units), table
+        self.sizes = np.fromiter(map(len, units), dtype="i8", count=n)
+        having = n - np.searchsorted(self.sizes[::-1], np.arange(1 + self.sizes[0]))  # units of that length or more
+        self.offsets = np.concatenate([[0], np.cumsum(having)])
+        flat = np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4")
+        unit = np.repeat(np.arange(n), self.sizes)
+        place = np.arange(1, 1 + len(flat)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        at = self.offsets[place] + unit
+        self.unit, self.char, self.before = np.arange(self.offsets[-1]), np.full(self.offsets[-1], _BEFORE), np.zeros(self.offsets[-1], dtype="i8")
+        self.unit[at], self.char[at], self.before[at] = unit, flat, self.offsets[place - 1] + unit
+
+    def blocks(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """The edges by the places where they end, in order: from, to, and a suffix's place by length (longest first) and node; -1: no edge.
+
+        A node where no edge of length one ends has that of a character without a piece.
+        """
+        t, low, last = self.table, 1, len(self.offsets) - 1
+        while low < last:
+            high = max(low + 1, int(np.searchsorted(self.offsets, self.offsets[low] + _BLOCK, "right")) - 1)
+            ends = np.arange(self.offsets[low], self.offsets[high])
+            rows, at, node, found = [], ends, ends - self.offsets[low], np.zeros(len(ends), dtype="i8")
+            while len(at):
+                key = found << _BITS | self.char[at]
+                place = np.searchsorted(t.keys, key)
+                hit = np.flatnonzero(t.keys[np.minimum(place, len(t.keys) - 1)] == key)
+                at, node, place = self.before[at[hit]], node[hit], place[hit]
+                found = place + 1
+                row = np.full(len(ends), -1)
+                whole = t.ids[place] >= 0
+                row[node[whole]] = place[whole]
+                rows.append(row)
+            rows[0][rows[0] < 0] = len(t.keys)
+            yield low, high, np.stack(rows[::-1])
+            low = high
+
+
+def viterbi(lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes where the pieces of the greatest sum end, in no order, and the pieces' places in the suffix table, by node."""
+    offsets, scores = lattice.offsets, np.append(lattice.table.scores, -np.inf)  # the last for no edge, at -1
+    best, start, piece = np.zeros(offsets[-1]), np.zeros(offsets[-1], dtype="i8"), np.zeros(offsets[-1], dtype="i8")
+    for low, high, edges in lattice.blocks():
+        lengths, gain = np.arange(len(edges), 0, -1), scores[edges]
+        for k in range(low, high):
+            a, b = offsets[k], offsets[k + 1]
+            of = slice(a - offsets[low], b - offsets[low])
+            some = slice(max(0, len(edges) - k), None)  # no edge is longer than what is before it
+            starts = offsets[k - lengths[some]][:, None] + np.arange(b - a)
+            sums = best[starts] + gain[some, of]
+            chosen = (sums.argmax(axis=0), np.arange(b - a))  # the first of equal ones, which is the longest
+            best[a:b], start[a:b], piece[a:b] = sums[chosen], starts[chosen], edges[some, of][chosen]
+    n, path = len(lattice.sizes), []
+    at = offsets[lattice.sizes] + np.arange(n)
+    while len(at := at[at >= n]):  # the first n nodes stand before the units
+        path.append(at)
+        at = start[at]
+    return np.concatenate([*path, at]), piece
+
+
+def merged(lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
+    """As ``viterbi``, for the path that joining neighbours by best score leaves, of equal ones the first."""
+    offsets, n = lattice.offsets, len(lattice.sizes)
+    edges: list[dict[tuple[int, int], int]] = [{} for _ in range(n)]
+    for low, high, found in lattice.blocks():
+        ending = np.repeat(np.arange(low, high), np.diff(offsets[low : high + 1]))
+        rows, nodes = np.nonzero(found >= 0)
+        for u, stop, row, place in zip(lattice.unit[nodes + offsets[low]].tolist(), ending[nodes].tolist(), rows.tolist(), found[rows, nodes].tolist()):
+            edges[u][stop - len(found) + row, stop] = place
+    path, piece = [], np.zeros(offsets[-1], dtype="i8")
+    for u, (size, known) in enumerate(zip(lattice.sizes.tolist(), edges)):
+        after, before = {k: k + 1 for k in range(size)}, {k: k - 1 for k in range(1, size + 1)}
+        join = lambda a, m, b: (-lattice.table.scores[known[a, b]], a, m, b)  # noqa: B023, E731
+        heap = [join(k, k + 1, k + 2) for k in range(size - 1) if (k, k + 2) in known]
+        heapify(heap)
+        while heap:
+            _, a, m, b = heappop(heap)
+            if after.get(a) != m or after.get(m) != b:
+                continue
+            after[a], before[b] = b, a
+            del after[m], before[m]
+            for three in ((before.get(a), a, b), (a, b, after.get(b))):
+                if (three[0], three[2]) in known:
+                    heappush(heap, join(*three))
+        for stop, begin in before.items():
+            path.append(offsets[stop] + u)
+            piece[path[-1]] = known[begin, stop]
+    return np.array(path, dtype="i8"), piece
+
+
+def encode_units(units: list[str], table: Suffixes, fold=viterbi) -> dict[str, bytes]:
+    """The 32-bit ids of each of ``units``, which are distinct and not empty, with spaces as they are."""
+    out, units, done = {}, sorted(units, key=len, reverse=True), 0
+    ends = np.cumsum([0, *map(len, units)])  # of the units so far, in characters
+    while done < len(units):
+        upto = max(done + 1, int(np.searchsorted(ends, ends[done] + _CHARS, "right")) - 1)
+        some, done = units[done:upto], upto
+        lattice = Lattice(some, table)
+        path, piece = fold(lattice)
+        path = np.sort(path)
+        path = path[np.argsort(lattice.unit[path], kind="stable")]
+        ids, chars = table.ids[piece[path]], lattice.char[path]
+        unknown = ids < 0
+        width = np.where(unknown, 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF), 1)
+        ids = np.repeat(ids, width)
+        if unknown.any():
+            ids[np.repeat(unknown, width)] = table.first + np.frombuffer(chars[unknown].astype("<u4").tobytes().decode("utf-32-le").encode(), dtype="u1")
+        raw = ids.tobytes()
+        stops = (4 * np.cumsum(width))[np.cumsum(np.bincount(lattice.unit[path])) - 1].tolist()  # each unit has a piece
+        out.update(zip(some, (raw[a:b] for a, b in zip([0, *stops], stops))))
+    return out
 
 
-def encode_units(units: DataFrame, model_file: str, fold=viterbi) -> DataFrame:
-    """``units``, whose column ``unit`` is distinct and not empty, with its ``ids``."""
-    spark = units.sparkSession
-    plain, _, first = vocabulary(model_file)
-    longest = max(len(p) for p, _, _ in plain)
-    # The piece table is a vocabulary: its size does not depend on the data.  The join is on 64-bit hashes, and
-    # the pieces that meet are compared.  An empty piece, met once a unit, keeps units that have no edge.
-    table = spark.createDataFrame([*((p, i) for p, i, _ in plain), ("", 0)], "piece string, id int").select(F.xxhash64("piece").alias("key"), "piece", "id")
-    none = 1 + max(i for _, i, _ in plain)  # the id of a character that has no piece
-    by_id = np.full(none + 1, min(x for _, _, x in plain) - UNKNOWN)
-    by_id[[i for _, i, _ in plain]] = [x for _, _, x in plain]
-    stops = units.select("*", F.explode(F.sequence(F.lit(0), F.length("unit"))).alias("stop"))
-    spans = stops.select("*", F.explode(F.sequence(F.least(F.lit(1), F.col("stop")), F.least(F.lit(longest), F.col("stop")))).alias("len"))
-    cut = F.substring("unit", F.col("stop") - F.col("len") + 1, F.col("len"))
-    met = spans.withColumn("key", F.xxhash64(cut)).join(F.broadcast(table), "key").where(F.startswith(cut, F.col("piece")) & F.endswith(F.col("piece"), cut))
-    # Units that come partitioned by ``unit`` stay so: the edges are not shuffled.
-    edges = met.select(*units.columns, F.when(F.col("stop") > 0, edge(F.col("stop"), F.col("len"), F.col("id"))).alias("edge"))
-    lattice = edges.groupBy(*units.columns).agg(F.collect_list("edge").alias("edges"))
-    bare = F.transform(F.sequence(F.lit(1), F.length("unit")), lambda stop: edge(stop, F.lit(1), F.lit(none)))
-    covered = F.size(F.filter("edges", lambda e: _length(e) == 1)) == F.length("unit")
-    lattice = lattice.withColumn("edges", F.sort_array(F.when(covered, F.col("edges")).otherwise(F.concat("edges", bare))))
-    path = lattice.select(*units.columns, fold(F.col("edges"), F.length("unit"), F.lit(by_id.tolist())).alias("path"))
-    spelled = F.flatten(F.transform("path", lambda p: F.when(p["id"] < none, F.array(p["id"])).otherwise(bytes_of(F.col("unit").substr(p["stop"], F.lit(1)), first))))
-    return path.select(*units.columns, F.when(F.exists("path", lambda p: p["id"] == none), spelled).otherwise(F.transform("path", lambda p: p["id"])).alias("ids"))
-
-
-_HELD: dict[str, dict[str, bytes]] = {}
-
-
-def _by_unit(name: str, table: Broadcast) -> dict[str, bytes]:
-    """The ids' bytes of each unit of a broadcast table (unit, ids), made once in a worker, which keeps the last one only."""
-    if name not in _HELD:
-        _HELD.clear()
-        t = table.value.combine_chunks()
-        ids = t.column("ids").combine_chunks()
-        raw, at = ids.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), ids.offsets.to_pylist()
-        _HELD[name] = {u: raw[4 * a : 4 * b] for u, a, b in zip(t.column("unit").to_pylist(), at, at[1:])}
-    return _HELD[name]
-
-
-def _encoded(rows: DataFrame, model_file: str, text_col: str, fold, kinds: str, finish: Callable[[str, bytes], tuple]) -> DataFrame:
-    """The columns of ``rows`` and those of ``kinds``: ``finish`` of each text and the bytes of its ids."""
-    spark, name = rows.sparkSession, uuid4().hex
+def _encoded(rows: DataFrame, kept: Column, model_file: str, text_col: str, fold, kinds: str, finish: Callable[[str, bytes], tuple]) -> DataFrame:
+    """The fields of the struct ``kept`` of ``rows`` and those of ``kinds``: ``finish`` of each text and the bytes of its ids."""
+    spark = rows.sparkSession
     prepare(spark)
+    table = spark.sparkContext.broadcast(suffixes(model_file))
+    most, most_chars = FREQUENT, KEPT_CHARS
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen = Counter(chain.from_iterable(set(units_of(t)) for t in b.column(0).to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
-
-    counted = rows.select(text.alias("text")).mapInArrow(count, "unit string, n long").groupBy(F.translate("unit", " ", SPACE).alias("unit")).agg(F.sum("n").alias("n"))
-    known = materialise(encode_units(counted, model_file, fold))
-    # The least count, on a scale of eighths of a power of two, that at most FREQUENT units reach.
-    scale = F.floor(8 * F.log2("n")).cast("int")
-    reached, least = 0, None
-    for r in known.groupBy(scale.alias("s")).agg(F.count(F.lit(1)).alias("units")).orderBy(F.desc("s")).collect():  # some hundred rows
-        reached += r["units"]
-        if reached > FREQUENT:
-            break
-        least = r["s"]
-    often = known.where(scale >= F.lit(least)) if least is not None else known.where("false")
-    frequent = spark.sparkContext.broadcast(often.select(F.translate("unit", SPACE, " ").alias("unit"), "ids").toArrow())
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = _by_unit(name, frequent)
-        for b in batches:
-            once = dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            for h, t in once.items():
-                rare = [u for u in set(units_of(t)) if u not in common]
-                if rare:
-                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(rare), pa.int64()), pa.array(rare, pa.string())], names=["h", "unit"])
-
-    # Texts of one hash share their rare units; should two unlike texts do so, each finds its own among them.
-    rare = rows.select(F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(others, "h long, unit string").join(known.select(F.translate("unit", SPACE, " ").alias("unit"), "ids"), "unit")
-    per_text = rare.groupBy("h").agg(F.collect_list(F.struct("unit", "ids")).alias("rare"))
-    whole = rows.select(F.struct("*").alias("row"), F.xxhash64(text).alias("h")).join(per_text, "h", "left").select("row", "rare")
+    whole = rows.select(kept.alias("row"), text.alias("text"))
     added = StructType.fromDDL(kinds)
     into = to_arrow_schema(added)
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = _by_unit(name, frequent)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, bytes] = {}
+        chars = 0
         for b in batches:
-            done = []
-            texts = b.column(0).field(text_col).cast(pa.string()).to_pylist()
-            for t, more in zip(texts, b.column(1).to_pylist()):
-                own = {x["unit"]: array("i", x["ids"]).tobytes() for x in more or ()}
-                done.append(finish(t or "", b"".join([common[u] if u in common else own[u] for u in units_of(t)])))
+            texts = b.column(1).to_pylist()
+            cut = [units_of(t) for t in texts]
+            fresh = encode_units([u for u in set().union(*cut) if u not in held], table.value, fold)
+            if len(held) + len(fresh) <= most and (more := chars + sum(map(len, fresh))) <= most_chars:
+                held.update(fresh)
+                chars = more
+            done = [finish(t, b"".join([held[u] if u in held else fresh[u] for u in units])) for t, units in zip(texts, cut)]
             columns = [pa.array(c, f.type) for c, f in zip(zip(*done), into)] if done else [pa.array([], f.type) for f in into]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["row", *added.names])
 
-    found = whole.mapInArrow(assemble, StructType([whole.schema["row"], *added.fields]))
+    found = whole.mapInArrow(run, StructType([whole.schema["row"], *added.fields]))
     return found.select("row.*", *added.names)
 
 
@@ -250,7 +272,7 @@ def encode(rows: DataFrame, model_file: str, text_col: str = "text", ids_col: st
     """``rows`` with an array of piece ids as a new last column ``ids_col``, whose name ``rows`` must not have."""
     if ids_col in rows.columns:
         raise ValueError(f"there is a column {ids_col}; give ids_col another name")
-    return _encoded(rows, model_file, text_col, fold, f"`{ids_col}` array<int>", lambda _, ids: (np.frombuffer(ids, dtype="<i4"),))
+    return _encoded(rows, F.struct("*"), model_file, text_col, fold, f"`{ids_col}` array<int>", lambda _, ids: (np.frombuffer(ids, dtype="<i4"),))
 
 
 def decoded(ids: bytes, said: list[bytes]) -> str:
@@ -279,4 +301,4 @@ def round_trip(rows: DataFrame, model_file: str, keys: list[str], text_col: str
     def finish(text: str, ids: bytes) -> tuple:
         return len(ids) // 4, crc32(ids), decoded(ids, said.value) == text.replace(SPACE, " ")
 
-    return _encoded(rows.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text_col}`")), model_file, text_col, fold, "n_ids long, ids_crc32 long, round_trip boolean", finish).select(*keys, "n_ids", "ids_crc32", "round_trip")
+    return _encoded(rows, F.struct(*[F.col(f"`{k}`") for k in keys]), model_file, text_col, fold, "n_ids long, ids_crc32 long, round_trip boolean", finish)

@@ -305,6 +305,37 @@ def test_encoding_takes_the_best_sum_and_decodes(spark, monkeypatch):
     assert lattice.encode(df.where("false"), PIECES).count() == 0
 
 
+def test_encoding_moves_no_text_and_writes_nothing(spark, monkeypatch):
+    from pathlib import Path
+
+    from lakeprofile.llm.common import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = sorted(shared.rglob("*"))
+    words = [" ".join(f"w{i * j % 997}é{'x' * (i % 7)}" for j in range(40)) for i in range(8)]
+    said = {t: np.array(best_sum(t), dtype="<u4").tobytes() for t in [*TEXTS, *words, "ab" * 2000]}
+    texts = [*said] * 50
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(3).localCheckpoint()
+    for frequent in (lattice.FREQUENT, 100):  # all units kept, and some batches' units made anew
+        monkeypatch.setattr(lattice, "FREQUENT", frequent)
+        found = lattice.round_trip(df, PIECES, ["k"])
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r["k"]: (r["n_ids"], r["ids_crc32"]) for r in found.collect()} == {k: (len(said[t]) // 4, zlib.crc32(said[t])) for k, t in enumerate(texts)}
+    assert sorted(shared.rglob("*")) == before
+
+
+def test_lattices_of_any_cut_have_the_same_paths(monkeypatch):
+    table = lattice.suffixes(PIECES)
+    texts = [*TEXTS, "▁▁".join("aé你𝄞b" * i for i in range(40))]
+    want = {t: np.array(best_sum(t), dtype="<i4").tobytes() for t in texts}
+    for chars, block in ((lattice._CHARS, lattice._BLOCK), (1, 1), (50, 7), (lattice._CHARS, 1), (300, 64)):
+        monkeypatch.setattr(lattice, "_CHARS", chars)
+        monkeypatch.setattr(lattice, "_BLOCK", block)
+        ids = lattice.encode_units(list({u for t in texts for u in lattice.units_of(t)}), table)
+        assert all(b"".join(ids[u] for u in lattice.units_of(t)) == want[t] for t in texts)
+    assert lattice.encode_units([], table) == {}
+
+
 @given(st.text(alphabet="ab \n▁", max_size=30))
 def test_units_are_those_of_the_pattern(text):
     want = lattice._UNITS.findall(" " + text.replace(lattice.SPACE, " ")) if text else []
