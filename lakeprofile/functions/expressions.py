@@ -78,6 +78,13 @@ def micros(c: Column, kind: T.DataType) -> Column:
     return days * DAY + within.cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
 
 
+def whole_day(c: Column, kind: T.DataType) -> Column:
+    """Whether a time is the first instant of a day, of an instant's day in UTC."""
+    if isinstance(kind, T.TimestampNTZType):
+        return c == c.cast("date").cast("timestamp_ntz")
+    return F.pmod(micros(c, kind), F.lit(DAY)) == 0
+
+
 def representable(c: Column, kind: T.DataType) -> Column:
     """Whether the year of a date or time has four digits."""
     return F.year(local(c, kind).cast("date")).between(1, 9999)

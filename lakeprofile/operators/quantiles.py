@@ -1,20 +1,38 @@
 """Exact order statistics by brackets that narrow.
 
-As long as more than ``INSIDE`` values lie in a rank's bracket, an approximate
-pass proposes a narrower one and a count tells whether the rank is still in it;
-then an exact pass ranks what lies inside.  No task sees a whole column sorted,
-and no aggregate holds more than a bracket's values, however large the column.
+One pass counts the values of finite numbers in steps of equal width, and the
+step that holds a rank is its bracket.  As long as more than ``INSIDE`` values
+lie in a bracket, an approximate pass proposes a narrower one and a count tells
+whether the rank is still in it; then an exact pass ranks what lies inside.  No
+task sees a whole column sorted, and no aggregate holds more than a bracket's
+values, however large the column.
 """
 
 from __future__ import annotations
 
-from math import ceil, floor, ulp
+from bisect import bisect_right
+from itertools import accumulate
+from math import ceil, floor, inf, ulp
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Values in a bracket that are ranked at once, and how far around its rank a proposed bracket reaches.
 INSIDE, SLACK = 20_000, 0.001
+#: The most steps of one count.
+STEPS = 65_536
+
+
+def _steps(df: DataFrame, low: object, high: object, n: int) -> list[tuple[int, object, object]] | None:
+    """(rows, least, greatest) of each step that holds values of ``v``, in order; None where steps can't be told."""
+    numbers = all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in (low, high))
+    if not numbers or not low < high or not 0 < (width := float(high) - float(low)) < inf:
+        return None
+    k = min(STEPS, max(16, 4 * n // INSIDE))
+    # every operation keeps the order, so no value of a step is above one of the next
+    step = F.floor((F.col("v").cast("double") - F.lit(float(low))) / F.lit(width) * F.lit(float(k)))
+    counted = df.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+    return [(r["n"], r["a"], r["b"]) for r in sorted(counted.collect(), key=lambda r: r["step"])]
 
 
 def at_ranks(df: DataFrame, value: Column, ranks: dict[str, int], n: int) -> dict[str, object]:
@@ -27,6 +45,12 @@ def at_ranks(df: DataFrame, value: Column, ranks: dict[str, int], n: int) -> dic
     if n > INSIDE:
         ends = df.agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
         low, high = dict.fromkeys(wanted, ends["a"]), dict.fromkeys(wanted, ends["b"])
+        if steps := _steps(df, ends["a"], ends["b"], n):
+            upto = list(accumulate(s[0] for s in steps))
+            for r in wanted:
+                at = bisect_right(upto, r)
+                inside[r], low[r], high[r] = steps[at]
+                below[r] = upto[at] - inside[r]
     kept = lambda r: F.when((v >= low[r]) & (v <= high[r]), v) if r in low else v
     while todo := [r for r in wanted if inside[r] > INSIDE and low[r] < high[r] and slack[r] < 1]:
         share = {r: (r - below[r] + 0.5) / inside[r] for r in todo}
@@ -48,9 +72,15 @@ def at_ranks(df: DataFrame, value: Column, ranks: dict[str, int], n: int) -> dic
     open_ranks = [r for r in wanted if r not in low or low[r] < high[r]]
     found = {r: low[r] for r in wanted if r not in open_ranks}
     if open_ranks:
-        ranked = df.select(*[kept(r).alias(f"w{i}") for i, r in enumerate(open_ranks)])
-        row = ranked.selectExpr(*[f"percentile_disc({(r - below[r] + 0.5) / inside[r]!r}D) WITHIN GROUP (ORDER BY w{i}) AS x{i}" for i, r in enumerate(open_ranks)]).first()
-        found |= {r: row[f"x{i}"] for i, r in enumerate(open_ranks)}
+        shared = {}
+        for r in open_ranks:
+            shared.setdefault((low.get(r), high.get(r)), []).append(r)
+        ranked = df.select(*[kept(rs[0]).alias(f"w{i}") for i, rs in enumerate(shared.values())])
+        if None not in (ends := list(shared))[0]:  # few rows reach the ranking
+            ranked = ranked.where(F.coalesce(*[F.col(f"w{i}") for i in range(len(ends))]).isNotNull())
+        each = [", ".join(f"{(r - below[r] + 0.5) / inside[r]!r}D" for r in rs) for rs in shared.values()]
+        row = ranked.selectExpr(*[f"percentile_disc(array({levels})) WITHIN GROUP (ORDER BY w{i}) AS x{i}" for i, levels in enumerate(each)]).first()
+        found |= {r: v for i, rs in enumerate(shared.values()) for r, v in zip(rs, row[f"x{i}"])}
     return {k: found[r] for k, r in ranks.items()}
 
 
@@ -74,3 +104,10 @@ def nearest(df: DataFrame, value: Column, levels: list[float]) -> dict[float, ob
     n = df.select(F.count(value)).first()[0]
     found = at_ranks(df, value, {str(p): max(ceil(p * n) - 1, 0) for p in levels}, n)
     return {p: found[str(p)] for p in levels} if n else {}
+
+
+def nearest_of(counts: list[tuple[object, int]], levels: list[float]) -> dict[float, object]:
+    """``nearest`` of values that are few, from how often each occurs."""
+    ordered = sorted((v, k) for v, k in counts if v is not None)
+    upto = list(accumulate(k for _, k in ordered))
+    return {p: ordered[bisect_right(upto, max(ceil(p * upto[-1]) - 1, 0))][0] for p in levels} if ordered else {}

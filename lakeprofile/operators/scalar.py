@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from lakeprofile.functions import expressions as X
 
-#: Columns in one aggregate, so that generated code stays compilable.
-WIDE = 150
+#: Columns in one aggregate, so that generated code stays small enough to be compiled.
+WIDE = 4
 
 
 def _long(v: Column) -> Column:
@@ -38,21 +38,33 @@ def _base_of(field: T.StructField) -> Column:
         F.count_if(c.isNull()).alias("null_count"),
         (F.count_if(c == 0) if number else _long(none)).alias("zero_count"),
         (F.count_if(fv < 0) if number else _long(none)).alias("negative_count"),
-        (F.count_if(fv == F.floor(fv)) if number else F.count_if(F.pmod(X.micros(c, kind), F.lit(X.DAY)) == 0) if isinstance(kind, X.CLOCKED) else _long(none)).alias("quantized_count"),
+        (F.count_if(fv == F.floor(fv)) if number else F.count_if(X.whole_day(c, kind)) if isinstance(kind, X.CLOCKED) else _long(none)).alias("quantized_count"),
         (F.count(c) - F.count(fv) if isinstance(kind, X.FLOATING) else _long(none)).alias("non_finite_count"),
         (F.count_if(size == 0) if text else _long(none)).alias("empty_count"),
         (_long(F.min(size)) if text else _long(none)).alias("length_min"),
         (_long(F.max(size)) if text else _long(none)).alias("length_max"),
         (F.round(F.avg(size), 6) if text else none.cast("double")).alias("length_avg"),
-        (F.round(F.percentile(size, 0.95), 6) if text else none.cast("double")).alias("length_p95"),
+        _long(none).cast("double").alias("length_p95"),
     )
 
 
+def _lengths(df: DataFrame, field: T.StructField) -> DataFrame:
+    """(column_name, p95): the 95th percentile of a column's lengths, from how often each occurs."""
+    c = F.col(f"`{field.name}`")
+    size = F.length(c) if X.family(field.dataType) == "text" else F.octet_length(c)
+    counted = df.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.agg(F.round(F.percentile("size", 0.95, F.col("n")), 6).alias("p95")).select(F.lit(field.name).alias("column_name"), "p95")
+
+
 def base(df: DataFrame) -> DataFrame:
     """One row per column: counts and lengths, null where a measure does not apply."""
     fields = df.schema.fields
     parts = [df.agg(F.array(*[_base_of(f) for f in fields[at : at + WIDE]]).alias("each")).select(F.inline("each")) for at in range(0, len(fields), WIDE)]
-    return reduce(DataFrame.unionByName, parts)
+    found = reduce(DataFrame.unionByName, parts)
+    if each := [_lengths(df, f) for f in fields if X.family(f.dataType) in ("text", "binary")]:  # kept apart: the aggregate of all columns would not be compiled
+        lengths = F.broadcast(reduce(DataFrame.unionByName, each))
+        found = found.join(lengths, "column_name", "left").withColumn("length_p95", F.col("p95")).drop("p95")
+    return found
 
 
 def cardinalities(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -142,7 +154,7 @@ def temporal_block(df: DataFrame, profiled_at: str) -> DataFrame:
             low, high = F.min(c), F.max(c)
             now = X.micros(F.lit(profiled_at).cast("timestamp_ntz"), T.TimestampNTZType())
             age = F.greatest(F.lit(0), F.floor((now - X.micros(high, kind)) / X.DAY)).cast("long")
-            quantized = F.count_if(F.pmod(X.micros(c, kind), F.lit(X.DAY)) == 0) if isinstance(kind, X.CLOCKED) else F.lit(None).cast("long")
+            quantized = F.count_if(X.whole_day(c, kind)) if isinstance(kind, X.CLOCKED) else F.lit(None).cast("long")
             strange = F.array_join(F.array(*[F.when(~X.representable(x, kind), n) for n, x in (("min", low), ("max", high))]), ",")
             each.append(F.struct(F.lit(f.name).alias("column_name"), X.published(low, kind).alias("min_value"), X.published(high, kind).alias("max_value"), F.floor((X.micros(high, kind) - X.micros(low, kind)) / X.DAY).cast("long").alias("span_days"), quantized.alias("quantized_count"), age.alias("max_age_days"), F.when(age < 7, "live").when(age < 90, "stale").otherwise("dormant").alias("freshness"), strange.alias("unrepresentable")))
     return df.agg(F.array(*each).alias("each")).select(F.inline("each")) if each else df.sparkSession.createDataFrame([], "column_name string, min_value string, max_value string, span_days long, quantized_count long, max_age_days long, freshness string, unrepresentable string")

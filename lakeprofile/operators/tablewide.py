@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 from lakeprofile.functions import expressions as X
 
 GRAIN_PAIRS, DEPENDENCY_PAIRS, STRONG = 32, 300, 0.95
+#: About so many rows of a table are tried before it is counted whole.
+PART = 1_000_000
 
 
-def null_patterns(df: DataFrame, top_n: int = 20) -> DataFrame:
-    """(pattern, n, coverage): the most frequent combinations of null columns, one character a column."""
-    flags = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in df.columns])
+def null_patterns(df: DataFrame, top_n: int = 20, whole: frozenset[str] = frozenset()) -> DataFrame:
+    """(pattern, n, coverage): the most frequent combinations of null columns, one character a column; ``whole`` are known to hold no null and are not read."""
+    flags = F.concat(*[F.lit("0") if c in whole else F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in df.columns])
     counted = df.groupBy(flags.alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
     top = counted.orderBy(F.desc("n"), "pattern").limit(top_n)
-    whole = counted.agg(F.sum("n").alias("rows"))
-    return top.crossJoin(F.broadcast(whole)).select("pattern", "n", F.round(F.sum("n").over(Window.partitionBy()) / F.col("rows"), 6).alias("coverage"))
+    rows = counted.agg(F.sum("n").alias("rows"))
+    return top.crossJoin(F.broadcast(rows)).select("pattern", "n", F.round(F.sum("n").over(Window.partitionBy()) / F.col("rows"), 6).alias("coverage"))
 
 
 def pair_counts(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -35,6 +37,26 @@ def grain_candidates(cards: dict[str, int], nulls: dict[str, int], rows: int, mo
     return sorted(fit, key=lambda p: (-cards[p[0]] * cards[p[1]], p))[:most]
 
 
+def unrefuted(df: DataFrame, pairs: list[tuple[str, str]], cards: dict[str, int], rows: int) -> list[tuple[str, str]]:
+    """The pairs that a part of the table does not show to be no key; what is left is to be counted whole.
+
+    A part holds every row of some values of a pair's column of more values.  Rows
+    that agree in a pair there agree in the table, so a pair that is a key is never
+    lost, and most that are none cost no count of the table.
+    """
+    parts, hub = rows // PART, lambda p: max(p, key=lambda c: (cards[c], c))
+    if parts < 2:
+        return pairs
+    again = set()
+    for h in sorted({hub(p) for p in pairs}):
+        mine = [p for p in pairs if hub(p) == h]
+        names = sorted({c for p in mine for c in p})
+        some = df.where(F.pmod(F.xxhash64(F.col(f"`{h}`")), F.lit(parts)) == 0).select(*[F.col(f"`{c}`") for c in names]).persist()
+        again |= {(r["a"], r["b"]) for r in grain(some, mine).where("NOT is_key").collect()}
+        some.unpersist()
+    return [p for p in pairs if p not in again]
+
+
 def grain(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(a, b, distinct_pairs, rows, is_key): whether a pair identifies every row."""
     rows = df.agg(F.count(F.lit(1)).alias("rows"))
@@ -80,8 +102,9 @@ def timeline_anchor(facts: list[tuple[str, float, int]]) -> str | None:
 def timeline(df: DataFrame, column: str, unit: str) -> DataFrame:
     """(bucket, n): rows by day, week from Monday, or month; empty buckets are absent."""
     day = X.local(F.col(f"`{column}`"), df.schema[column].dataType).cast("date")
-    bucket = (day if unit == "day" else F.trunc(day, unit)).cast("string")
-    return df.where(F.col(f"`{column}`").isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    days = df.where(F.col(f"`{column}`").isNotNull()).groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))  # a date is cheaper than its text
+    bucket = F.col("day") if unit == "day" else F.trunc("day", unit)
+    return days.groupBy(bucket.cast("string").alias("bucket")).agg(F.sum("n").alias("n"))
 
 
 def populated_windows(df: DataFrame, anchor: str, columns: list[str]) -> DataFrame:

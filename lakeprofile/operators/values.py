@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from lakeprofile.functions import expressions as X
 
+#: The rows of ``value_list``.
+LISTED = "column_name string, value string, n long, rank long, exhaustive boolean"
+
 
 def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, value, n): how often each non-null value of each column occurs; one narrow aggregate a column."""
@@ -20,6 +23,20 @@ def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+def most_frequent(df: DataFrame, columns: list[str], most: int, text: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """The ``most`` first rows of each column's frequencies, by count, then by the text; and how many spelling groups each of ``text`` has, where there are any.
+
+    One job counts each column once for both.
+    """
+    freq = {c: frequencies(df, [c]) for c in columns}
+    best = [f.orderBy(F.desc("n"), "value").limit(most) for f in freq.values()]
+    spelt = [spelling_groups(freq[c]).groupBy("column_name").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n")) for c in text]  # with n, both read one shuffle
+    shown = [f.select("column_name", "value", "n", F.lit(None).cast("long").alias("groups")) for f in best]
+    rows = reduce(DataFrame.unionByName, shown + [f.select("column_name", F.lit(None).cast("string").alias("value"), "n", "groups") for f in spelt]).collect()
+    top = df.sparkSession.createDataFrame([tuple(r)[:3] for r in rows if r["groups"] is None], "column_name string, value string, n long")
+    return top, {r["column_name"]: r["groups"] for r in rows if r["groups"] is not None}
+
+
 def value_list(freq: DataFrame, top_n: int = 20, threshold: int = 50) -> DataFrame:
     """(column_name, value, n, rank, exhaustive): every value of a column of few, else the ``top_n`` most frequent.
 
@@ -35,7 +52,12 @@ def value_list(freq: DataFrame, top_n: int = 20, threshold: int = 50) -> DataFra
 def distribution(freq: DataFrame, top_n: int = 20, threshold: int = 50) -> DataFrame:
     """(column_name, top_count, bottom_count, listed, listed_count, non_null, values_coverage, distribution), one row per column."""
     totals = freq.groupBy("column_name").agg(F.sum("n").alias("non_null"))
-    listed = value_list(freq, top_n, threshold).groupBy("column_name").agg(F.max("n").alias("top_count"), F.min("n").alias("bottom_count"), F.count(F.lit(1)).alias("listed"), F.sum("n").alias("listed_count"), F.first("exhaustive").alias("exhaustive"))
+    return distribution_of(value_list(freq, top_n, threshold), totals)
+
+
+def distribution_of(listed: DataFrame, totals: DataFrame) -> DataFrame:
+    """``distribution`` from a value list, and (column_name, non_null)."""
+    listed = listed.groupBy("column_name").agg(F.max("n").alias("top_count"), F.min("n").alias("bottom_count"), F.count(F.lit(1)).alias("listed"), F.sum("n").alias("listed_count"), F.first("exhaustive").alias("exhaustive"))
     both = listed.join(totals, "column_name")
     share = F.col("listed_count") / F.col("non_null")
     shape = F.when(F.col("top_count") / F.col("non_null") >= 0.95, "dominant_value").when(~F.col("exhaustive") & (share < 0.30), "long_tail").when(F.col("top_count") > 2 * F.col("bottom_count"), "imbalanced").otherwise("uniform")

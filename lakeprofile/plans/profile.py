@@ -115,14 +115,16 @@ class _Table:
         df = self.df.select(*[F.col(f"`{c}`") for c in names])
         ranged = {r["column_name"]: r for r in scalar.numeric_block(df).collect()}
         few = [c for c in names if self.facts[c]["cardinality"] <= AGGREGATED]
-        at = df.agg(*[F.percentile(X.finite(F.col(f"`{c}`"), self.kinds[c]).cast("double"), levels).alias(f"p{i}") for i, c in enumerate(few)]).first() if few else None
+        weighed = lambda c: F.percentile(X.finite(F.col("v"), self.kinds[c]).cast("double"), levels, F.col("n"))
+        each = [df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n")).agg(weighed(c).alias("at")).select(F.lit(c).alias("column_name"), "at") for c in few]
+        at = {r["column_name"]: r["at"] for r in reduce(DataFrame.unionByName, each).collect()} if each else {}
         for c in names:
             r, low, high = ranged[c], ranged[c]["min_value"], ranged[c]["max_value"]
             for stat, field in (("range.min", "min_value"), ("range.max", "max_value"), ("mean", "mean_value")):
                 self.add(c, stat, r[field])
             self.add(c, "sum", r["sum_value"], r["sum_exact"])
             self.add(c, "unmeasured", r["unmeasured"] or None)
-            found = dict(zip(levels, at[f"p{few.index(c)}"] or ())) if c in few else quantiles.interpolated(df, X.finite(F.col(f"`{c}`"), self.kinds[c]), levels)
+            found = dict(zip(levels, at[c] or ())) if c in at else quantiles.interpolated(df, X.finite(F.col(f"`{c}`"), self.kinds[c]), levels)
             for p, v in found.items():
                 self.add(c, f"percentiles.p{round(100 * p):02d}", round(quantiles.coherent(v, low, high), 6))
 
@@ -139,7 +141,11 @@ class _Table:
             self.add(c, "unrepresentable", r["unrepresentable"] or None)
             for stat in ("span_days", "freshness", "max_age_days"):
                 self.add(c, stat, r[stat])
-            found = quantiles.nearest(self.df, X.micros(F.col(f"`{c}`"), kind), levels)
+            if self.facts[c]["cardinality"] <= AGGREGATED:
+                counted = self.df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+                found = quantiles.nearest_of([tuple(x) for x in counted.select(X.micros(F.col("v"), kind), "n").collect()], levels)
+            else:
+                found = quantiles.nearest(self.df, X.micros(F.col(f"`{c}`"), kind), levels)
             at = F.timestamp_micros(F.col("us"))
             shown = X.published(X.local(at, T.TimestampType()) if isinstance(kind, T.TimestampNTZType) else at.cast(kind), kind)
             spark = self.df.sparkSession
@@ -151,17 +157,20 @@ class _Table:
         if not names or not self.scanned:
             return
         s = self.settings
-        freq = values.frequencies(self.df, names)
-        for r in values.value_list(freq, s.top_n_values, s.enumeration_threshold).collect():
+        text = [c for c in names if X.family(self.kinds[c]) == "text"]
+        top, spelt = values.most_frequent(self.df, names, max(s.enumeration_threshold, s.top_n_values) + 1, text)
+        listed = values.value_list(top, s.top_n_values, s.enumeration_threshold).collect()
+        for r in listed:
             self.add(r["column_name"], f"values[{r['rank']}]", r["n"], r["value"])
-        for r in values.distribution(freq, s.top_n_values, s.enumeration_threshold).collect():
+        spark = self.df.sparkSession
+        totals = spark.createDataFrame([(c, self.scanned - self.facts[c]["null_count"]) for c in names], "column_name string, non_null long")
+        for r in values.distribution_of(spark.createDataFrame([(r["column_name"], None, *r[2:]) for r in listed], values.LISTED), totals).collect():
             self.add(r["column_name"], "distribution", r["distribution"])
             self.add(r["column_name"], "values_coverage", r["values_coverage"])
             if r["listed_count"] > r["non_null"]:  # two reads that disagree
                 self.add(r["column_name"], "coverage_incoherent", True)
-        text = [c for c in names if X.family(self.kinds[c]) == "text"]
-        for r in values.spelling_groups(freq.where(F.col("column_name").isin(text))).groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect() if text else ():
-            self.add(r["column_name"], "spelling_groups", r["n"])
+        for c, n in spelt.items():
+            self.add(c, "spelling_groups", n)
 
     def inferred(self) -> None:
         """Shapes and sensitivity, from a sample of distinct values."""
@@ -196,7 +205,8 @@ class _Table:
     def whole_table(self) -> None:
         """Null patterns; and of tables that were read whole and hold rows: grain, dependencies, timeline."""
         if self.scanned:
-            for r in tablewide.null_patterns(self.df, self.settings.top_n_null_patterns).collect():
+            whole = frozenset(c for c, r in self.facts.items() if not r["null_count"])
+            for r in tablewide.null_patterns(self.df, self.settings.top_n_null_patterns, whole).collect():
                 self.add(None, f"null_patterns[{r['pattern']}]", r["n"])
         if self.scoped or not self.scanned:
             return
@@ -204,6 +214,7 @@ class _Table:
         clean_key = any(r["candidate_key"] and not r["null_count"] for r in plain.values())
         if not clean_key:
             found = tablewide.grain_candidates({c: r["cardinality"] for c, r in plain.items()}, {c: r["null_count"] for c, r in plain.items()}, self.scanned)
+            found = tablewide.unrefuted(self.df, found, {c: r["cardinality"] for c, r in plain.items()}, self.scanned)
             for r in tablewide.grain(self.df, found).where("is_key").collect() if found else ():
                 self.add(None, f"grain[{r['a']},{r['b']}]", r["distinct_pairs"])
         pairs = tablewide.dependency_candidates({c: (r["classification"], r["cardinality"], r["null_count"], r["candidate_key"]) for c, r in plain.items()})

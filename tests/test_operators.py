@@ -363,3 +363,57 @@ def test_profile_of_linked_tables(spark):
     assert got["user", "id", "referenced_by[visit.user_id]"][1] == "visit.user_id" and got["user", "at", "inferred.epoch_unit"][1] == "seconds"
     assert got["visit", "note", "inferred.secrets"][0] == 1 and got["visit", "late", "populated.from"][1].startswith("2024-01-")
     assert settings.must_profile(0.1, settings.Settings(), settings.Settings(), (), (("*", "mask"),)) and not settings.must_profile(0.1, settings.Settings(), settings.Settings())
+
+
+def test_percentiles_count_steps_before_they_estimate(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("an estimate of the whole column")
+
+    monkeypatch.setattr(quantiles, "INSIDE", 40)
+    monkeypatch.setattr(quantiles.F, "percentile_approx", never)
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), (F.col("id") % 5).cast("double").alias("few"), (F.col("id") * 7919 % 5000 - 2500.5).alias("x"))
+    assert quantiles.at_ranks(df, F.col("v"), {str(r): r for r in (0, 1, 2500, 4999)}, 5000) == {"0": 0, "1": 1, "2500": 2500, "4999": 4999}
+    assert quantiles.at_ranks(df, F.col("few"), {"a": 999, "b": 1000, "c": 4999}, 5000) == {"a": 0.0, "b": 1.0, "c": 4.0}
+    assert quantiles.interpolated(df, F.col("x"), [0.5])[0.5] == -1.0
+
+
+def test_steps_only_where_numbers_allow_them(spark):
+    df = spark.createDataFrame([(2.0**60,), (1.0,)], "v double")
+    assert quantiles._steps(df, 2**60, 2**60 + 1, 2) is None and quantiles._steps(df, 1.0, math.inf, 2) is None and quantiles._steps(df, 1.0, math.nan, 2) is None
+    assert quantiles._steps(df, 1.0, 2.0**60, 2) == [(1, 1.0, 1.0), (1, 2.0**60, 2.0**60)]
+    assert quantiles.nearest_of([(3, 1), (None, 9), (1, 98), (2, 1)], [0.5, 0.98, 0.99, 1.0]) == {0.5: 1, 0.98: 1, 0.99: 2, 1.0: 3}
+
+
+def test_a_part_refutes_pairs_that_are_no_keys_and_loses_none(spark, monkeypatch):
+    monkeypatch.setattr(tablewide, "PART", 100)
+    df = spark.range(1000).select((F.col("id") % 500).alias("a"), F.floor(F.col("id") / 500).alias("b"), (F.col("id") % 250).alias("c"))
+    pairs, cards = [("a", "b"), ("a", "c"), ("b", "c")], {"a": 500, "b": 2, "c": 250}
+    assert tablewide.unrefuted(df, pairs, cards, 1000) == [("a", "b")]
+    once = df.unionByName(df.where("a = 7 AND b = 0"))  # one pair of rows agrees: the whole count tells, if no part does
+    assert [r["is_key"] for r in tablewide.grain(once, tablewide.unrefuted(once, [("a", "b")], cards, 1001)).collect()] in ([], [False])
+    found = full(spark, [Source("t", df)], infer=False)
+    assert [(r["stat"], r["number"]) for r in found.where("stat LIKE 'grain%'").collect()] == [("grain[a,b]", 1000.0)]
+
+
+def test_a_whole_profile_counts_only_pairs_that_may_be_keys(spark, monkeypatch):
+    counted = []
+    plain = tablewide.grain
+    monkeypatch.setattr(tablewide, "PART", 100)
+    monkeypatch.setattr(tablewide, "grain", lambda df, pairs: counted.append((df.count(), pairs)) or plain(df, pairs))
+    df = spark.range(1000).select((F.col("id") % 500).alias("a"), F.floor(F.col("id") / 500).alias("b"), (F.col("id") % 250).alias("c"))
+    full(spark, [Source("t", df)], infer=False)
+    assert [pairs for rows, pairs in counted if rows == 1000] == [[("a", "b")]]
+
+
+def test_value_lists_and_spellings_of_one_count(spark):
+    df = spark.createDataFrame([("b",), ("B ",), ("b",), ("a",), (None,), ("c",)], "v string")
+    top, spelt = values.most_frequent(df, ["v"], 3, ["v"])
+    assert [(r["value"], r["n"]) for r in top.orderBy(F.desc("n"), "value").collect()] == [("b", 2), ("B ", 1), ("a", 1)] and spelt == {"v": 1}
+    same = spark.createDataFrame([(1, None)], "a int, b string")
+    assert [tuple(r) for r in tablewide.null_patterns(same, 3, frozenset("a")).collect()] == [tuple(r) for r in tablewide.null_patterns(same, 3).collect()]
+
+
+def test_whole_days_before_and_after_1970(spark):
+    at = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ'1969-12-31 00:00:00'), (TIMESTAMP_NTZ'1969-12-31 23:59:59.999999'), (TIMESTAMP_NTZ'2024-03-31 00:00:00'), (NULL) AS t(at)")
+    kind = at.schema["at"].dataType
+    assert [tuple(r) for r in at.select(X.whole_day(F.col("at"), kind), F.pmod(X.micros(F.col("at"), kind), F.lit(X.DAY)) == 0).collect()] == [(True, True), (False, False), (True, True), (None, None)]
